@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_python(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow(function, schema), with this package sent to the executors once for each application."""
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "_has_precepta", False):
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="precepta-")) / "precepta.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(package.rglob("*.py")):
+                out.write(path, path.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        context._has_precepta = True
+    return df.mapInArrow(function, schema)
+
+
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, which is counted first; as it is otherwise."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

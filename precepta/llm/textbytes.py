@@ -102,9 +102,9 @@ def gram_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarra
     if len(short):
         few = []
         for i in short:
-            h = np.uint64(counts[i])
-            for w in words[first[i] : first[i + 1]]:
-                h = (h * _ODD + w) & np.uint64(0xFFFFFFFFFFFFFFFF)
+            h = int(counts[i])
+            for w in words[first[i] : first[i + 1]].tolist():
+                h = (h * int(_ODD) + w) % (1 << 64)
             few.append(h)
         grams = np.concatenate([grams, mix(np.array(few, np.uint64))])
         texts = np.concatenate([texts, short])
