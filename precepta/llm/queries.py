@@ -6,8 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from precepta.llm import decontaminate, mixing
 from precepta.llm.common import table
+from precepta.llm.decontaminate import contamination
+from precepta.llm.mixing import mixing_rates
 from precepta.llm.near_dedup import near_duplicates
+from precepta.llm.quality_rules import quality_rules
+from precepta.llm.substring_dedup import substring_dedup
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +36,8 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op2_source_mixing, op3_substring_dedup, op4_decontamination, op5_quality_rules, op6_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_source_mixing": mixing.ORACLE_SQL, "op4_decontamination": decontaminate.ORACLE_SQL}
