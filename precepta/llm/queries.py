@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from precepta.llm import decontaminate, mixing
 from precepta.llm.common import table
 from precepta.llm.decontaminate import contamination
+from precepta.llm.licenses import license_scan
 from precepta.llm.mixing import mixing_rates
 from precepta.llm.near_dedup import near_duplicates
 from precepta.llm.quality_rules import quality_rules
@@ -35,8 +36,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op3_substring_dedup, op4_decontamination, op5_quality_rules, op6_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_source_mixing, op3_substring_dedup, op4_decontamination, op5_quality_rules, op6_minhash_near_dedup, op7_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
