@@ -9,11 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from precepta.llm import decontaminate, mixing
 from precepta.llm.common import table
 from precepta.llm.decontaminate import contamination
+from precepta.llm.html_extract import extract_pages
 from precepta.llm.licenses import license_scan
 from precepta.llm.mixing import mixing_rates
 from precepta.llm.near_dedup import near_duplicates
+from precepta.llm.quality_classifier import classify_quality
 from precepta.llm.quality_rules import quality_rules
 from precepta.llm.substring_dedup import substring_dedup
+from precepta.llm.token_counts import section_tokens
+from precepta.llm.url_filter import judge_urls
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +48,35 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "p_bad_text", "p_bad_meta", "p_bad", "kept")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+OPERATORS = (
+    op1_url_filter,
+    op2_source_mixing,
+    op3_substring_dedup,
+    op4_decontamination,
+    op5_quality_rules,
+    op6_minhash_near_dedup,
+    op7_license_scan,
+    op8_quality_classifier,
+    op9_token_counts,
+    op10_html_extraction,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op3_substring_dedup, op4_decontamination, op5_quality_rules, op6_minhash_near_dedup, op7_license_scan)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
