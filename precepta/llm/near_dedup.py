@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from precepta.llm import textbytes as tb
@@ -15,6 +15,8 @@ from precepta.llm.graph import components
 SHINGLE_WORDS, PERCENT = 5, 75
 #: Signature slots, in bands of so many rows. A pair of similarity 0.75 shares no band with a chance of 5e-6.
 BANDS, ROWS = 32, 4
+#: Shingles that are signed at a time; each has a row of slots in memory.
+SIGNED = 1 << 16
 
 
 def super_minhash(grams: np.ndarray, first: np.ndarray, slots: int) -> np.ndarray:
@@ -25,6 +27,10 @@ def super_minhash(grams: np.ndarray, first: np.ndarray, slots: int) -> np.ndarra
     Slots of empty sets hold the largest value.
     """
     n = len(first) - 1
+    if len(grams) > SIGNED and n > 1:
+        cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(grams), SIGNED), "right") - 1, n))
+        cuts = cuts if len(cuts) > 2 else np.array([0, (n + 1) // 2, n])
+        return np.concatenate([super_minhash(grams[first[a] : first[b]], first[a : b + 1] - first[a], slots) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
     least = np.full(n * slots, np.iinfo(np.uint64).max, np.uint64)
     owner = np.repeat(np.arange(n), np.diff(first))
     grams, order = grams.copy(), None
@@ -46,7 +52,7 @@ def super_minhash(grams: np.ndarray, first: np.ndarray, slots: int) -> np.ndarra
         if j:
             order = order[stay]
         else:
-            order = np.broadcast_to(np.arange(slots, dtype=np.uint16), (int(stay.sum()), slots)).copy()
+            order = np.broadcast_to(np.arange(slots, dtype=np.min_scalar_type(slots)), (int(stay.sum()), slots)).copy()
             order[np.arange(len(order)), k[stay]] = 0
             order[:, 0] = k[stay]
         grams, owner = grams[stay], owner[stay]
@@ -106,6 +112,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.where(f"100 * common >= {percent} * (total - common)").select("a", "b")
 
 
+def _open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may still be similar, of members (band, bucket, rep, n_shingles, component).
+
+    An exact filter: order the shingles by how many members of buckets with several components have them. Sets of x and
+    y shingles that are similar have c = percent * (x + y) / (100 + percent) in common, so one of those is among the
+    first x - c + 1 of the one and y - c + 1 of the other. y is at least the smallest size in x's buckets. What sets a
+    member apart comes first in this order, so members that only resemble the others share none of these shingles.
+    """
+    spots = ["band", "bucket"]
+    sizes = members.groupBy(*spots).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n_shingles").alias("least")).where("low < high")
+    open_ = members.join(sizes.select(*spots, "least"), spots).groupBy("rep", "component", "n_shingles").agg(F.min("least").alias("least"))
+    least = F.greatest("least", F.ceil(F.col("n_shingles") * percent / 100))
+    open_ = cut(open_.withColumn("prefix", F.col("n_shingles") - F.ceil((F.col("n_shingles") + least) * percent / (100 + percent) - 1e-9) + 1))
+    shingles = sets.toDF("rep", "shingles").join(open_, "rep").select("rep", "component", "n_shingles", "prefix", F.explode("shingles").alias("shingle"))
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    mine = Window.partitionBy("rep")  # a document's own shingles
+    ranked = shingles.join(common, "shingle").withColumn("place", F.row_number().over(mine.orderBy("n", "shingle"))).withColumn("shared", F.count("*").over(mine))
+    first = cut(ranked.where("n_shingles - shared + place <= prefix").select("shingle", "rep", "component"))
+    by = first.groupBy("shingle", "component").count().groupBy("shingle").agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("n")).where("n > 1")
+    placed = first.join(by.select("shingle", F.col("most.component").alias("main")), "shingle")
+    few, all_ = placed.where("component != main").alias("f"), placed.alias("o")
+    crossed = few.join(all_, (F.col("f.shingle") == F.col("o.shingle")) & (F.col("f.component") != F.col("o.component")))
+    return crossed.select(F.least("f.rep", "o.rep").alias("a"), F.greatest("f.rep", "o.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Groups of near-duplicate documents: doc_id, n_shingles, component_id, kept; a row for each row of docs.
 
@@ -116,9 +147,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     - One scan makes each set's size, its 128-bit fingerprint and its SuperMinHash band keys; texts aren't shuffled.
     - Rows of equal sets form one class, by a hash aggregate; only its smallest doc_id goes on. Copies thus cost one row.
     - In a bucket of equal band keys each class is held against the bucket's smallest id, all on their full sets, and
-      verified links are grouped by union-find. A bucket whose members are then in one component is done. In any other,
-      each member outside its largest component is held against all members of other components. So a bucket of n
-      similar classes takes n comparisons, not n * n, and no bucket is capped.
+      verified links are grouped by union-find. A bucket whose members are then in one component is done. Members of any
+      other go through an exact prefix filter, and pairs of different components that pass are compared as well. So a
+      bucket of n classes takes n comparisons, not n * n, and none is capped.
     - Only classes that share a bucket are shingled again for the comparison.
 
     Null or empty texts and texts without words have no shingles and are linked with nothing. A text of fewer words than
@@ -130,7 +161,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     key = ["n_shingles", "print1", "print2"]
     classes = cut(named.groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    banded = named.join(classes.select("rep", *key), [F.col("doc_id") == F.col("rep"), *(named[k] == classes[k] for k in key)], "left_semi").select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "bucket"))
+    banded = named.join(classes.select("rep", *key), [F.col("doc_id") == F.col("rep"), *(named[k] == classes[k] for k in key)], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     spots = ["band", "bucket"]
     shared = banded.groupBy(*spots).agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = cut(banded.join(shared.select(*spots, "low"), spots))
@@ -140,14 +171,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     links = cut(_verified(pairs, sets, percent))
     found = components(links)
 
-    placed = members.join(found.toDF("rep", "component"), "rep", "left").select(*spots, "rep", F.coalesce("component", "rep").alias("component"))
-    sizes = placed.groupBy(*spots, "component").count()
-    mixed = sizes.groupBy(*spots).agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("n")).where("n > 1").select(*spots, F.col("most.component").alias("main"))
-    open_ = cut(placed.join(mixed, spots))
-    few, all_ = open_.where("component != main").alias("f"), open_.alias("o")
-    crossed = few.join(all_, [F.col(f"f.{k}") == F.col(f"o.{k}") for k in spots] + [F.col("f.component") != F.col("o.component")])
-    crossed = crossed.select(F.least("f.rep", "o.rep").alias("a"), F.greatest("f.rep", "o.rep").alias("b")).distinct()
-    more = cut(_verified(crossed.join(pairs, ["a", "b"], "left_anti"), sets, percent))
+    placed = cut(members.join(found.toDF("rep", "component"), "rep", "left").select(*spots, "rep", "n_shingles", F.coalesce("component", "rep").alias("component")))
+    more = cut(_verified(_open_pairs(placed, sets, percent).join(pairs, ["a", "b"], "left_anti"), sets, percent))
     if not more.isEmpty():
         found = components(links.union(more))
 

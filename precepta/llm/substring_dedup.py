@@ -60,57 +60,71 @@ def runs(hashes: np.ndarray, counts: np.ndarray, first: np.ndarray, least: int,
     return tb.mix((run[last + 1] - run[at]) * down[at] + (last - at).astype(np.uint64)), at, last
 
 
+def _earlier(keys: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Whether each key, in order of place, has stood before in its own text."""
+    order = np.lexsort((keys, texts))
+    before = np.zeros(len(keys), bool)
+    before[order[1:]] = (keys[order[1:]] == keys[order[:-1]]) & (texts[order[1:]] == texts[order[:-1]])
+    return before
+
+
 def _span_maker(least: int, words: int, clause_every: int):
     def spans(batches):
         for batch in batches:
             for begin, data, offsets in tb.slices(batch.column(1)):
                 _, hashes, counts, first = sentences(data, offsets, clause_every)
-                keys, at, last = runs(hashes, counts, first, least, words)
+                keys, at, _ = runs(hashes, counts, first, least, words)
                 text = np.searchsorted(first, at, "right") - 1
+                new = ~_earlier(keys, text)
                 ids = batch.column(0).slice(begin, len(offsets) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), ids.take(pa.array(text)), pa.array((at - first[text]).astype(np.int32)), pa.array((last - at + 1).astype(np.int32))], ["span", "doc_id", "sentence", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), ids.take(pa.array(text[new]))], ["span", "doc_id"])
 
     return spans
 
 
-def _remover(clause_every: int):
+def _remover(least: int, words: int, clause_every: int):
     def remove(batches):
         for batch in batches:
             for begin, data, offsets in tb.slices(batch.column(1)):
-                starts, _, _, first = sentences(data, offsets, clause_every)
+                starts, hashes, counts, first = sentences(data, offsets, clause_every)
                 n = len(offsets) - 1
-                covers = batch.column(2).slice(begin, n).to_pylist()
+                keys, at, last = runs(hashes, counts, first, least, words)
+                text = np.searchsorted(first, at, "right") - 1
+                bad = _earlier(keys, text)
+                known = batch.column(2).slice(begin, n)
+                lengths = np.fromiter((len(x) if x.is_valid else 0 for x in known), np.int64, n)
+                if lengths.any():
+                    values = known.flatten().to_numpy().view(np.uint64)
+                    mine = np.repeat(np.arange(n), lengths)
+                    both = np.concatenate([values, keys]), np.concatenate([mine, text])
+                    bad |= _earlier(*both)[len(values) :]
+                change = np.zeros(len(hashes) + 1, np.int64)
+                np.add.at(change, at[bad], 1)
+                np.subtract.at(change, last[bad] + 1, 1)
+                gone = np.cumsum(change[:-1]) > 0
+                removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
                 texts = batch.column(1).slice(begin, n).to_pylist()
-                removed = np.zeros(n, np.int64)
-                for i in range(n):
-                    if not covers[i]:
-                        continue
-                    gone = np.zeros(first[i + 1] - first[i] + 1, np.int64)
-                    for c in covers[i]:
-                        gone[c["sentence"]] += 1
-                        gone[c["sentence"] + c["n"]] -= 1
-                    gone = np.cumsum(gone)[:-1] > 0
+                for i in np.flatnonzero(removed):
+                    mine = gone[first[i] : first[i + 1]]
                     edges = np.append(starts[first[i] : first[i + 1]], offsets[i + 1])
-                    head = data[offsets[i] : edges[0]].tobytes()
-                    texts[i] = (head + b"".join(data[edges[k] : edges[k + 1]].tobytes() for k in np.flatnonzero(~gone))).decode()
-                    texts[i] = texts[i].strip() if gone[-1] or gone[0] else texts[i]
-                    removed[i] = gone.sum()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), pa.array(np.diff(first).astype(np.int64)), pa.array(removed), pa.array(texts, pa.string())], ["doc_id", "n_sentences", "n_removed", "text"])
+                    kept = data[offsets[i] : edges[0]].tobytes() + b"".join(data[edges[k] : edges[k + 1]].tobytes() for k in np.flatnonzero(~mine))
+                    texts[i] = kept.decode().strip() if mine[-1] or mine[0] else kept.decode()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), pa.array(np.diff(first).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(texts, pa.string())], ["doc_id", "n_sentences", "n_removed", "text"])
 
     return remove
 
 
 def repeated_spans(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS, clause_every: int = CLAUSE_EVERY) -> DataFrame:
-    """(doc_id, sentence, n): runs of n sentences from the given one on that occur earlier, by (doc_id, sentence).
+    """(doc_id, span): hashes of the runs of a document that occur in a document of smaller doc_id as well.
 
-    Every run of the corpus is hashed and the hashes are joined globally: a hash aggregate finds those that occur more
-    than once and where first, and a shuffled join, whose hot keys adaptive execution splits, finds the other places.
+    Every run of the corpus is hashed, and the hashes are joined globally, each once for a document: a hash aggregate
+    finds those of several documents and the first of these, and a shuffled join, whose hot keys adaptive execution
+    splits, finds the other places. The runs are hashed twice, as that costs less than to keep them.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    spans = cut(in_python(texts, _span_maker(run_sentences, run_words, clause_every), "span long, doc_id long, sentence int, n int"))
-    place = F.struct("doc_id", "sentence")
-    known = spans.groupBy("span").agg(F.min("doc_id").alias("low"), F.count("*").alias("places"), F.min_by("sentence", place).alias("at")).where("places > 1")
-    return spans.join(known, "span").where("doc_id != low OR sentence != at").select("doc_id", "sentence", "n")
+    spans = in_python(texts, _span_maker(run_sentences, run_words, clause_every), "span long, doc_id long")
+    known = cut(spans.groupBy("span").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("span", "low"))
+    return spans.join(known, "span").where("doc_id != low").select("doc_id", "span")
 
 
 def substring_dedup(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS, clause_every: int = CLAUSE_EVERY) -> DataFrame:
@@ -125,5 +139,5 @@ def substring_dedup(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_wor
     sentences go is empty. An empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    covers = repeated_spans(texts, run_sentences, run_words, clause_every).groupBy("doc_id").agg(F.collect_list(F.struct("sentence", "n")).alias("covers"))
-    return in_python(texts.join(covers, "doc_id", "left"), _remover(clause_every), "doc_id long, n_sentences long, n_removed long, text string")
+    spans = repeated_spans(texts, run_sentences, run_words, clause_every).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
+    return in_python(texts.join(spans, "doc_id", "left"), _remover(run_sentences, run_words, clause_every), "doc_id long, n_sentences long, n_removed long, text string")
