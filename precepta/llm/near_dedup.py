@@ -112,29 +112,66 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.where(f"100 * common >= {percent} * (total - common)").select("a", "b")
 
 
-def _open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that may still be similar, of members (band, bucket, rep, n_shingles, component).
+def _open_groups(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of groups (a, pivot, b) that lie in several components, with b's component."""
+    placed = groups.join(found.toDF("b", "component"), "b", "left").select("a", "pivot", "b", F.coalesce("component", "b").alias("component"))
+    open_ = placed.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return cut(placed.join(open_.select("a"), "a", "left_semi"))
 
-    An exact filter: order the shingles by how many members of buckets with several components have them. Sets of x and
-    y shingles that are similar have c = percent * (x + y) / (100 + percent) in common, so one of those is among the
-    first x - c + 1 of the one and y - c + 1 of the other. y is at least the smallest size in x's buckets. What sets a
-    member apart comes first in this order, so members that only resemble the others share none of these shingles.
+
+def _differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """groups with p and x, the sizes of the pivot's and of b's set, and what b has more and less than the pivot.
+
+    A shingle that is lacked is told from the same one that is had by its complement.
     """
-    spots = ["band", "bucket"]
-    sizes = members.groupBy(*spots).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n_shingles").alias("least")).where("low < high")
-    open_ = members.join(sizes.select(*spots, "least"), spots).groupBy("rep", "component", "n_shingles").agg(F.min("least").alias("least"))
-    least = F.greatest("least", F.ceil(F.col("n_shingles") * percent / 100))
-    open_ = cut(open_.withColumn("prefix", F.col("n_shingles") - F.ceil((F.col("n_shingles") + least) * percent / (100 + percent) - 1e-9) + 1))
-    shingles = sets.toDF("rep", "shingles").join(open_, "rep").select("rep", "component", "n_shingles", "prefix", F.explode("shingles").alias("shingle"))
-    common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    mine = Window.partitionBy("rep")  # a document's own shingles
-    ranked = shingles.join(common, "shingle").withColumn("place", F.row_number().over(mine.orderBy("n", "shingle"))).withColumn("shared", F.count("*").over(mine))
-    first = cut(ranked.where("n_shingles - shared + place <= prefix").select("shingle", "rep", "component"))
-    by = first.groupBy("shingle", "component").count().groupBy("shingle").agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("n")).where("n > 1")
-    placed = first.join(by.select("shingle", F.col("most.component").alias("main")), "shingle")
-    few, all_ = placed.where("component != main").alias("f"), placed.alias("o")
-    crossed = few.join(all_, (F.col("f.shingle") == F.col("o.shingle")) & (F.col("f.component") != F.col("o.component")))
-    return crossed.select(F.least("f.rep", "o.rep").alias("a"), F.greatest("f.rep", "o.rep").alias("b")).distinct()
+    both = groups.where("b != pivot").join(sets.toDF("pivot", "set_p"), "pivot").join(sets.toDF("b", "set_b"), "b")
+    less = F.transform(F.array_except("set_p", "set_b"), lambda v: F.bitwise_not(v))
+    return both.select("a", "pivot", "b", "component", F.size("set_p").alias("p"), F.size("set_b").alias("x"), F.array_except("set_b", "set_p").alias("more"), less.alias("less"))
+
+
+def _medoids(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """groups with the member as pivot whose set differs least from those of the whole group, ties to the smallest id.
+
+    The differences from any one member give it in one pass: each that b shares with n of g members counts 2 n - g.
+    """
+    each = cut(_differences(groups, sets).select("a", "b", F.explode(F.concat("more", "less")).alias("shingle")))
+    sizes = groups.groupBy("a").agg(F.count("*").alias("g"))
+    shared = each.groupBy("a", "shingle").agg(F.count("*").alias("n"))
+    once = each.groupBy("a", "b").agg(F.count("*").alias("differs"))
+    twice = each.join(shared.where("n > 1"), ["a", "shingle"]).groupBy("a", "b").agg(F.count("*").alias("same"), F.sum("n").alias("n"))
+    score = 2 * (F.col("differs") - F.coalesce("same", F.lit(0)) + F.coalesce("n", F.lit(0))) - F.col("g") * F.col("differs")
+    scored = once.join(twice, ["a", "b"], "left").join(sizes, "a").select("a", "b", score.alias("score"))
+    best = scored.where("score > 0").groupBy("a").agg(F.max(F.struct("score", -F.col("b"))).alias("best"))
+    best = best.select("a", (-F.col("best").getField("col2")).alias("medoid"))
+    return groups.join(best, "a", "left").select("a", F.coalesce("medoid", "pivot").alias("pivot"), "b", "component")
+
+
+def _open_pairs(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may still be similar, of groups (a, pivot, b, component).
+
+    An exact filter. Members x and y are taken by what they have beyond the pivot p (A) and what they lack of it (D):
+    they have |p| - |Dx| - |Dy| + o shingles in common, where o counts what their differences have in common. If x isn't
+    similar to p, x and y can be similar only if o > s |Ay| + (1 - s) |Dy|, with s = percent / (100 + percent), and only
+    if o >= e / (1 - s), where e > 0 is what x lacks to be similar to p. So, in order of how many members share a
+    difference, one of the first |Ay| + |Dy| - o + 1 of y is among as many of x. A member's own edits come first in this
+    order, so members that differ from p in ways of their own meet nobody; and no two go on that have too few differences
+    left behind the one they meet at.
+    """
+    differ = _differences(groups, sets).withColumn("lacks", percent * (F.col("x") + F.col("p")) - (100 + percent) * (F.col("p") - F.size("less")))
+    whole = F.size("more") + F.size("less")
+    wide = whole - F.floor((percent * F.size("more") + 100 * F.size("less")) / (100 + percent))
+    narrow = F.when(F.col("lacks") > 0, whole - F.ceil(F.col("lacks") / 100) + 1).otherwise(0)
+    needs = percent * F.size("more") + 100 * F.size("less")
+    each = cut(differ.select("a", "b", "component", "lacks", needs.alias("needs"), whole.alias("whole"), wide.alias("wide"), narrow.alias("narrow"), F.explode(F.concat("more", "less")).alias("shingle")))
+    common = each.groupBy("a", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    mine = Window.partitionBy("a", "b")  # a document's own shingles
+    ranked = each.join(common, ["a", "shingle"]).withColumn("place", F.row_number().over(mine.orderBy("n", "shingle"))).withColumn("shared", F.count("*").over(mine))
+    ranked = ranked.withColumn("place", F.col("whole") - F.col("shared") + F.col("place")).where("place <= greatest(wide, narrow)")
+    first = cut(ranked.select("a", "shingle", "b", "component", "lacks", "needs", (F.col("whole") - F.col("place") + 1).alias("left"), (F.col("place") <= F.col("wide")).alias("wide"), (F.col("place") <= F.col("narrow")).alias("narrow")))
+    far, any_ = first.where("narrow").alias("f"), first.where("wide").alias("o")
+    enough = (100 + percent) * F.least("f.left", "o.left") >= F.col("f.lacks") + F.col("o.needs")
+    crossed = far.join(any_, (F.col("f.a") == F.col("o.a")) & (F.col("f.shingle") == F.col("o.shingle")) & (F.col("f.component") != F.col("o.component")) & enough)
+    return crossed.select(F.least("f.b", "o.b").alias("a"), F.greatest("f.b", "o.b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -147,9 +184,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     - One scan makes each set's size, its 128-bit fingerprint and its SuperMinHash band keys; texts aren't shuffled.
     - Rows of equal sets form one class, by a hash aggregate; only its smallest doc_id goes on. Copies thus cost one row.
     - In a bucket of equal band keys each class is held against the bucket's smallest id, all on their full sets, and
-      verified links are grouped by union-find. A bucket whose members are then in one component is done. Members of any
-      other go through an exact prefix filter, and pairs of different components that pass are compared as well. So a
-      bucket of n classes takes n comparisons, not n * n, and none is capped.
+      verified links are grouped by union-find. A bucket whose members are then in one component is done; those of any
+      other are held against the member that differs least from the rest. Then they go through an exact prefix filter on
+      their differences from that one, and pairs of different components that pass are compared as well. So a bucket of
+      n classes takes n comparisons, not n * n, and none is capped.
     - Only classes that share a bucket are shingled again for the comparison.
 
     Null or empty texts and texts without words have no shingles and are linked with nothing. A text of fewer words than
@@ -165,14 +203,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     spots = ["band", "bucket"]
     shared = banded.groupBy(*spots).agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = cut(banded.join(shared.select(*spots, "low"), spots))
-    pairs = members.where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = cut(members.where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = cut(in_python(texts.join(wanted, "doc_id", "left_semi"), _shingler(shingle_words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
     links = cut(_verified(pairs, sets, percent))
     found = components(links)
 
-    placed = cut(members.join(found.toDF("rep", "component"), "rep", "left").select(*spots, "rep", "n_shingles", F.coalesce("component", "rep").alias("component")))
-    more = cut(_verified(_open_pairs(placed, sets, percent).join(pairs, ["a", "b"], "left_anti"), sets, percent))
+    # buckets that aren't in one component yet are held against the member that differs least from the others
+    groups = pairs.union(pairs.select("a", F.col("a").alias("b"))).distinct().select("a", F.col("a").alias("pivot"), "b")
+    groups = cut(_medoids(_open_groups(groups, found), sets)).drop("component")
+    links = links.union(cut(_verified(groups.where("pivot != a AND pivot != b").select(F.col("pivot").alias("a"), "b").distinct(), sets, percent)))
+    found = components(links)
+    more = cut(_verified(_open_pairs(_open_groups(groups, found), sets, percent).join(pairs, ["a", "b"], "left_anti"), sets, percent))
     if not more.isEmpty():
         found = components(links.union(more))
 
