@@ -1,15 +1,555 @@
-"""Queries over the supplied tables, each with SQL for comparison."""
+"""Queries over the supplied tables, each with SQL for comparison where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from precepta.functions import text as T
+from precepta.functions.stem import stem_vocabulary
+from precepta.operators import audit, evaluate, graph, registry, rulings, search, shred, temporal, verify
+from precepta.sources.readers import duplicate_keys
+from precepta.streaming import queue
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+#: The question that the search queries ask, and several for the gate.
+ASKED = ["thou", "license", "leaux", "nicht", "licensed"]
+GATED = {"broad": ["the", "of", "and"], "absent": ["xqzt", "wqkk", "the"], "scattered": ["thou", "leaux", "nicht", "auch", "para"], "mixed": ["license", "the", "zzqx"]}
+CAUSES = [("licence", "(?i)licen[cs]e"), ("question", r"\?"), ("digits", "[0-9]{3}"), ("symbols", r"[#*%]{2}"), ("short", r"^[^\n]{0,80}$")]
+TODAY = "2024-01-20"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- SQL that several comparisons share
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _fold(c: str) -> str:
+    return f"lower(strip_accents({c}))"
+
+
+def _words(c: str) -> str:
+    return f"list_filter(regexp_extract_all({_fold(f'coalesce({c}, {chr(39)}{chr(39)})')}, '[a-z0-9]+'), lambda w: (len(w) > 1 OR regexp_matches(w, '^[0-9]$')) AND NOT list_contains({_list(T.STOP_WORDS)}, w))"
+
+
+def _literal(c: str) -> str:
+    return f"trim(regexp_replace(translate({c}, '“”„«»‘’‚‐‑‒–—   ', '\"\"\"\"\"''''''-----   '), '\\s+', ' ', 'g'))"
+
+
+_TITLE = "split_part(text, chr(10), 1)"
+_BODY = "CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE text END"
+_FIELDS = f"""f AS (SELECT doc_id, 'title' AS field, {_words(_TITLE)} AS tokens FROM documents
+  UNION ALL SELECT doc_id, 'context', {_words("concat_ws(' ', source, lang)")} FROM documents UNION ALL SELECT doc_id, 'body', {_words(_BODY)} FROM documents)"""
+_POSTED = "p AS (SELECT term, doc_id, field, count(*) AS tf FROM (SELECT doc_id, field, unnest(tokens) AS term FROM f) GROUP BY ALL)"
+_STATS = "s AS (SELECT field, count(*) AS n_docs, CASE WHEN avg(len(tokens)) > 0 THEN avg(len(tokens)) ELSE 1 END AS mean_length FROM f GROUP BY field)"
+_SCORED = f"""WITH {_FIELDS}, l AS (SELECT doc_id, field, len(tokens) AS length FROM f),
+p AS (SELECT term, doc_id, field, count(*) AS tf FROM (SELECT doc_id, field, unnest(tokens) AS term FROM f) WHERE term IN ({", ".join(f"'{t}'" for t in ASKED)}) GROUP BY ALL), {_STATS},
+w AS (SELECT field, CASE field WHEN 'title' THEN 4.0 WHEN 'context' THEN 0.8 ELSE 1.0 END::DOUBLE AS w, CASE field WHEN 'body' THEN 0.75 ELSE 0.35 END::DOUBLE AS b FROM s),
+t AS (SELECT term, doc_id, any_value(n_docs) AS n, sum(w * tf / (1 - b + b * length / mean_length)) AS wtf FROM p JOIN l USING (doc_id, field) JOIN s USING (field) JOIN w USING (field) GROUP BY term, doc_id),
+d AS (SELECT term, count(DISTINCT doc_id) AS df FROM p GROUP BY term),
+scored AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * wtf / (1.4 + wtf)), 6) AS score, count(*) AS n_terms FROM t JOIN d USING (term) GROUP BY doc_id)"""
+
+
+# --- search
+
+@query(_SCORED + " SELECT doc_id, score, n_terms, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored ORDER BY score DESC, doc_id LIMIT 10")
+def bm25f_exact_topk(spark, sf):
+    return search.top_k(search.bm25f(table(spark, sf, "documents"), ASKED), 10)
+
+
+@query(f"WITH {_FIELDS}, {_POSTED} SELECT * FROM p")
+def bm25_postings(spark, sf):
+    return search.postings(search.fields(table(spark, sf, "documents")))
+
+
+@query(f"WITH {_FIELDS}, {_POSTED} SELECT term, count(DISTINCT doc_id) AS df FROM p GROUP BY term")
+def bm25_frequencies(spark, sf):
+    return search.document_frequencies(search.postings(search.fields(table(spark, sf, "documents"))))
+
+
+@query(f"WITH {_FIELDS}, {_STATS} SELECT * FROM s")
+def bm25_stats(spark, sf):
+    return search.field_stats(search.fields(table(spark, sf, "documents")))
+
+
+@query(_SCORED + f""", m AS (SELECT scored.*, d.lang IN ('de', 'fr') AS state FROM scored JOIN documents d USING (doc_id)),
+top AS (SELECT *, false AS promoted FROM m ORDER BY score DESC, doc_id LIMIT 10),
+extra AS (SELECT *, true AS promoted FROM (SELECT * FROM m WHERE state ORDER BY score DESC, doc_id LIMIT 2) WHERE doc_id NOT IN (SELECT doc_id FROM top)),
+n AS (SELECT least(greatest(2 - (SELECT count(*) FROM top WHERE state), 0), (SELECT count(*) FROM extra)) AS moved),
+kept AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY score, doc_id DESC) AS r FROM top) WHERE state OR r > (SELECT moved FROM n)
+  UNION ALL SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM extra) WHERE r <= (SELECT moved FROM n))
+SELECT doc_id, score, state, promoted, CAST(row_number() OVER (ORDER BY promoted, score DESC, doc_id) AS INTEGER) AS rank FROM kept""")
+def topk_class_floor(spark, sf):
+    docs = table(spark, sf, "documents")
+    scored = search.bm25f(docs, ASKED).join(docs.select("doc_id", "lang"), "doc_id")
+    return search.class_floor(scored, 10, F.col("lang").isin("de", "fr"))
+
+
+@query(f"SELECT term FROM (SELECT unnest({_list(ASKED + ['xqzt', 'wqkk'])}) AS term) WHERE term NOT IN (SELECT DISTINCT unnest({_words('text')}) FROM documents)")
+def query_orphans(spark, sf):
+    return search.query_orphans(table(spark, sf, "documents"), [*ASKED, "xqzt", "wqkk"])
+
+
+@query(f"""WITH d AS (SELECT doc_id, list_distinct({_words('text')}) AS w FROM documents),
+q AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {_list(v)})" for k, v in GATED.items())}) AS t(query, terms)),
+h AS (SELECT query, len(terms) AS n, (SELECT count(*) FROM (SELECT unnest(terms) AS t) WHERE t IN (SELECT unnest(w) FROM d)) AS present, (SELECT max(len(list_filter(terms, lambda t: list_contains(w, t)))) FROM d) AS best FROM q),
+r AS (SELECT query, 1 - present / n::DOUBLE AS a, CASE WHEN present > 0 THEN best / present::DOUBLE ELSE 0 END AS b FROM h),
+c AS (SELECT *, CASE WHEN a > 0.5 THEN 'absent' WHEN b < 0.5 THEN 'scattered' ELSE '' END AS reason FROM r)
+SELECT query, round(a, 6) AS absent_share, round(b, 6) AS best_coverage, reason = '' AS admitted, reason FROM c""")
+def coverage_gate(spark, sf):
+    return search.relevance_gate(table(spark, sf, "documents"), GATED)
+
+
+@query(_SCORED + f""", top AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored ORDER BY score DESC, doc_id LIMIT 10),
+c AS (SELECT top.*, len(list_filter({_list(ASKED)}, lambda t: list_contains({_words('text')}, t))) / 5.0::DOUBLE AS coverage FROM top JOIN documents USING (doc_id))
+SELECT doc_id, rank, coverage, CASE WHEN rank = 1 THEN 'first' WHEN coverage >= 0.7 * (SELECT greatest(coverage, 1e-9) FROM c WHERE rank = 1) THEN 'covered' ELSE 'weak' END AS decision FROM c""")
+def selection_relative(spark, sf):
+    docs = table(spark, sf, "documents")
+    ranked = search.top_k(search.bm25f(docs, ASKED), 10).join(docs.select("doc_id", "text"), "doc_id")
+    return search.select_relative(search.coverage(ranked, ASKED)).select("doc_id", "rank", "coverage", "decision")
+
+
+@query(f"SELECT doc_id, n_chars, CAST(len(list_intersect({_words('text')}, {_list(ASKED)})) AS INTEGER) AS score FROM documents WHERE len(list_intersect({_words('text')}, {_list(ASKED)})) > 0 ORDER BY score DESC, n_chars DESC, doc_id LIMIT 3")
+def overlap_topk(spark, sf):
+    return search.overlap_top_k(table(spark, sf, "documents"), ASKED)
+
+
+_LINES = f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line, CAST(len(list_intersect(regexp_extract_all({_fold('l[i]')}, '[a-z0-9]+'), {_list(ASKED)})) AS INTEGER) AS hits FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+
+
+@query(f"""WITH x AS ({_LINES}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, line_no) AS n, max(hits) OVER (PARTITION BY doc_id) AS most FROM x)
+SELECT doc_id, line_no, hits, line FROM r WHERE (hits > 0 AND n <= 2) OR (most = 0 AND line_no = 0)""")
+def snippet_top2_lines(spark, sf):
+    return search.best_lines(table(spark, sf, "documents"), ASKED)
+
+
+@query(f"""WITH x AS ({_LINES}), n AS (SELECT doc_id, line_no, max(hits) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) > 0 AS near FROM x),
+i AS (SELECT doc_id, line_no, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM n WHERE near)
+SELECT doc_id, min(line_no) AS first_line, max(line_no) AS last_line FROM i GROUP BY doc_id, island""")
+def neighbour_fragments(spark, sf):
+    return search.neighbour_fragments(table(spark, sf, "documents"), ASKED)
+
+
+# --- text
+
+@query(f"SELECT doc_id, sha256({_fold('text')}) AS folded, CAST(len({_words('text')}) AS INTEGER) AS n_words FROM documents")
+def fold_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("folded"), F.size(T.words(F.col("text"))).alias("n_words"))
+
+
+@query(f"SELECT doc_id, sha256({_literal('text')}) AS literal FROM documents")
+def normalise_literal(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(T.normal_literal(F.col("text")), 256).alias("literal"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(replace(text, 'e ', 'e-' || chr(10)), '([a-záéíóúüñ])-[ \\t]*\\r?\\n[ \\t]*([a-záéíóúüñ])', '\\1\\2', 'g')) AS joined FROM documents")
+def dehyphenate(spark, sf):
+    broken = F.replace("text", F.lit("e "), F.lit("e-\n"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(T.dehyphenate(broken), 256).alias("joined"))
+
+
+_TAGS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?i)<br\\s*/?>|</(p|div|li|tr|h[1-6])\\s*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _name, _char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+    _TAGS = f"replace({_TAGS}, '&{_name};', '{_char}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace(regexp_replace({_TAGS}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ') AS text FROM pages")
+def html_to_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+def _field(tag: str) -> str:
+    return f"nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '')"
+
+
+@query(f"SELECT page_id, {_field('title')} AS title, {_field('h1')} AS heading FROM pages")
+def html_fields(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.html_field(F.col("html"), "title").alias("title"), T.html_field(F.col("html"), "h1").alias("heading"))
+
+
+@query("SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\\b\\d{4}\\b'), lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN 1900 AND 2099))) AS years FROM documents")
+def years_in_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.years_in(F.col("text")).alias("years"))
+
+
+@query()
+def stem_terms(spark, sf):
+    return stem_vocabulary(table(spark, sf, "documents").select(F.explode(T.words(F.col("text"))).alias("term")))
+
+
+@query(f"WITH d AS (SELECT doc_id, {_literal('text')} AS t FROM documents), b AS (SELECT item_id, {_literal('text')} AS t FROM benchmark) SELECT item_id AS literal_id, doc_id FROM d JOIN b ON contains(d.t, b.t) WHERE b.t != ''")
+def literal_locate(spark, sf):
+    return verify.locate(table(spark, sf, "benchmark").select(F.col("item_id").alias("literal_id"), F.col("text").alias("literal")), table(spark, sf, "documents"))
+
+
+# --- versions and dates
+
+@query("SELECT p.event_id, p.user_id, v.event_id AS seen_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts")
+def asof_version(spark, sf):
+    events = table(spark, sf, "events")
+    facts = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    seen = events.where("event_type = 'view'").select("user_id", F.col("ts").alias("since"), F.col("event_id").alias("seen_id"))
+    return temporal.as_of_join(facts, seen, "user_id", "ts", "since", ["seen_id"]).select("event_id", "user_id", F.col("version_seen_id").alias("seen_id"))
+
+
+@query("""WITH v AS (SELECT l_orderkey AS k, list({'n': l_linenumber, 'd': CAST(l_shipdate AS DATE)} ORDER BY l_linenumber, l_shipdate) AS vs FROM lineitem GROUP BY l_orderkey),
+r AS (SELECT o_orderkey, list_transform(vs, lambda x: x.d) AS ds, vs, list_filter(vs, lambda x: x.d <= DATE '1998-12-31')[-1] AS now, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderdate AS DATE) + 400 END AS expired FROM orders JOIN v ON k = o_orderkey),
+w AS (SELECT *, now.n IS NOT NULL AND now.n != vs[-1].n AS changed FROM r)
+SELECT o_orderkey, CASE WHEN list_min(ds) > DATE '1998-12-31' THEN 'no_existia' ELSE array_to_string(list_filter([CASE WHEN expired <= DATE '1998-01-01' THEN 'caducado' WHEN expired <= DATE '1998-12-31' THEN 'caduca_durante' END,
+ CASE WHEN changed THEN 'texto_cambiado' END, CASE WHEN len(list_filter(ds, lambda x: x > DATE '1998-01-01' AND x <= DATE '1998-12-31')) > 0 THEN 'cambio_durante' END, CASE WHEN NOT changed AND len(list_filter(ds, lambda x: x > DATE '1998-12-31')) > 0 THEN 'cambio_posterior' END], lambda x: x IS NOT NULL), ',') END AS warnings,
+ list_min(ds) > DATE '1998-12-31' OR coalesce(expired <= DATE '1998-01-01', false) AS blocked FROM w""")
+def date_warnings(spark, sf):
+    versions = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.to_date("l_shipdate").alias("effective")))).alias("versions"))
+    expired = F.when(F.col("o_orderkey") % 7 == 0, F.date_add(F.to_date("o_orderdate"), 400))
+    rows = table(spark, sf, "orders").select("o_orderkey", expired.alias("expired")).join(versions, "o_orderkey")
+    return temporal.date_warnings(rows, 1998).select("o_orderkey", F.array_join("warnings", ",").alias("warnings"), "blocked")
+
+
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 13 = 0 THEN DATE '1800-01-01' ELSE CAST(l_shipdate AS DATE) END AS e, CAST(l_shipdate AS DATE) + CAST((l_suppkey % 10) * 300 AS INTEGER) AS p FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN e IS NULL OR year(e) < 1900 THEN p ELSE e END AS date, CASE WHEN e IS NULL THEN 'missing' WHEN year(e) < 1900 THEN 'impossible' WHEN e < p - INTERVAL 60 MONTH THEN 'far_before' ELSE '' END AS reason FROM d""")
+def effective_date_repair(spark, sf):
+    shipped = F.to_date("l_shipdate")
+    effective = F.when(F.col("l_partkey") % 11 == 0, None).when(F.col("l_partkey") % 13 == 0, F.lit("1800-01-01").cast("date")).otherwise(shipped)
+    repaired = temporal.repaired_date(effective, F.date_add(shipped, ((F.col("l_suppkey") % 10) * 300).cast("int")))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", repaired.alias("r")).select("l_orderkey", "l_linenumber", "l_partkey", "r.date", "r.reason")
+
+
+# --- sessions, plans, evaluation
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 900 SECOND THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, user_id, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g""")
+def sessions_gap(spark, sf):
+    return evaluate.gap_sessions(table(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", "ts").select("event_id", "user_id", "session")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS "begin", max(ts) + INTERVAL 15 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def session_windows(spark, sf):
+    return queue.sessions(table(spark, sf, "events"))
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, {_words('text')} AS w FROM conversations WHERE role = 'user'), p AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM q),
+j AS (SELECT *, CASE WHEN len(list_distinct(list_concat(w, b))) > 0 THEN len(list_intersect(w, b)) / len(list_distinct(list_concat(w, b)))::DOUBLE ELSE 0 END AS l FROM p WHERE b IS NOT NULL)
+SELECT conv_id, turn, round(l, 6) AS likeness, l >= 0.35 AS reformulated FROM j WHERE NOT (l > 0.98 AND len(w) = len(b))""")
+def sessions_jaccard(spark, sf):
+    asked = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", T.words(F.col("text")).alias("words"))
+    return evaluate.reformulations(asked, "conv_id", "turn")
+
+
+@query("SELECT p_partkey, p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS turn, count(*) OVER (PARTITION BY p_brand) AS group_size FROM part")
+def round_robin(spark, sf):
+    return audit.round_robin(table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice"), "p_brand", [F.desc("p_retailprice"), F.col("p_partkey")]).drop("p_retailprice")
+
+
+@query("""WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events)
+SELECT user_id AS question, CAST(min(rank) AS INTEGER) AS rank, min(rank) <= 10 AS passed FROM r WHERE event_type = 'purchase' GROUP BY user_id""")
+def golden_ranks(spark, sf):
+    events = table(spark, sf, "events").select(F.col("user_id").alias("question"), F.col("event_id").alias("doc_id"), "value", "event_type")
+    ranked = audit.round_robin(events, "question", [F.desc("value"), F.col("doc_id")]).select("question", "doc_id", F.col("turn").alias("rank"))
+    return evaluate.golden_ranks(ranked, events.where("event_type = 'purchase'").select("question", "doc_id", F.lit(10).alias("limit")))
+
+
+@query("SELECT l_orderkey AS question, count(DISTINCT l_linestatus) = 1 AND count(DISTINCT least(l_returnflag, l_linestatus) || greatest(l_returnflag, l_linestatus)) = 1 AS stable FROM lineitem GROUP BY l_orderkey")
+def stability(spark, sf):
+    runs = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("question"), F.col("l_linenumber").alias("run"), F.col("l_linestatus").alias("state"), F.array("l_returnflag", "l_linestatus").alias("keys"))
+    return evaluate.stability(runs)
+
+
+# --- rulings, coverage, packing
+
+@query("SELECT coalesce(nullif(lang, ''), 'GENERAL') AS class, count(DISTINCT doc_id) FILTER (source = 'good') AS good, count(DISTINCT doc_id) FILTER (source = 'poor') AS poor FROM (SELECT doc_id, lang, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS source FROM documents JOIN labels USING (doc_id)) GROUP BY 1")
+def coverage_pivot(spark, sf):
+    found = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("class")).join(table(spark, sf, "labels"), "doc_id")
+    return rulings.coverage_pivot(found.select("doc_id", "class", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("source")), ["good", "poor"])
+
+
+@query("SELECT count(*) AS documents, count(*) FILTER (n > 1) AS in_several FROM (SELECT l_orderkey, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY l_orderkey)")
+def multi_class_docs(spark, sf):
+    return rulings.multi_class(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("class")))
+
+
+@query("SELECT o_custkey AS subject, count(*) AS rulings, count(DISTINCT year(o_orderdate)) AS years, CAST(min(year(o_orderdate)) AS INTEGER) AS first_year, CAST(max(year(o_orderdate)) AS INTEGER) AS last_year FROM orders GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT year(o_orderdate)) > 1")
+def disagreement_signal(spark, sf):
+    return rulings.disagreements(table(spark, sf, "orders").select(F.col("o_custkey").alias("subject"), F.year("o_orderdate").alias("year")))
+
+
+@query("SELECT o_orderkey AS ruling_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def uncovered_rulings(spark, sf):
+    return rulings.uncovered(table(spark, sf, "orders").select(F.col("o_orderkey").alias("ruling_id"), F.col("o_custkey").alias("subject")), table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("subject")))
+
+
+@query("""WITH h AS (SELECT c_nationkey AS question, o_orderkey AS criterion_id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS level, year(o_orderdate) AS y, o_totalprice >= 100000 AS fit FROM orders JOIN customer ON c_custkey = o_custkey),
+r AS (SELECT *, CASE WHEN fit THEN row_number() OVER (PARTITION BY question, fit ORDER BY level, y DESC, criterion_id) END AS place FROM h)
+SELECT question, criterion_id, CASE WHEN place <= 3 THEN CAST(place AS INTEGER) END AS place, CASE WHEN NOT fit THEN 'other_matter' WHEN place > 3 THEN 'beyond_limit' ELSE '' END AS reason FROM r""")
+def criterion_select(spark, sf):
+    criteria = table(spark, sf, "orders").select(F.col("o_orderkey").alias("criterion_id"), F.col("o_custkey").alias("subject"), F.substring("o_orderpriority", 1, 1).cast("int").alias("level"), F.year("o_orderdate").alias("year"), F.when(F.col("o_totalprice") >= 100000, 1.0).otherwise(0.0).alias("share"))
+    return rulings.select_criteria(criteria, table(spark, sf, "customer").select(F.col("c_nationkey").alias("question"), F.col("c_custkey").alias("subject")))
+
+
+_CAUSE_SQL = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in CAUSES)
+
+
+@query(f"SELECT cause, count(*) AS documents FROM (SELECT CASE {_CAUSE_SQL} ELSE '' END AS cause FROM documents) GROUP BY cause")
+def cause_classify(spark, sf):
+    return table(spark, sf, "documents").groupBy(rulings.cause(F.col("text"), CAUSES).alias("cause")).agg(F.count("*").alias("documents"))
+
+
+@query()
+def budget_pack(spark, sf):
+    turns = table(spark, sf, "conversations")
+    kind = F.when(F.col("turn") % 3 == 0, "central").when(F.col("turn") % 3 == 1, "ruling").otherwise("regional")
+    items = turns.select(F.col("conv_id").alias("question"), F.col("turn").alias("item_id"), kind.alias("kind"), F.length("text").alias("size"))
+    budgets = turns.groupBy(F.col("conv_id").alias("question")).agg((F.sum(F.length("text")) / 2).cast("long").alias("budget"))
+    return rulings.pack(items, budgets)
+
+
+# --- graphs, names, citations
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS o, (n_nationkey * 7 + 3) % 25 AS t FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation),
+c(seed, node, hops) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT seed, t, hops + 1 FROM c JOIN e ON node = o WHERE hops < 20)
+SELECT CAST(seed AS BIGINT) AS seed, CAST(node AS BIGINT) AS node, min(hops) AS hops FROM c GROUP BY seed, node""")
+def edge_closure(spark, sf):
+    key = F.col("n_nationkey").cast("long")
+    nations = table(spark, sf, "nation").select(key.alias("origin"))
+    edges = nations.select("origin", F.explode(F.array((F.col("origin") * 7 + 3) % 25, (F.col("origin") + 5) % 25)).alias("target")).distinct()
+    return graph.closure(edges, nations.select(F.col("origin").alias("seed")))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey < 8 THEN p_partkey ELSE p_partkey >> (3 * CAST(floor(log2(p_partkey) / 3) AS INTEGER)) END AS root, CASE WHEN p_partkey < 8 THEN 0 ELSE CAST(floor(log2(p_partkey) / 3) AS INTEGER) END AS depth FROM part")
+def chain_roots(spark, sf):
+    parents = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") >= 8, F.shiftright("p_partkey", 3)).alias("parent"))
+    return graph.chain_roots(parents)
+
+
+@query("SELECT p_partkey AS range_id, s_suppkey AS number FROM part JOIN supplier ON s_suppkey BETWEEN p_partkey AND p_partkey + p_size")
+def range_expand(spark, sf):
+    ranges = table(spark, sf, "part").select(F.col("p_partkey").alias("range_id"), F.col("p_partkey").alias("low"), (F.col("p_partkey") + F.col("p_size")).alias("high"))
+    return graph.range_expand(ranges, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("number")))
+
+
+@query("SELECT p_partkey AS origin, unnest(list_distinct([CAST(p_size AS VARCHAR), (p_size + 2) || ' bis', CAST(p_size + 10 AS VARCHAR), CAST(p_size + 11 AS VARCHAR), CAST(p_size + 12 AS VARCHAR)])) AS number FROM part")
+def reference_numbers(spark, sf):
+    text = F.concat(F.lit("Norma\nSegún los artículos "), F.col("p_size"), F.lit(", "), F.col("p_size") + 2, F.lit(" bis y "), F.col("p_size") + 10, F.lit(" a "), F.col("p_size") + 12, F.lit(" de esta ley."))
+    return graph.mentions(table(spark, sf, "part").select(F.col("p_partkey").alias("origin"), text.alias("text")))
+
+
+@query("""WITH a AS (SELECT p_brand AS body, p_type AS document, CAST(p_size AS VARCHAR) AS number, p_partkey AS key FROM part),
+u AS (SELECT body, document, number, min(key) AS key FROM a GROUP BY ALL), own AS (SELECT body, number, min(key) AS own FROM u GROUP BY ALL), sib AS (SELECT document, number, min(key) AS sibling, count(*) AS n FROM u GROUP BY ALL),
+q AS (SELECT DISTINCT p_partkey AS origin, p_brand AS body, p_type AS document, CAST(p_size + 1 AS VARCHAR) AS number FROM part),
+j AS (SELECT origin, number, coalesce(own, CASE WHEN n = 1 THEN sibling END) AS target, n FROM q LEFT JOIN own USING (body, number) LEFT JOIN sib USING (document, number))
+SELECT CASE WHEN target IS NOT NULL THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'not_found' END AS state, count(*) AS edges, count(*) FILTER (origin = target) AS self_references FROM j GROUP BY 1""")
+def edge_states(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("document"), F.col("p_size").alias("size"), F.col("p_partkey").alias("key"))
+    # a body is a brand within a document here; its own articles are looked up by brand
+    articles = part.groupBy(F.col("brand").alias("body"), "document", F.col("size").cast("string").alias("number")).agg(F.min("key").alias("key"))
+    own = articles.groupBy("body", "number").agg(F.min("key").alias("own"))
+    siblings = articles.groupBy("document", "number").agg(F.min("key").alias("sibling"), F.count("*").alias("n"))
+    asked = part.select(F.col("key").alias("origin"), F.col("brand").alias("body"), "document", (F.col("size") + 1).cast("string").alias("number"))
+    return graph.edge_statistics(graph.classified(asked, own, siblings))
+
+
+@query("""WITH k AS (SELECT n_nationkey, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS alias FROM nation), c AS (SELECT c_custkey, c_nationkey FROM customer)
+SELECT c_custkey AS name_id, n_nationkey AS body, 'resolved' AS state FROM c JOIN k ON c_nationkey = n_nationkey""")
+def name_resolution(spark, sf):
+    nation, customer = table(spark, sf, "nation"), table(spark, sf, "customer")
+    alias = nation.select(F.col("n_nationkey").alias("body"), T.comparison_key(F.col("n_name")).alias("alias"))
+    names = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("name_id"), F.concat("n_name", F.lit(", norma de "), "c_name").alias("name"))
+    return registry.resolve_names(names, alias)
+
+
+@query()
+def citation_extract(spark, sf):
+    text = F.concat(F.lit("Dice «"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("» (artículo "), F.col("item_id"), F.lit("). Véase https://example.org/"), F.col("item_id"))
+    return verify.citations(table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), text.alias("text")))
+
+
+@query(f"""WITH c AS (SELECT item_id, text, CASE item_id % 4 WHEN 1 THEN upper(substr(text, 1, 60)) WHEN 2 THEN substr(text, 1, 12) ELSE substr(text, 1, 60) END AS literal FROM benchmark),
+n AS (SELECT *, {_literal('literal')} AS l, {_literal('text')} AS t FROM c)
+SELECT item_id AS cite_id, CASE WHEN item_id % 5 = 0 OR NOT contains(t, l) THEN 'REJECTED' ELSE 'VERIFIED' END AS verdict,
+CASE WHEN item_id % 5 = 0 THEN 'not_in_force' WHEN contains(t, l) THEN CASE WHEN len(l) < 25 THEN 'short' ELSE '' END WHEN contains(lower(t), lower(l)) THEN 'case_differs' WHEN contains({_fold('t')}, {_fold('l')}) THEN 'accents_differ' ELSE 'not_literal' END AS reason FROM n""")
+def citation_verdicts(spark, sf):
+    items = table(spark, sf, "benchmark")
+    literal = F.when(F.col("item_id") % 4 == 1, F.upper(F.substring("text", 1, 60))).when(F.col("item_id") % 4 == 2, F.substring("text", 1, 12)).otherwise(F.substring("text", 1, 60))
+    number = F.col("item_id").cast("string").alias("number")
+    cited = items.select(F.col("item_id").alias("cite_id"), literal.alias("literal"), number, F.lit(None).cast("string").alias("link"), F.array(literal).alias("pieces"))
+    articles = items.select(number, F.col("item_id").alias("key"), "text", (F.col("item_id") % 5 != 0).alias("in_force"), F.lit("").alias("url"))
+    return verify.verdicts(cited, articles)
+
+
+@query()
+def masked_claims(spark, sf):
+    return verify.unsupported_claims(table(spark, sf, "documents"))
+
+
+# --- shredding
+
+_BLOCKS = """b AS (SELECT p_brand AS norm, p_partkey AS position, p_size AS number, CASE WHEN p_size % 4 = 0 THEN 'encabezado' ELSE 'precepto' END AS kind, p_size % 5 AS level FROM part),
+g AS (SELECT *, CASE WHEN kind = 'precepto' AND number < last_value(CASE WHEN kind = 'precepto' THEN number END IGNORE NULLS) OVER (PARTITION BY norm ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS falls FROM b),
+d AS (SELECT *, CAST(sum(falls) OVER (PARTITION BY norm ORDER BY position ROWS UNBOUNDED PRECEDING) AS BIGINT) AS body FROM g)"""
+
+
+def _blocks(spark, sf) -> DataFrame:
+    size = F.col("p_size")
+    words = F.array(*[F.lit(w) for w in ("LIBRO", "TÍTULO", "CAPÍTULO", "Sección", "Subsección")])
+    title = F.when(size % 4 == 0, F.concat(F.get(words, (size % 5).cast("int")), F.lit(" "), F.col("p_partkey"))).otherwise(F.concat(F.lit("Artículo "), size))
+    return table(spark, sf, "part").select(F.col("p_brand").alias("norm"), F.col("p_partkey").alias("position"), title.alias("title"), shred.block_kind(title).alias("kind"), shred.article_number(title).alias("number"))
+
+
+@query(f"WITH {_BLOCKS} SELECT norm, position, kind, body FROM d")
+def body_split(spark, sf):
+    return shred.with_bodies(_blocks(spark, sf)).select("norm", "position", "kind", "body")
+
+
+_AT = ", ".join(f"last_value(CASE WHEN kind = 'encabezado' AND level <= {i} THEN {{'l': level, 'p': position}} END IGNORE NULLS) OVER w AS a{i}" for i in range(5))
+_PATH = ", ".join(f"CASE WHEN a{i}.l = {i} THEN a{i}.p END" for i in range(5))
+
+
+@query(f"WITH {_BLOCKS}, a AS (SELECT *, {_AT} FROM d WINDOW w AS (PARTITION BY norm, body ORDER BY position ROWS UNBOUNDED PRECEDING)) SELECT norm, position, array_to_string(list_filter([{_PATH}], lambda x: x IS NOT NULL), ',') AS path FROM a")
+def heading_paths(spark, sf):
+    path = F.transform("context", lambda t: F.regexp_extract(t, r"(\d+)$", 1))
+    return shred.with_context(shred.with_bodies(_blocks(spark, sf))).select("norm", "position", F.array_join(path, ",").alias("path"))
+
+
+# --- audits, seals, catalogues
+
+@query("""SELECT unnest(['no_text', 'short', 'length', 'repeated_lang']) AS control, unnest([count(*) FILTER (text IS NULL), count(*) FILTER (len(text) < 50), count(*) FILTER (n_chars != len(text)), count(*) FILTER (lang NOT IN ('de', 'en', 'es', 'fr'))]) AS failures, count(*) AS total FROM documents""")
+def quality_audit(spark, sf):
+    controls = {"no_text": F.col("text").isNull(), "short": F.length("text") < 50, "length": F.col("n_chars") != F.length("text"), "repeated_lang": ~F.col("lang").isin("de", "en", "es", "fr")}
+    return audit.audit(table(spark, sf, "documents"), controls)
+
+
+@query("SELECT sha256(text) AS key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1 OR sha256(any_value(text)) IS NULL")
+def duplicate_texts(spark, sf):
+    return duplicate_keys(table(spark, sf, "documents").select(F.sha2("text", 256).alias("key")), "key")
+
+
+_SEAL = "count(*) AS rows, CAST(sum(strlen(text)) AS BIGINT) AS bytes, " + " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 12 * i}, 12) AS BIGINT)) AS VARCHAR)" for i in range(4)) + " AS checksum"
+
+
+@query(f"SELECT source, {_SEAL} FROM (SELECT source, text, sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), text)) AS h FROM documents) GROUP BY source")
+def seal_profile(spark, sf):
+    return audit.seal(table(spark, sf, "documents"), "source", "doc_id", F.col("text"))
+
+
+@query(f"""WITH a AS (SELECT source, {_SEAL} FROM (SELECT source, text, sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), text)) AS h FROM documents) GROUP BY source),
+d AS (SELECT doc_id, CASE WHEN source = 'src7' THEN 'gone' ELSE source END AS source, CASE WHEN source = 'src5' THEN upper(text) ELSE text END AS text FROM documents WHERE NOT (source = 'src3' AND lang = 'en')),
+b AS (SELECT source, {_SEAL} FROM (SELECT source, text, sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), text)) AS h FROM d) GROUP BY source),
+j AS (SELECT coalesce(a.source, b.source) AS source, CASE WHEN b.source IS NULL THEN 'unsealed' WHEN a.source IS NULL THEN 'unreadable' WHEN a.rows != b.rows THEN 'rows' WHEN a.checksum != b.checksum THEN 'content' END AS problem, coalesce(a.rows, 0) - coalesce(b.rows, 0) AS delta FROM a FULL JOIN b ON a.source = b.source)
+SELECT * FROM j WHERE problem IS NOT NULL""")
+def seal_check(spark, sf):
+    docs = table(spark, sf, "documents")
+    before = docs.where("NOT (source = 'src3' AND lang = 'en')").select("doc_id", F.when(F.col("source") == "src5", F.upper("text")).otherwise(F.col("text")).alias("text"), F.when(F.col("source") == "src7", "gone").otherwise(F.col("source")).alias("source"))
+    sealed = [audit.seal(d, "source", "doc_id", F.col("text")) for d in (docs, before)]
+    return audit.check_seals(*sealed, "source")
+
+
+@query("""WITH p AS (SELECT o_custkey AS custkey, max(o_totalprice) AS amount FROM orders GROUP BY 1), l AS (SELECT c_custkey AS custkey, c_acctbal AS amount FROM customer)
+SELECT coalesce(l.custkey, p.custkey) AS custkey, coalesce(l.amount, p.amount) AS amount, CASE WHEN l.custkey IS NULL THEN 'published' WHEN p.custkey IS NULL THEN 'local' ELSE 'both' END AS origin FROM l FULL JOIN p ON l.custkey = p.custkey""")
+def catalog_merge(spark, sf):
+    published = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.max("o_totalprice").alias("amount"))
+    return audit.merge_catalogue(published, table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_acctbal").alias("amount")), "custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def catalog_missing(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
+def catalog_extra(spark, sf):
+    kept = table(spark, sf, "part").where("p_size < 25").select(F.col("p_partkey").alias("l_partkey"))
+    return table(spark, sf, "lineitem").select("l_partkey").distinct().join(kept, "l_partkey", "left_anti")
+
+
+_VERDICT = "CASE count(*) % 3 WHEN 0 THEN 'green' WHEN 1 THEN 'red' ELSE 'amber' END"
+_HALF = "SELECT user_id || '-' || event_type AS key, " + _VERDICT + " AS v FROM events WHERE ts {} TIMESTAMP '2024-01-16' GROUP BY ALL"
+
+
+@query(f"""WITH a AS ({_HALF.format('<')}), b AS ({_HALF.format('>=')}), j AS (SELECT coalesce(a.key, b.key) AS key, a.v AS before, b.v AS after,
+CASE WHEN a.v IS NULL THEN 'new' WHEN b.v IS NULL THEN 'vanished' WHEN a.v = 'green' AND b.v = 'red' THEN 'regression' WHEN a.v = 'red' AND b.v = 'green' THEN 'fixed' WHEN a.v != b.v THEN 'changed' END AS change FROM a FULL JOIN b ON a.key = b.key) SELECT * FROM j WHERE change IS NOT NULL""")
+def snapshot_diff(spark, sf):
+    n = F.count("*") % 3
+    half = lambda df: df.groupBy(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("key")).agg(F.when(n == 0, "green").when(n == 1, "red").otherwise("amber").alias("verdict"))
+    events = table(spark, sf, "events")
+    return audit.snapshot_diff(half(events.where("ts < '2024-01-16'")), half(events.where("ts >= '2024-01-16'")), "key", "verdict")
+
+
+@query("SELECT coalesce(a.m, b.m) AS metric, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM (SELECT l_returnflag AS m, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) a FULL JOIN (SELECT l_returnflag AS m, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) b ON a.m = b.m WHERE coalesce(b.n, 0) != coalesce(a.n, 0)")
+def metric_deltas(spark, sf):
+    by = lambda status: table(spark, sf, "lineitem").where(F.col("l_linestatus") == status).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return audit.metric_deltas(by("F"), by("O")).na.fill(0)
+
+
+@query("SELECT coalesce(a.k, b.k) AS key, 12 * coalesce(a.n, 0) + coalesce(b.n, 0) AS score FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1) b ON a.k = b.k WHERE a.n > 0 OR b.n >= 2")
+def seeding_scores(spark, sf):
+    return audit.seeding_scores(table(spark, sf, "orders").select(F.col("o_custkey").alias("key")), table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("target")))
+
+
+@query("SELECT event_type, CAST(ts AS DATE) AS day, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS amount, count(*) AS calls, CAST(CASE WHEN grouping(event_type) = 1 THEN 3 WHEN grouping(CAST(ts AS DATE)) = 1 THEN 1 ELSE 0 END AS BIGINT) AS gid FROM events GROUP BY ROLLUP (event_type, CAST(ts AS DATE))")
+def usage_rollup(spark, sf):
+    calls = table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), F.col("value").cast("decimal(18,2)").alias("amount"))
+    return audit.usage_rollup(calls, ["event_type", "day"], ["amount"]).withColumn("amount", F.col("amount").cast("double")).withColumn("gid", F.col("gid").cast("long"))
+
+
+# --- the queue
+
+_DEMAND = "SELECT user_id AS key, count(*) AS times, CAST(min(ts) AS DATE) AS first_seen, CAST(max(ts) AS DATE) AS last_seen FROM events GROUP BY user_id"
+_MARKED = f"SELECT CAST(key AS VARCHAR) AS key, CASE key % 4 WHEN 0 THEN 'FETCHED' WHEN 1 THEN 'EMPTY' WHEN 2 THEN 'FAILED' ELSE 'PENDING' END AS state, times, first_seen, last_seen, CASE WHEN key % 4 < 3 THEN CASE WHEN key % 8 < 4 THEN DATE '2023-10-01' ELSE DATE '2023-06-01' END END AS searched, CASE WHEN key % 4 < 3 THEN 1 ELSE 0 END AS attempts FROM ({_DEMAND})"
+
+
+def _queue(spark, sf) -> DataFrame:
+    requests = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), "ts")
+    first = queue.upsert_requests(spark.createDataFrame([], queue.QUEUE), requests.where("ts < '2024-01-16'"))
+    both = queue.upsert_requests(first, requests.where("ts >= '2024-01-16'"))
+    key = F.col("key").cast("long")
+    outcome = F.when(key % 4 == 0, queue.FETCHED).when(key % 4 == 1, queue.EMPTY).when(key % 4 == 2, queue.FAILED)
+    outcomes = both.select("key", outcome.alias("outcome"))
+    day = F.when(key % 8 < 4, F.lit("2023-10-01")).otherwise(F.lit("2023-06-01")).cast("date")
+    return queue.mark(both, outcomes, day)
+
+
+@query(_MARKED)
+def queue_upsert(spark, sf):
+    return _queue(spark, sf).withColumn("attempts", F.col("attempts").cast("int"))
+
+
+@query(f"""WITH q AS ({_MARKED}), c AS (SELECT CAST(user_id AS VARCHAR) AS key FROM events WHERE event_type = 'signup' GROUP BY user_id HAVING count(*) > 15)
+SELECT key, state, times, CASE state WHEN 'PENDING' THEN 0 WHEN 'EMPTY' THEN 1 ELSE 2 END AS priority FROM q WHERE key NOT IN (SELECT key FROM c)
+AND (state = 'PENDING' OR (state = 'EMPTY' AND DATE '{TODAY}' - searched >= 90) OR (state = 'FETCHED' AND DATE '{TODAY}' - searched >= 180))""")
+def retry_due(spark, sf):
+    covered = table(spark, sf, "events").where("event_type = 'signup'").groupBy(F.col("user_id").cast("string").alias("key")).agg(F.count("*").alias("n")).where("n > 15")
+    return queue.due(_queue(spark, sf), covered, F.lit(TODAY).cast("date")).select("key", "state", "times", "priority")
+
+
+@query(f"""WITH q AS ({_MARKED}), a AS (SELECT count(*) FILTER (state = 'PENDING' OR (state = 'EMPTY' AND DATE '{TODAY}' - searched >= 90) OR (state = 'FETCHED' AND DATE '{TODAY}' - searched >= 180)) AS waiting,
+CAST(DATE '{TODAY}' - max(searched) AS INTEGER) AS silent_days, CAST(max(DATE '{TODAY}' - first_seen) FILTER (state = 'PENDING') AS INTEGER) AS oldest_days FROM q) SELECT *, waiting > 0 AND silent_days >= 5 AS silence, coalesce(oldest_days >= 14, false) AS backlog FROM a""")
+def queue_alarms(spark, sf):
+    return queue.alarms(_queue(spark, sf), F.lit(TODAY).cast("date"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
