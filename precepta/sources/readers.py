@@ -51,7 +51,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(case_id, expected, year, reason, text) of a file of blocks from '--- CASO:' to '--- FIN'."""
     blocks = spark.read.text(path, lineSep="--- FIN").where(F.col("value").contains("--- CASO:"))
     field = lambda name: F.trim(F.regexp_extract("value", rf"(?m)^{name}:[ \t]*(.*)$", 1))
-    return blocks.select(F.trim(F.regexp_extract("value", r"--- CASO:\s*(.*)", 1)).alias("case_id"), field("esperado").alias("expected"), field("ejercicio").alias("year"), field("motivo").alias("reason"), F.trim(F.regexp_extract("value", r"(?s)\ntexto:\s*(.*)$", 1)).alias("text"))
+    return blocks.select(F.trim(F.regexp_extract("value", r"--- CASO:\s*(.*)", 1)).alias("case_id"), field("esperado").alias("expected"), field("ejercicio").alias("year"), field("motivo").alias("reason"), F.regexp_extract("value", r"(?s)\ntexto:\s*(.*?)\s*$", 1).alias("text"))
 
 
 def read_xml_blocks(spark: SparkSession, path: str, schema: StructType | str, row_tag: str = "bloque") -> DataFrame:
