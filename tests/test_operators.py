@@ -15,7 +15,7 @@ from precepta.streaming import queue
 
 
 def rows(df, *order):
-    return [tuple(r) for r in df.orderBy(*order).collect()]
+    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
 
 
 # --- text
