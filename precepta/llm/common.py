@@ -51,6 +51,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: The ASCII characters that are neither letters nor digits.
+BETWEEN_WORDS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+
+
 def alphanumeric_words(text: Column) -> Column:
-    """Array of the words of lower-cased text; empty for null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(ALPHANUMERIC), F.lit(0)), F.array().cast("array<string>"))
+    """Array of the words (see ALPHANUMERIC) of lower-cased text; empty for null.
+
+    One pass lowers letters and blanks out all else, so that a split at single blanks, without a pattern, gives the words.
+    """
+    blanked = F.translate(text, UPPER + BETWEEN_WORDS, LOWER + " " * len(BETWEEN_WORDS))
+    return F.coalesce(F.array_remove(F.split(blanked, " "), ""), F.array().cast("array<string>"))

@@ -33,7 +33,8 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): occurrences in all of docs of those of terms (term) that occur."""
-    found = _scan(docs).select(F.explode("words").alias("term"))
+    # words are never empty; the plain explode would have them split twice, for a filter on their number
+    found = _scan(docs).select(F.explode_outer("words").alias("term"))
     return found.join(checked_broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
