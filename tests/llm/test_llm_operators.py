@@ -138,6 +138,20 @@ def test_shared_passages_go_but_once(docs, texts):
     assert middle in " ".join(got[150].split()) and not any(middle in " ".join(got[i].split()) for i in (151, 152, 153))
 
 
+def test_every_passage_of_over_50_words_goes(spark):
+    rng = np.random.default_rng(8)
+    prose = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    wanted, pairs = set(), []
+    for i in range(400):
+        passage, every = prose(51 + i % 30), (0, 7, 15, 25)[i // 30 % 4]
+        passage = [w + ("." if every and k % every == every - 1 else "") for k, w in enumerate(passage)]
+        for doc in (i, 1000 + i):
+            pairs.append((doc, " ".join(prose(int(rng.integers(1, 60))) + passage + prose(int(rng.integers(1, 60))))))
+        wanted.add(1000 + i)
+    got = substring_dedup.substring_dedup(spark.createDataFrame(pairs, "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.where("n_removed > 0").collect()} == wanted
+
+
 # --- 4
 
 def test_contamination_by_brute_force(spark, docs, empty, texts):
