@@ -25,6 +25,20 @@ STOP_WORDS = frozenset(
 BLOCKS = frozenset("address article blockquote body br center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 head hr html li main ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 DROPPED = frozenset("aside button canvas dialog footer form head header iframe menu nav object select svg".split())
 MAIN = frozenset(("article", "main"))
+VOID = frozenset("area base br col embed frame hr img input keygen link meta param source track wbr".split())
+#: Elements that hold others of their kind apart: end tags and implied ends inside don't reach beyond them.
+CELLS, LISTS = frozenset("button caption object table td th".split()), frozenset("dir menu ol ul".split())
+ROWS = frozenset("caption tbody td tfoot th thead tr".split())
+#: What a start tag ends, and what keeps it from doing so; paragraphs are ended by blocks besides.
+ENDED = {
+    "li": (("li",), LISTS | CELLS),
+    **dict.fromkeys(("dt", "dd"), (("dt", "dd"), CELLS | {"dl"})),
+    **dict.fromkeys(("option", "optgroup"), (("option",), CELLS | {"select"})),
+    **dict.fromkeys(("td", "th"), (("td", "th"), frozenset(("table",)))),
+    "tr": (("tr",), frozenset(("table",))),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (("tbody", "thead", "tfoot"), frozenset(("table",)))),
+}
+P_ENDS = BLOCKS - frozenset("body br head html option tbody td tfoot th thead title tr".split()) | frozenset("aside dialog footer form header hgroup menu nav search".split())
 COMMENTS = re.compile(r"(?i)(?<![a-z])(?:comments?|comment-?list|disqus|replies|respond|user-?reviews?)(?![a-z])")
 OTHERS = re.compile(
     r"(?i)(?<![a-z])(?:ads?|adverts?|advertisements?|adsense|alert|banner|breadcrumbs?|consent|cookies?|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|"
@@ -40,6 +54,57 @@ TOKEN = re.compile(
 WORD = re.compile(r"[^\W\d_]+")
 
 
+class _Open:
+    """The elements that are open, each with its place; each step takes constant time on average.
+
+    Both steps return the place of the outermost element they end, or one past all places.
+    """
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.blocks: list[int] = []
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def end(self, place: int) -> int:
+        while len(self.tags) > place:
+            self.places[self.tags.pop()].pop()
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
+        return place
+
+    def start_tag(self, tag: str, left_out: int) -> int:
+        """Ends what the tag implies and opens it. A block in the left-out element doesn't end a paragraph around that."""
+        ended = len(self.tags)
+        if tag in ENDED:
+            tags, keep = ENDED[tag]
+            if (place := self.last(tags)) > self.last(keep):
+                ended = self.end(place)
+        if tag in P_ENDS and (place := self.last(("p",))) > self.last(CELLS) and (tag == "p" or place >= left_out):
+            ended = min(ended, self.end(place))
+        if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.tags))
+            if tag in BLOCKS or tag in DROPPED:
+                self.blocks.append(len(self.tags))
+            self.tags.append(tag)
+        return ended
+
+    def end_tag(self, tag: str, left_out: int) -> int:
+        """Ends the nearest element of the tag with all in it, but not from inside of what holds elements apart."""
+        place = self.last((tag,))
+        if tag in MAIN or tag in ("body", "html", "table") or place == left_out:
+            keep = -1
+        elif tag in ROWS:
+            keep = self.last(("table",))
+        elif tag in BLOCKS or tag in DROPPED:
+            keep = self.last((CELLS | LISTS if tag == "li" else CELLS) - {tag})
+        else:
+            keep = self.blocks[-1] if self.blocks else -1
+        return self.end(place) if place > keep else len(self.tags)
+
+
 def _unwanted(tag: str, attributes: str) -> bool:
     if tag in DROPPED:
         return True
@@ -54,13 +119,13 @@ def _unwanted(tag: str, attributes: str) -> bool:
 def blocks(page: str) -> list[tuple[str, int, int]]:
     """(text, characters in links, number of the article it lies in or 0) of the blocks of a page, in order.
 
-    Elements that aren't the article by their name or class are left out with all they hold; one that is never closed
-    ends where an article begins.
+    Elements that aren't the article by their name or class are left out with all they hold. One without an end tag ends
+    with its parent, at the next sibling that implies its end, or where an article begins; void elements hold nothing.
     """
     found: list[tuple[str, int, int]] = []
     parts: list[str] = []
     links = article = articles = depth = 0
-    inside, link, left_out, nested = 0, False, "", 0
+    inside, link, left_out, opened = 0, False, -1, _Open()
 
     def close() -> None:
         nonlocal links
@@ -72,7 +137,7 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
 
     def add(text: str) -> None:
         nonlocal links
-        if text and not left_out:
+        if text and left_out < 0:
             parts.append(text)
             if link:
                 links += len(" ".join(html.unescape(text).split()))
@@ -84,20 +149,21 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         if not tag:
             continue
         tag = tag.lower()
-        if left_out:
-            if tag == left_out and not attributes.endswith("/"):
-                nested += -1 if shut else 1
-            if not nested:
-                left_out = ""
-                continue
-            if shut or tag not in MAIN or left_out in MAIN or _unwanted(tag, attributes):
+        holds = tag in VOID or not attributes.endswith("/")
+        ended = opened.end_tag(tag, left_out) if shut else opened.start_tag(tag, left_out) if holds else len(opened.tags)
+        if left_out >= 0:
+            if ended <= left_out:
+                own, left_out = shut and ended == left_out, -1
+                if own:
+                    continue
+            elif shut or tag not in MAIN or opened.tags[left_out] in MAIN or _unwanted(tag, attributes):
                 continue
-            left_out, nested = "", 0
+            left_out = -1
         if not shut and _unwanted(tag, attributes):
             if tag in BLOCKS or tag in DROPPED:
                 close()
-            if not attributes.endswith("/"):
-                left_out, nested = tag, 1
+            if tag not in VOID and holds:
+                left_out = len(opened.tags) - 1
             continue
         if tag in BLOCKS:
             close()

@@ -383,3 +383,31 @@ def test_pages(spark):
     want = f"Title & more {article} Short one here. {article}"
     assert got[1] == (want, len(want)) and got[2] == got[3] == ("", 0) and len(got) == 5
     assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "markup, left",
+    [
+        ('<img class="social-icon" src="a.png">', ""),
+        ('<hr class="ad">', ""),
+        ('<input id="search">', ""),
+        ('<p class="notice">gone<p>kept</p>', "kept"),
+        ('<p class="notice">gone<div>kept</div>', "kept"),
+        ('<ul><li class="social">gone<li>kept</li></ul>', "kept"),
+        ('<ul><li class="social">gone<ul><li>gone</ul>gone</ul>', ""),
+        ('<div><span class="ad">gone</div>', ""),
+        ('<table><tr class="ad"><td>gone<tr><td class="ad">gone<td>kept</table>', "kept"),
+        ('<dl><dt class="promo">gone<dd>kept</dl>', "kept"),
+        ('<datalist><option class="ad">gone<option>kept</datalist>', "kept"),
+        ('<p>kept <span class="share"><div>gone</div></span></p>', "kept"),
+        ('<div class="ad"><b></i></p></b><div>gone</div>gone</div>', ""),
+    ],
+)
+def test_unwanted_elements_end_where_they_do(markup, left):
+    rest = "This is the rest of the article, which is long enough to be kept by the rules for blocks."
+    text, *_ = html_extract.extract(f"<article><section><p>{rest}</p>{markup}<p>{rest}</p></section><p>{rest}</p></article>")
+    assert text == " ".join(x for x in (rest, left, rest, rest) if x)
+
+
+def test_many_open_elements_take_little_time():
+    assert html_extract.extract("<article>" + "<i><b></i></u>" * 50_000 + "text")[0] == "text"
