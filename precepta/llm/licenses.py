@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from precepta.llm.common import alphanumeric_words, cut
 
-#: Highest-IDF licence words that are looked up for each file, and the share of their weight that must be aligned.
+#: Highest-IDF words of each template that are looked up, and the share of their weight that must be aligned.
 LOOKED_UP, LEAST_SCORE = 8, 0.5
 # Phrases of the base labels, templates of licence notices, and key phrases of which a template needs one.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -35,9 +35,10 @@ KEYS = {
     "cc-by-nc": ["cc by nc 4 0", "creative commons attribution noncommercial"],
     "cc-by-sa": ["cc by sa 4 0", "creative commons attribution sharealike"],
 }
-#: Words that say nothing about licences: not indexed, and left open where a phrase has them.
+#: Words that say nothing about licences: not indexed, and left open where a template has them.
 COMMON = frozenset("a an and any are as be by can following for form in is it met no of or person provided subject terms that the this to under use v with without work you".split())
 END = " "
+KEY_WORDS = {f" {phrase} ": label for label, phrases in KEYS.items() for phrase in phrases}
 
 
 def _positions(spark: SparkSession, texts: dict[str, list[str]], kind: str) -> DataFrame:
@@ -50,11 +51,22 @@ def _positions(spark: SparkSession, texts: dict[str, list[str]], kind: str) -> D
     return F.broadcast(spark.createDataFrame(rows, "label string, kind string, phrase string, place int, word string, n int"))
 
 
+def _with_keys(words: Column) -> Column:
+    """words, END and those of KEY_WORDS that stand in words, compared word by word. Both arrays are computed once."""
+    keys = F.array(*(F.lit(k) for k in KEY_WORDS))
+    found = lambda text: F.filter(keys, lambda k: F.contains(text, k))
+    whole = lambda w: F.concat(F.lit(END), F.array_join(w, " "), F.lit(END))
+    return F.flatten(F.transform(F.array(words), lambda w: F.concat(w, F.array(F.lit(END)), F.flatten(F.transform(F.array(whole(w)), found)))))
+
+
 def license_postings(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(row, doc_id, word, position) of words (word) in docs, and for each row of docs one of END at its number of words."""
-    text = F.concat(alphanumeric_words(F.col("text").cast("string")), F.array(F.lit(END)))
+    """(row, doc_id, word, position) of words (word) in docs, and for each row of docs one of END at its number of words.
+
+    Behind END, each key phrase of the row stands as one word between blanks.
+    """
+    text = _with_keys(alphanumeric_words(F.col("text").cast("string")))
     each = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("words")).select("row", "doc_id", F.posexplode("words").alias("position", "word"))
-    wanted = words.select("word").union(words.sparkSession.createDataFrame([(END,)], "word string")).distinct()
+    wanted = words.select("word").union(words.sparkSession.createDataFrame([(x,) for x in (END, *KEY_WORDS)], "word string")).distinct()
     return each.join(F.broadcast(wanted), "word").select("row", "doc_id", "word", "position")
 
 
@@ -64,38 +76,40 @@ def license_scan(docs: DataFrame, looked_up: int = LOOKED_UP, least_score: float
     Words are runs of letters, digits and other non-ASCII characters of the text with A-Z lower-cased. n_base counts the
     places where the words of a base phrase stand consecutively; first_word and last_word are their first and last
     starts. base_labels and labels: distinct, sorted, comma-joined, empty if there are none; labels has the base ones
-    and those of the method. score: the best share of a file's looked-up weight that is aligned with one template, 1
-    where a base phrase stands, 0 without any label.
+    and those of the method. score: the best share of a template's looked-up weight that is aligned, 1 where a base
+    phrase stands, 0 without any label.
 
     One scan stores the positions of the licence words; texts aren't shuffled. A word's IDF counts the documents that
-    have it, over all of docs. Each file's highest-IDF licence words are looked up in the templates' postings; those
-    at one relative position add up, and a template whose best alignment has least_score of the weight gives its label
-    if one of its key phrases stands in the file. Templates and phrases are constants, so broadcasts are of fixed size.
+    have it, over all of docs. Each template's highest-IDF words are looked up in the postings of the files that have
+    one of its key phrases, word for word; those at one relative position add up, and a template whose best alignment
+    has least_score of its own weight gives its label, whatever else stands in the file. Templates and phrases are
+    constants, so broadcasts are of fixed size.
 
     Null and empty texts have no words and no labels. Rows are told apart by their place: repeated rows and null ids
     are each judged on their own text. Further columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    phrases, keys, templates = _positions(spark, {k: [v] for k, v in PHRASES.items()}, "base"), _positions(spark, KEYS, "key"), _positions(spark, TEMPLATES, "template")
-    index = cut(license_postings(docs.select("doc_id", "text"), phrases.union(keys).union(templates).select("word").distinct()))
-    words = index.where(F.col("word") != END)
+    phrases, templates = _positions(spark, {k: [v] for k, v in PHRASES.items()}, "base"), _positions(spark, TEMPLATES, "template")
+    keys = F.broadcast(spark.createDataFrame(list(KEY_WORDS.items()), "word string, label string"))
+    index = cut(license_postings(docs.select("doc_id", "text"), phrases.union(templates).select("word").distinct()))
+    words = index.where(~F.startswith("word", F.lit(END)))
+    verified = index.join(keys, "word").select("row", "label").distinct()
 
-    # base and key phrases: all their words at one offset
+    # base phrases: all their words at one offset
     start = (F.col("position") - F.col("place")).alias("start")
-    whole = words.join(F.broadcast(phrases.union(keys)), "word").where("position >= place").groupBy("row", "label", "kind", "phrase", "n", start).agg(F.count("*").alias("found")).where("found = n")
-    whole = cut(whole.select("row", "label", "kind", "start"))
-    base = whole.where("kind = 'base'").groupBy("row").agg(F.count("*").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"), F.collect_set("label").alias("base"))
-    verified = whole.where("kind = 'key'").select("row", "label").distinct()
-
-    terms = words.groupBy("row", "word").agg(F.count("*").alias("tf"))
-    total = index.where(F.col("word") == END).count()
-    idf = terms.groupBy("word").agg(F.count("*").alias("df")).select("word", F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # a row for each licence word
-    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("idf"), "word"))  # as many rows as licence words
-    rare = terms.join(F.broadcast(idf), "word").withColumn("rank", rank).where(F.col("rank") <= looked_up).select("row", "word", "idf")
-    rare = rare.withColumn("weight", F.sum("idf").over(Window.partitionBy("row")))
-    aligned = words.join(rare, ["row", "word"]).join(F.broadcast(templates), "word").select("row", "label", "phrase", (F.col("position") - F.col("place")).alias("shift"), "word", "idf", "weight").distinct()
-    scored = aligned.groupBy("row", "label", "phrase", "shift").agg((F.sum("idf") / F.first("weight")).alias("share")).groupBy("row", "label").agg(F.max("share").alias("share"))
-    method = scored.where(F.col("share") >= least_score).join(verified, ["row", "label"], "left_semi").groupBy("row").agg(F.collect_set("label").alias("method"), F.max("share").alias("share"))
+    base = words.join(phrases, "word").where("position >= place").groupBy("row", "label", "n", start).agg(F.count("*").alias("found")).where("found = n")
+    base = base.groupBy("row").agg(F.count("*").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"), F.collect_set("label").alias("base"))
+
+    found = words.select("row", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))  # a row for each licence word
+    total, df = index.where(F.col("word") == END).count(), F.coalesce("df", F.lit(0))
+    idf = F.log(1 + (F.lit(float(total)) - df + 0.5) / (df + 0.5))
+    terms = templates.select("phrase", "word").distinct().join(F.broadcast(found), "word", "left").select("phrase", "word", idf.alias("idf"))
+    rare = terms.withColumn("rank", F.row_number().over(Window.partitionBy("phrase").orderBy(F.desc("idf"), "word"))).where(F.col("rank") <= looked_up)
+    rare = rare.withColumn("part", F.col("idf") / F.sum("idf").over(Window.partitionBy("phrase")))  # as many rows as template words
+    rare = cut(templates.join(rare, ["phrase", "word"]).select("label", "phrase", "place", "word", "part"))
+    aligned = words.join(verified, "row").join(F.broadcast(rare), ["label", "word"]).select("row", "label", "phrase", (F.col("position") - F.col("place")).alias("shift"), "word", "part").distinct()
+    scored = aligned.groupBy("row", "label", "phrase", "shift").agg(F.sum("part").alias("share")).groupBy("row", "label").agg(F.max("share").alias("share"))
+    method = scored.where(F.col("share") >= least_score).groupBy("row").agg(F.collect_set("label").alias("method"), F.max("share").alias("share"))
 
     none = F.array().cast("array<string>")
     lengths = index.where(F.col("word") == END).select("row", "doc_id", F.col("position").cast("long").alias("n_words"))

@@ -305,6 +305,19 @@ def test_licences_by_brute_force(spark, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_licences_of_files_with_several_notices_and_long_files(spark):
+    notices = {label: phrases[0] for label, phrases in licenses.TEMPLATES.items()}
+    labels = sorted(notices)
+    texts = [(set(x), ". Also: ".join(notices[y] for y in x)) for x in [("cc-by-sa", "mpl"), ("bsd", "cc-by-sa", "mpl"), ("agpl", "bsd", "lgpl"), tuple(labels)]]
+    noise = " x ".join(sorted({w for t in licenses.TEMPLATES.values() for p in t for w in p.split()})) + " "
+    texts += [({x}, noise * 20 + notices[x].upper() + " " + noise * 20) for x in labels]
+    texts += [(set(), "redistribution and of source in the binary forms with modification"), (set(), "licensed under cc and nc 4 0"), (set(), noise)]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, (want, _) in enumerate(texts):
+        assert set(got[i]["labels"].split(",")) - {""} == want | (set(got[i]["base_labels"].split(",")) - {""}), texts[i][1][:200]
+    assert all(got[i]["score"] == pytest.approx(1) for i, (want, _) in enumerate(texts) if want)
+
+
 # --- 8
 
 def test_classifier_learns_and_handles_odd_rows(spark, docs, empty):
