@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,20 +70,22 @@ def range_expand(ranges: DataFrame, existing: DataFrame, width: int = MOST_SPAN)
     return binned.join(existing.withColumn("bin", F.floor(F.col("number") / width)), "bin").where("number BETWEEN low AND high").select("range_id", "number")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, depth: int = 20) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node, hops) of all nodes reached from seeds (seed) over edges (origin, target), each at its fewest hops.
 
-    Rounds of frontier joins until nothing new is reached; each round's table is cut off from its lineage.
+    Rounds of frontier joins until nothing new is reached, as many as the graph is deep; each round's table is cut off
+    from its lineage.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = cut(edges.select("origin", "target").distinct())
     reached = cut(seeds.select("seed", F.col("seed").alias("node")).distinct().withColumn("hops", F.lit(0)))
     frontier = reached
-    for hop in range(1, depth + 1):
+    for hop in count(1):
         step = frontier.join(edges, F.col("node") == F.col("origin")).select("seed", F.col("target").alias("node")).distinct()
         frontier = cut(step.join(reached, ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             return reached
-        reached = cut(reached.union(frontier))
-    return reached
+        reached = cut(reached.union(frontier).coalesce(parts))
 
 
 def chain_roots(parents: DataFrame, rounds: int = 40) -> DataFrame:

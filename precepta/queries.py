@@ -335,6 +335,19 @@ def edge_closure(spark, sf):
     return graph.closure(edges, nations.select(F.col("origin").alias("seed")))
 
 
+#: Seeds of the closure over the parts (positive keys) and suppliers (negative keys) of lineitem, joined both ways.
+PART_SEEDS = [1, 2, 3]
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT DISTINCT CAST(l_partkey AS BIGINT) AS part, -CAST(l_suppkey AS BIGINT) AS supplier FROM lineitem), e AS (SELECT part AS o, supplier AS t FROM p UNION SELECT supplier, part FROM p),
+c(seed, node) AS (SELECT part, part FROM (SELECT DISTINCT part FROM p WHERE part IN {tuple(PART_SEEDS)}) UNION SELECT seed, t FROM c JOIN e ON node = o)
+SELECT seed, node FROM c""")
+def part_supplier_closure(spark, sf):
+    pairs = table(spark, sf, "lineitem").select(F.col("l_partkey").cast("long").alias("origin"), (-F.col("l_suppkey").cast("long")).alias("target")).distinct()
+    seeds = pairs.where(F.col("origin").isin(PART_SEEDS)).select(F.col("origin").alias("seed"))
+    return graph.closure(pairs.union(pairs.select("target", "origin")), seeds).select("seed", "node")
+
+
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey < 8 THEN p_partkey ELSE p_partkey >> (3 * CAST(floor(log2(p_partkey) / 3) AS INTEGER)) END AS root, CASE WHEN p_partkey < 8 THEN 0 ELSE CAST(floor(log2(p_partkey) / 3) AS INTEGER) END AS depth FROM part")
 def chain_roots(spark, sf):
     parents = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") >= 8, F.shiftright("p_partkey", 3)).alias("parent"))

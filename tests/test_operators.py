@@ -124,6 +124,12 @@ def test_closure_and_chains_survive_cycles(spark):
     assert rows(graph.chain_roots(parents, 6), "id") == [(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 1, 3), (8, None, None), (9, None, None)]
 
 
+def test_closure_reaches_the_end_of_a_deep_graph(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "origin long, target long")
+    got = rows(graph.closure(edges, spark.createDataFrame([(0,), (28,)], "seed long")), "seed", "hops")
+    assert got == [(0, i, i) for i in range(31)] + [(28, 28, 0), (28, 29, 1), (28, 30, 2)]
+
+
 def test_references_resolve_to_the_sibling_body(spark):
     articles = spark.createDataFrame([("d#0", "d", "1", "d0-1"), ("d#1", "d", "22", "d1-22"), ("o#0", "o", "22", "o-22")], "body string, document string, number string, key string")
     found = spark.createDataFrame([("d0-1", "d#0", "22"), ("d0-1", "d#0", "7"), ("d0-1", "d#0", "1")], "origin string, body string, number string")
