@@ -33,3 +33,11 @@ def test_stages_take_effect_in_order(spark, tmp_path):
     assert mixed.columns == [*columns, "copy", "n_words"]
     rates = mixing.mixing_rates(docs).agg(F.sum("taken")).first()[0]
     assert mixed.agg(F.sum("n_words")).first()[0] == rates
+
+
+def test_decontamination_takes_effect_on_each_row(spark, tmp_path):
+    leak = "one two three four five six seven eight nine ten"
+    rows = [(None, f"before {leak} behind"), (None, "clean"), (7, leak), (7, "a clean namesake"), (8, None), (None, None)]
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(None, "clean"), (7, "a clean namesake"), (8, None), (None, None)]))
