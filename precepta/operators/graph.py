@@ -11,14 +11,19 @@ from precepta.sources.readers import cut
 
 # A longer range isn't expanded.
 MOST_SPAN = 400
+#: Ordinal suffixes of article numbers, with the misspellings that occur.
+SUFFIX = (
+    r"(?i:bis|ter|qu[aá]ter|quinquies|sexies|septies|octies|nonies|decies|undecies|duodecies|terdecies|quaterdecies|quindecies|quinquiesdecies|sexiesdecies|septiesdecies|octiesdecies|noniesdecies|"
+    r"vicies|unvicies|duovicies|tervicies|quatervicies|quinvicies|sexvicies|septvicies|octovicies|novovicies|cuarter|quinque|sexvivies)(?![\wáéíóúüñ])"
+)
 #: A reference list: article mark, then numbers with suffixes joined by commas, "y", "o", "a" or "al".
-MENTION = r"(?i)\b(?:art[íi]culos?|arts?\.|articles?)\s+((?:\d+(?:\s+(?:bis|ter|quater))?(?:\s*,\s*|\s+(?:y|o|e|and|or|a|al|to)\s+)?)+)"
+MENTION = r"(?i)\b(?:art[íi]culos?|arts?\.|articles?)\s+((?:\d+(?:\s+" + SUFFIX + r")?(?:\s*,\s*|\s+(?:y|o|e|and|or|a|al|to)\s+)?)+)"
 
 
 def mentioned_numbers(text: Column) -> Column:
     """array of the article numbers a text mentions, ranges expanded up to MOST_SPAN, in order, distinct."""
     lists = F.regexp_extract_all(text, F.lit(MENTION), F.lit(1))
-    ranged = F.flatten(F.transform(lists, lambda l: F.regexp_extract_all(l, F.lit(r"(\d+(?:\s+(?:bis|ter|quater))?(?:\s+(?:a|al|to)\s+\d+)?)"), F.lit(1))))
+    ranged = F.flatten(F.transform(lists, lambda l: F.regexp_extract_all(l, F.lit(r"(\d+(?:\s+" + SUFFIX + r")?(?:\s+(?:a|al|to)\s+\d+)?)"), F.lit(1))))
 
     def expand(item: Column) -> Column:
         low, high = F.regexp_extract(item, r"^(\d+)", 1).try_cast("int"), F.regexp_extract(item, r"(?:a|al|to)\s+(\d+)$", 1).try_cast("int")

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precepta.functions.text import fold, normal_literal
+from precepta.operators.graph import SUFFIX
 from precepta.sources.readers import cut
 
 # Shorter quotations are verified with a caution; patterns of statements that need a source.
 SHORT_QUOTE = 25
 CLAIMS = {"percentage": r"\d+(?:[.,]\d+)?\s?%", "deadline": r"(?i)\b\d+\s+(?:d[íi]as?|meses|a[ñn]os?|days?|months?|years?)\b", "money": r"(?i)\b\d[\d.,]*\s?(?:€|euros?|eur)\b", "article": r"(?i)\bart[íi]culos?\s+\d+"}
 QUOTED = r"«[^»]{3,}»|“[^”]{3,}”|\"[^\"]{3,}\""
-REFERENCE = r"(?i)\b(?:art[íi]culo|art\.|article)\s+(\d+(?:\s+(?:bis|ter|quater))?)"
+REFERENCE = r"(?i)\b(?:art[íi]culo|art\.|article)\s+(\d+(?:\s+" + SUFFIX + r")?)"
 
 
 def citations(docs: DataFrame) -> DataFrame:

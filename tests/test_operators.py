@@ -124,6 +124,13 @@ def test_closure_and_chains_survive_cycles(spark):
     assert rows(graph.chain_roots(parents, 6), "id") == [(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 1, 3), (8, None, None), (9, None, None)]
 
 
+def test_suffixes_beyond_quater(spark):
+    docs = spark.createDataFrame([("a", "Norma\nSegún los artículos 163 quinquies, 5 TER y 7 terceros, 9 octiesdecies.")], "origin string, text string")
+    assert [r["number"] for r in graph.mentions(docs).collect()] == ["163 quinquies", "5 TER", "7"]
+    cited = verify.citations(spark.createDataFrame([(1, "«los tipos serán los siguientes aquí» (artículo 163 sexies)")], "doc_id int, text string"))
+    assert cited.first()["number"] == "163 sexies"
+
+
 def test_closure_reaches_the_end_of_a_deep_graph(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "origin long, target long")
     got = rows(graph.closure(edges, spark.createDataFrame([(0,), (28,)], "seed long")), "seed", "hops")
