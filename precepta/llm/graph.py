@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precepta.llm.common import cut, in_python
+from precepta.llm.common import cut, forget, in_python
 
 
 def _spanning(batches):
@@ -32,29 +32,38 @@ def _spanning(batches):
     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["u", "v"])
 
 
+def _nearest(star: DataFrame) -> DataFrame:
+    """(u, low, high): the smallest and the largest neighbour of each id."""
+    return star.union(star.select("v", "u")).toDF("u", "v").groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component) of every id of edges (a long, b long); component is the smallest id that can be reached.
 
     Each partition first reduces its edges to spanning stars by union-find, so that no more edges than ids are left. Then
-    rounds of large-star and small-star (joins and minima, each cut off from its lineage) until nothing changes. Nothing
-    is gathered in one task or on the driver. Self-edges and repeated edges are allowed; an empty table gives none.
+    rounds of two steps, each a join with minima that are aggregated before they are shuffled: an edge's smaller end is
+    replaced by that end's smallest neighbour (large star), then all of an id's edges by ones to its smallest (small
+    star). It is done once every id is a root, smaller than its neighbours, or has a single neighbour that is smaller.
+    Edges that meet at one root are moved by those roots only that have a smaller neighbour, few after the first round.
+    Each round is cut off from its lineage and the one before is deleted. Nothing is gathered in one task or on the
+    driver. Self-edges and repeated edges are allowed; an empty table gives none.
     """
     edges = edges.toDF("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
     star = cut(in_python(edges, _spanning, "u long, v long"))
-    before = None
     for _ in range(rounds):
-        both = star.union(star.select("v", "u")).toDF("u", "v")
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u")
-        small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", "m")).distinct()
-        star = cut(small)
-        now = tuple(star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        near = cut(_nearest(star).where("low < u AND low != high"))
+        if near.isEmpty():
+            forget(near)
             break
-        before = now
+        moved = near.where("high > u").select(F.col("u").alias("v"), "low")  # ends of larger ids that aren't smallest themselves
+        large = star.join(moved, "v", "left").select("u", F.coalesce("low", "v").alias("v"))
+        lowest = large.groupBy("u").agg(F.min("v").alias("low"))
+        small = large.join(lowest, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(lowest.select("u", "low"))
+        before, star = star, cut(in_python(small, _spanning, "u long, v long"))
+        forget(before, near)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = star.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return star.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+    ends = star.select(F.col("u").alias("id"), F.col("v").alias("component")).union(star.select("v", "v"))
+    out = cut(ends.distinct())
+    forget(star)
+    return out

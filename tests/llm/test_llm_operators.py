@@ -244,6 +244,24 @@ def test_near_duplicates_by_brute_force(docs, empty, texts):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts_are_one_node(spark):
+    x, y, z, w = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyzw")
+    near = lambda t: t.rsplit(" ", 1)[0] + " edited"
+    given = [(2, x), (5, x), (3, y), (5, y), (7, z), (8, near(z)), (8, near(w)), (9, w), (None, x), (None, None), (11, None), (11, ""), (12, "a b"), (13, "A  b")]
+    got = rows(near_dedup.near_duplicates(spark.createDataFrame(given, "doc_id long, text string")), "doc_id", "component_id", "kept")
+    assert got == Counter([(2, 2, True), (5, 2, False), (3, 2, False), (5, 2, False), (7, 7, True), (8, 7, False), (8, 7, False), (9, 7, False), (None, None, True), (None, None, True), (11, 11, True), (11, 11, True), (12, 12, True), (13, 12, False)])
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    from precepta.llm.graph import components
+
+    edges = [(i, i + 1) for i in range(100, 300)] + [(7, i) for i in range(1000, 1500)] + [(1400, 3), (5, 5), (None, 4), (9, 8), (8, 9)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "x long, y long").repartition(16)).collect()}
+    want = {i: 100 for i in range(100, 301)} | {i: 3 for i in (3, 7, *range(1000, 1500))} | {8: 8, 9: 8}
+    assert {k: v for k, v in got.items() if k != 5} == want
+    assert components(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
 def test_open_buckets_are_compared_beyond_their_first_member(spark):
     """With one row a band, buckets hold much that isn't similar to their first member; no link of those may be lost."""
     import random
