@@ -53,7 +53,7 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def in_python(df: DataFrame, function, schema: str) -> DataFrame:
+def in_python(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow(function, schema), with this package sent to the executors once for each application."""
     context = df.sparkSession.sparkContext
     if not getattr(context, "_has_precepta", False):

@@ -11,50 +11,49 @@ from precepta.llm.common import BROADCAST_ROWS, SPACED, cut
 WEIGHTS, MAX_REPEATS = (5, 2, 1), 3
 #: Shares that a source's documents are dealt over where its rate can't be broadcast.
 SHARES = 256
-#: Shifts that are tried for each source's draws.
-SHIFTS = 32
 
 
-def _ranked(sizes: DataFrame) -> DataFrame:
-    """sizes (source, ...) with rank, from 0 on in order of source by code point, null last."""
-    order = [F.col("source").isNull().cast("int"), F.col("source")]
-    parts = cut(sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    counts = parts.groupBy("part").count()
-    before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))  # a row for each partition
-    local = parts.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    return local.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("place") - 1).drop("part", "before", "place")
+def _running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """df with each of sums as the sum over all rows before its own in the order.
+
+    The rows are dealt by ranges of the order, so that each partition needs no more than the sums of those before it.
+    """
+    parts = cut(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    totals = parts.groupBy("part").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = totals.select("part", *[F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(f"{k}_start") for k in sums])
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = parts.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"{k}_own") for k, c in sums.items()])
+    return local.join(F.broadcast(starts), "part").select(*df.columns, *[(F.col(f"{k}_start") + F.col(f"{k}_own")).alias(k) for k in sums])
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(source, source_size, target) of sizes (source, source_size): target words by weight, up to max_repeats times the size.
 
-    What is above a source's limit is shared again by weight among the others, until none is above. Each round is an
-    aggregate to one row over the table of sources.
+    What is above a source's limit is shared again by weight among the others, until none is above. So the capped sources
+    come first in the order of limit / weight, and sums along it give the level, words for each unit of weight, at which
+    the first of the others stays below its limit.
     """
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    known = cut(_ranked(sizes).select("source", "source_size", (max_repeats * F.col("source_size")).alias("most"), weight.alias("weight")))
-    total = known.agg(F.sum("source_size")).first()[0] or 0
-    # a source is above at a level (words for each unit of weight) beyond most / weight; the level only rises
-    capped, capped_weight, free_weight = 0, -1.0, known.agg(F.sum("weight")).first()[0]
-    words, weight_left, level = total, free_weight, 0.0
-    while free_weight and weight_left and weight_left != capped_weight:
-        capped_weight, level = weight_left, (words, weight_left)
-        above = F.col("most") < F.lit(float(words)) * F.col("weight") / F.lit(float(weight_left))
-        capped, free = known.agg(F.sum(F.when(above, F.col("most"))), F.sum(F.when(~above, F.col("weight")))).first()
-        words, weight_left = total - (capped or 0), free or 0.0
-    share = F.lit(float(level[0])) * F.col("weight") / F.lit(float(level[1])) if level else F.lit(0.0)
-    return known.select("source", "source_size", F.least(share, F.col("most").cast("double")).alias("target"))
-
-
-def copies(rate: Column, doc_id: Column, seed: str, shift: Column) -> Column:
-    """floor(rate) copies, and one more with the chance of the fraction: a hash of seed and doc_id, shifted, falls below it."""
+    ranked = _running(sizes, [F.col("source").isNull().cast("int"), F.col("source")], rank=F.lit(1))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    known = ranked.select("source", "source_size", "rank", (max_repeats * F.col("source_size")).alias("most"), weight.alias("weight"))
+    run = _running(known, [F.col("most") / F.col("weight"), F.col("rank")], capped=F.col("most"), capped_weight=F.col("weight"))
+    run = cut(run)
+    total, weights_ = known.agg(F.sum("source_size"), F.sum("weight")).first()
+    words, free = (F.lit(total) - F.col("capped")).cast("double"), (F.lit(weights_) - F.col("capped_weight")).cast("double")
+    level = run.where(words * F.col("weight") / free <= F.col("most")).agg(F.min(F.struct("capped", words.alias("words"), free.alias("free")))).first()[0]
+    share = F.lit(level["words"]) * F.col("weight").cast("double") / F.lit(level["free"]) if level else F.lit(0.0)
+    return run.select("source", "source_size", F.least(share, F.col("most").cast("double")).alias("target"))
+
+
+def copies(rate: Column, doc_id: Column, seed: str) -> Column:
+    """floor(rate) copies, and one more with the chance of the fraction: a hash of seed and doc_id falls below it."""
     number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long")
-    draw = number / F.lit(float(1 << 52)) + shift / F.lit(float(SHIFTS))
-    return F.floor(rate).cast("long") + (F.when(draw >= 1, draw - 1).otherwise(draw) < rate - F.floor(rate)).cast("long")
+    return F.floor(rate).cast("long") + (number / F.lit(float(1 << 52)) < rate - F.floor(rate)).cast("long")
 
 
 def _with_rates(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """docs with mix_source_size, mix_target, mix_rate and mix_shift of its source.
+    """docs with mix_source_size, mix_target and mix_rate of its source.
 
     By broadcast if the sources are few (they are counted); else by a shuffle that deals each source's documents over
     SHARES keys, so that a hot source doesn't meet in one task.
@@ -66,21 +65,13 @@ def _with_rates(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return docs.withColumn("mix_own", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int")).join(dealt, same & (F.col("mix_own") == F.col("mix_share")))
 
 
-def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, size) of docs, and (mix_of, mix_source_size, mix_target, mix_rate, mix_shift) of its sources.
-
-    All draws of a source may be shifted round alike, which leaves each document its chance. Of SHIFTS shifts a source
-    gets the one that takes it nearest to its target: with few or very unequal documents, single draws stray from it.
-    """
+def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size) of docs, and (mix_of, mix_source_size, mix_target, mix_rate) of its sources."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(SPACED)), F.lit(0)).cast("long")
     sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeats)))).otherwise(F.lit(0.0))
-    targets = cut(targets.select(F.col("source").alias("mix_of"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), rate.alias("mix_rate"), F.lit(0).alias("mix_shift")))
-    taken = [F.sum(F.col("size") * copies(F.col("mix_rate"), F.col("doc_id"), seed, F.lit(k))).alias(f"taken{k}") for k in range(SHIFTS)]
-    tried = _with_rates(sized, targets).groupBy(*targets.drop("mix_shift").columns).agg(*taken)
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"taken{k}") - F.col("mix_target")).alias("off"), F.lit(k).alias("shift")) for k in range(SHIFTS)]))
-    return sized, cut(tried.select(*targets.drop("mix_shift").columns, best["shift"].alias("mix_shift")))
+    return sized, cut(targets.select(F.col("source").alias("mix_of"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), rate.alias("mix_rate")))
 
 
 def mixing_rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
@@ -88,11 +79,13 @@ def mixing_rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat
 
     size: words between white space, 0 for null; source_size: their sum over the source; target: the source's share of
     all words by weight (see source_targets; a null source is one, last in order); taken: size times the copies of the
-    document in the mix. Reruns agree; rows of one doc_id are copied alike. Sources without words have target 0 and
-    take none; an empty table gives an empty result. Further columns are ignored. Texts are read once, not shuffled.
+    document in the mix, floor(rate) of them and one more with the chance of the rate's fraction. So a source's taken
+    words are its target on average, and stray from it by about the largest documents' share. Reruns agree; rows of one
+    doc_id and source are copied alike. Sources without words have target 0 and take none; an empty table gives an empty
+    result. Further columns are ignored. Texts are read once, not shuffled.
     """
-    sized, targets = mixing_plan(docs, weights, max_repeats, seed)
-    taken = F.col("size") * copies(F.col("mix_rate"), F.col("doc_id"), seed, F.col("mix_shift"))
+    sized, targets = mixing_plan(docs, weights, max_repeats)
+    taken = F.col("size") * copies(F.col("mix_rate"), F.col("doc_id"), seed)
     return _with_rates(sized, targets).select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
 
 
@@ -101,9 +94,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
 
     Rows of sources without words are not emitted. docs is read twice, and not shuffled where the sources are few.
     """
-    _, targets = mixing_plan(docs, weights, max_repeats, seed)
+    _, targets = mixing_plan(docs, weights, max_repeats)
     out = _with_rates(docs, targets)
-    n = copies(F.col("mix_rate"), out["doc_id"], seed, F.col("mix_shift"))
+    n = copies(F.col("mix_rate"), out["doc_id"], seed)
     return out.where(n > 0).select(*[out[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("copy"))
 
 
@@ -121,8 +114,6 @@ r AS (SELECT doc_id, size, source, source_size, target, CASE WHEN source_size >
       FROM d JOIN t USING (source) UNION ALL BY NAME
       SELECT doc_id, size, d.source, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0 END AS rate,
       CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
-      FROM d JOIN t ON d.source IS NULL AND t.source IS NULL),
-c AS (SELECT doc_id, size, source, source_size, target, k, CAST(size * (floor(rate) + CASE WHEN (draw + k / 32.0::DOUBLE) % 1 < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r, range(32) AS shifts(k)),
-b AS (SELECT coalesce(source, '') AS s, source IS NULL AS n, k, row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - target), k) AS place FROM c GROUP BY source, target, k)
-SELECT doc_id, size, source_size, target, taken FROM c JOIN b ON coalesce(c.source, '') = b.s AND (c.source IS NULL) = b.n AND c.k = b.k WHERE place = 1
+      FROM d JOIN t ON d.source IS NULL AND t.source IS NULL)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """

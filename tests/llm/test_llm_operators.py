@@ -83,6 +83,25 @@ def test_mix_comes_near_its_targets(docs, empty, texts):
     assert mixing.mixing_rates(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_each_document_has_the_chance_of_the_fraction(spark):
+    rates = spark.createDataFrame([(i, r) for i in range(50) for r in (0.375, 0.75, 1.2, 2.0)], "doc_id long, rate double")
+    seeds = [mixing.copies(F.col("rate"), F.col("doc_id"), f"s{k}").alias(f"s{k}") for k in range(200)]
+    for r in rates.select("rate", *seeds).groupBy("rate").agg(*[F.avg(f"s{k}").alias(f"s{k}") for k in range(200)]).collect():
+        assert np.mean(r[1:]) == pytest.approx(r["rate"], abs=0.02) and (r["rate"] == 2 or np.std(r[1:]) > 0.03)
+
+
+def test_targets_of_many_sources_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    sizes = [(f"s{i:03}", int(rng.choice([0, 1, 5, 1000, 2 ** int(i % 30)]))) for i in range(200)] + [(None, 77)]
+    weight, left, free, targets = {s: (5, 2, 1)[k % 3] for k, (s, _) in enumerate(sizes)}, sum(n for _, n in sizes), dict(sizes), {}
+    while over := {s: 3 * n for s, n in free.items() if left * weight[s] / sum(map(weight.get, free)) > 3 * n}:
+        targets |= over
+        left, free = left - sum(over.values()), {s: n for s, n in free.items() if s not in over}
+    targets |= {s: left * weight[s] / sum(map(weight.get, free)) for s in free}
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+    assert got == pytest.approx(targets)
+
+
 @pytest.mark.parametrize("name", ["op2_source_mixing", "op4_decontamination"])
 def test_against_sql(spark, name):
     from precepta.llm import queries
