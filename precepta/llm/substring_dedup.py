@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from precepta.llm import textbytes as tb
 from precepta.llm.common import cut, in_python
@@ -125,7 +128,7 @@ def _remover(least: int, words: int, clause_every: int):
                     edges = np.append(starts[first[i] : first[i + 1]], offsets[i + 1])
                     kept = data[offsets[i] : edges[0]].tobytes() + b"".join(data[edges[k] : edges[k + 1]].tobytes() for k in np.flatnonzero(~mine))
                     texts[i] = kept.decode().strip() if mine[-1] or mine[0] else kept.decode()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), pa.array(np.diff(first).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(texts, pa.string())], ["doc_id", "n_sentences", "n_removed", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), pa.array(np.diff(first).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(texts, pa.string()), batch.column(3).slice(begin, n)], ["doc_id", "n_sentences", "n_removed", "text", "others"])
 
     return remove
 
@@ -143,17 +146,21 @@ def repeated_spans(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_word
     return spans.join(known, "span").where("doc_id != low").select("doc_id", "span")
 
 
-def substring_dedup(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS, clause_every: int = CLAUSE_EVERY) -> DataFrame:
+def substring_dedup(docs: DataFrame, run_sentences: int = RUN_SENTENCES, run_words: int = RUN_WORDS, clause_every: int = CLAUSE_EVERY, carry: Sequence[str] = ()) -> DataFrame:
     """Each document without its repeated passages: doc_id, n_sentences, n_removed, text; a row for each row of docs.
 
-    docs has doc_id (long) and text; further columns are ignored. A sentence goes if any run of several consecutive
+    docs has doc_id (long) and text; further columns are ignored, but those named in carry come in a struct, others. A sentence goes if any run of several consecutive
     sentences that covers it has occurred before, in a document of smaller doc_id or earlier in this one (words compared
     with A-Z lower-cased, white space alike). The rest stays byte for byte; if an end of the text went, it is trimmed.
 
-    A null text stays null, with no sentences; texts shorter than a run stay as they are. Rows of a null doc_id stay as
-    they are. Rows that share a doc_id are one document: what is repeated in one goes in all. A text all of whose
-    sentences go is empty. An empty table gives an empty result.
+    A null text stays null, with no sentences; texts shorter than a run stay as they are. A row of a null doc_id is held
+    against no other: it loses only what it repeats itself. Rows that share a doc_id are one document: what another one
+    has before goes in all of them, what they have in common stays. A text all of whose sentences go is empty. An empty
+    table gives an empty result.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(carry or [F.lit(None).cast("int").alias("none")])).alias("others"))
     spans = repeated_spans(texts, run_sentences, run_words, clause_every).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
-    return in_python(texts.join(spans, "doc_id", "left"), _remover(run_sentences, run_words, clause_every), "doc_id long, n_sentences long, n_removed long, text string")
+    joined = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans", "others")
+    schema = StructType.fromDDL("doc_id long, n_sentences long, n_removed long, text string").add("others", texts.schema["others"].dataType)
+    cleaned = in_python(joined, _remover(run_sentences, run_words, clause_every), schema)
+    return cleaned if carry else cleaned.drop("others")

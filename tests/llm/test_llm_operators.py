@@ -150,6 +150,52 @@ def test_substring_dedup_by_brute_force(docs, empty, texts):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_clauses_by_brute_force(spark, texts):
+    """The registered setting: the least hash of each window of 8 words inside a sentence ends a clause."""
+    def clauses(text):
+        words = list(re.finditer(r"([^\x20\x09-\x0D]+)([\x20\x09-\x0D]*)", text))
+        data = np.frombuffer(text.encode(), np.uint8)
+        start, end, _ = textbytes.split(data, np.array([0, len(data)]))
+        hashes = textbytes.word_hashes(data, start, end).tolist()
+        ends = [k == len(words) - 1 or m[1][-1] in ".!?" or "\n" in m[2] for k, m in enumerate(words)]
+        cut = set(k for k, e in enumerate(ends) if e)
+        for k in range(len(words) - 7):
+            if not any(ends[k : k + 7]):
+                cut.add(min(range(k, k + 8), key=lambda j: (hashes[j], -j)))
+        out, current = [], []
+        for k, m in enumerate(words):
+            current.append(lower(m[1]))
+            if k in cut:
+                out.append(tuple(current))
+                current = []
+        return out
+
+    def spans(s):
+        for i in range(len(s)):
+            k = i
+            while k < len(s) and (sum(map(len, s[i:k])) < substring_dedup.RUN_WORDS or k - i < substring_dedup.RUN_SENTENCES):
+                k += 1
+            if sum(map(len, s[i:k])) >= substring_dedup.RUN_WORDS and k - i >= substring_dedup.RUN_SENTENCES:
+                yield i, k
+
+    given = [(i, t) for i, t in texts if t is not None and len(t) < 20_000] + [(200, "a"), (200, texts[0][1]), (None, "one two three four five six seven eight nine ten. " * 6), (201, None)]
+    split = [clauses(t or "") for _, t in given]
+    first, want = {}, Counter()
+    for (i, _), s in zip(given, split, strict=True):
+        for a, b in spans(s) if i is not None else ():
+            first[tuple(s[a:b])] = min(i, first.get(tuple(s[a:b]), i))
+    for (i, _), s in zip(given, split, strict=True):
+        gone, seen = set(), set()
+        for a, b in spans(s):
+            if (key := tuple(s[a:b])) in seen or i is not None and first[key] < i:
+                gone |= set(range(a, b))
+            seen.add(key)
+        want[i, len(s), len(gone)] += 1
+    assert sum(n for (i, _, gone), n in want.items() if gone) > 10
+    got = substring_dedup.substring_dedup(spark.createDataFrame([(*x, "c") for x in given], "doc_id long, text string, spans string"), carry=["spans"])
+    assert rows(got, "doc_id", "n_sentences", "n_removed") == want and rows(got, "others") == Counter({(("c",),): len(given)})
+
+
 def test_shared_passages_go_but_once(docs, texts):
     passage = dict(texts)[150].split("\n")[1]
     got = {r["doc_id"]: r["text"] for r in substring_dedup.substring_dedup(docs).where("doc_id BETWEEN 150 AND 153").collect()}

@@ -35,6 +35,42 @@ def test_stages_take_effect_in_order(spark, tmp_path):
     assert mixed.agg(F.sum("n_words")).first()[0] == rates
 
 
+def test_near_dedup_by_brute_force(spark, texts):
+    """Of each group that links by full sets build, one row stays, whatever the rows' ids; rows without words all stay."""
+    given = [(i, t) for i, t in texts if len(t or "") < 20_000]
+    given += [(5, given[20][1]), (None, given[21][1]), (None, given[21][1]), (None, given[-1][1]), (131, "a clean namesake"), (None, "two words"), (700, None), (700, "")]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if (w := (t or "").lower().split()) else set() for _, t in given]
+    group = list(range(len(given)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in range(len(given)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                group[max(find(a), find(b))] = min(find(a), find(b))
+    ids = {}
+    for k, (i, _) in enumerate(given):
+        if sets[k]:
+            ids.setdefault(find(k), []).append((i is None, i or 0))
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(*x, 1) for x in given], "doc_id long, text string, _rows int"), "")
+    assert out.columns == ["doc_id", "text", "_rows"]
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    worded = [k for k in kept if (k[1] or "").split()]
+    assert sorted((i is None, i or 0) for i, _ in worded) == sorted(min(x) for x in ids.values())
+    assert all(k in given for k in kept) and len(kept) - len(worded) == sum(not s for s in sets)
+
+
+def test_substrings_of_rows_without_id(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    given = [(None, f"a b c {passage} d e f"), (3, f"g h i {passage} j k l"), (None, passage), (4, None), (5, "")]
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.substrings(spark, spark.createDataFrame(given, "doc_id long, text string"), "").collect()}
+    texts = {i: [t for j, t in got if i == j] for i in (None, 3)}
+    assert texts[3] == [given[1][1]] and all("p30" not in t for t in texts[None]) and {(4, None), (5, "")} <= got
+
+
 def test_decontamination_takes_effect_on_each_row(spark, tmp_path):
     leak = "one two three four five six seven eight nine ten"
     rows = [(None, f"before {leak} behind"), (None, "clean"), (7, leak), (7, "a clean namesake"), (8, None), (None, None)]
