@@ -6,13 +6,12 @@ byte for byte but where a stage says otherwise; null and repeated rows are treat
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precepta.llm.common import SPACED, cut, table
+from precepta.llm.common import SPACED, cut, delete, shared_folder, table
 from precepta.llm.decontaminate import contamination
 from precepta.llm.mixing import mixed
 from precepta.llm.near_dedup import near_duplicates
@@ -26,21 +25,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest doc_id."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id")
-    kept = cut(kept.groupBy("doc_id").agg(F.count("*").alias("_rows")))
-    out = docs.join(kept, "doc_id")
-    once = out.where("_rows = 1")
-    if not kept.where("_rows > 1").isEmpty():
-        once = once.union(out.where("_rows > 1").dropDuplicates(["doc_id"]))
-    return once.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    """One document of each group of near-duplicates: the one of the smallest doc_id, null last.
+
+    Each row is judged by its own text, whatever its doc_id. Rows without words are in no group and stay; of rows that
+    agree in doc_id and text one stays.
+    """
+    whole = docs.select(F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("doc_id").alias("id"), F.struct("*").alias("doc"))
+    judged = near_duplicates(docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("key"))
+    judged = cut(judged.agg(F.max("n_shingles").alias("n"), F.max("component_id").alias("group")))
+    rows = whole.groupBy("key", "id").agg(F.count("*").alias("rows")).join(judged.where("n > 0"), "key")
+    kept = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("kept_id"), "key", "rows")).alias("best"))
+    kept = cut(kept.select("best.key", "best.kept_id", "best.rows").union(judged.where("n = 0").select("key", F.lit(None), F.lit(0))))
+    out = whole.join(kept, "key").where((F.col("rows") == 0) | F.col("id").eqNullSafe(F.col("kept_id")))
+    once = out.where("rows <= 1").select("doc.*")
+    if not kept.where("rows > 1").isEmpty():
+        once = once.union(out.where("rows > 1").dropDuplicates(["key"]).select("doc.*"))
+    return once
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without repeated passages; documents of which nothing is left go."""
-    cleaned = substring_dedup(docs).where("n_removed > 0").dropDuplicates(["doc_id"]).select("doc_id", F.col("text").alias("_cleaned"))
-    out = docs.join(cleaned, "doc_id", "left").where("_cleaned IS NULL OR _cleaned != ''")
-    return out.select([F.coalesce("_cleaned", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    """Without repeated passages; documents of which nothing is left go. Rows of a null doc_id come after all others."""
+    text = F.col("text").cast("string")
+    given = docs.select(*[F.col(c).alias(f"_{c}") for c in docs.columns], F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 62)).alias("doc_id"), text.alias("text"))
+    out = substring_dedup(given, carry=[f"_{c}" for c in docs.columns]).where("text IS NULL OR text != '' OR n_removed = 0")
+    return out.select([F.col("text") if c == "text" else F.col(f"others._{c}").alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,19 +69,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the folder of spark.checkpoint.dir, a temporary one where it is unset."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
+    """All stages over documents, each written to the shared folder and read again; the one before is then deleted."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before is not None:
-            _delete(spark, before)
+            delete(spark, before)
         before = path
     return docs
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
