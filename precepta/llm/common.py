@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words between white space, and words of letters, digits and all that is not ASCII (of lower-cased text).
 SPACED, ALPHANUMERIC = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Sides of up to so many narrow rows may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 100_000
+#: Sides of up to so many rows and bytes may be broadcast; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +67,16 @@ def in_python(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, which is counted first; as it is otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
+    """Whether df has at most so many rows, and bytes of their values as text; counts no more than those."""
+    rows, size = BROADCAST_ROWS if rows is None else rows, BROADCAST_BYTES if size is None else size
+    n, found = df.limit(rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return n <= rows and (found or 0) <= size
+
+
+def checked_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it is small, which is counted first; as it is otherwise."""
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def ascii_lower(text: Column) -> Column:

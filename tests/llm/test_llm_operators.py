@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from precepta.llm import decontaminate, html_extract, licenses, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, textbytes, token_counts, url_filter
+from precepta.llm import common, decontaminate, html_extract, licenses, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, textbytes, token_counts, url_filter
 
 SPACED, ALPHANUMERIC = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -219,7 +219,9 @@ def test_every_passage_of_over_50_words_goes(spark):
 
 # --- 4
 
-def test_contamination_by_brute_force(spark, docs, empty, texts):
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_contamination_by_brute_force(spark, docs, empty, texts, broadcast_rows, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
     known = dict(t for t in texts if t[0] is not None)
     items = [(0, " ".join(known[150].split()[40:60])), (1, "w1 w2"), (2, None), (3, "--- !"), (4, known[131].upper()), (4, "abc abc abc"), (10, known[103][5000:5300]), (5, "not there at all in any of these texts whatever happens now")]
     windows = defaultdict(set)
@@ -251,6 +253,39 @@ def test_proximity_finds_near_places(spark):
     assert {r["doc_id"] for r in decontaminate.proximity_matches(index, anchors, 2).collect()} == {1, 2}
 
 
+def test_near_items_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 60, n)]
+    items = [(i, words(int(rng.integers(1, 16)))) for i in range(12)]
+    docs = [(100 + i, words(40)) for i in range(15)] + [(200, []), (201, ["w1"])]
+    for i, (_, w) in enumerate(items):  # moved, changed and spread copies
+        w = list(w)
+        if len(w) > 3:
+            w[2], w[0] = w[0], "new"
+            w.insert(3, "between")
+        docs.append((300 + i, words(10) + w + words(10)))
+    found = Counter(x for _, w in docs for x in w)
+    windows = defaultdict(set)
+    for i, w in items:
+        for k in range(max(len(w) - 9, 1)):
+            windows[tuple(w[k : k + 10])].add(i)
+    want = {}
+    for d, w in docs:
+        near = set()
+        for terms, ids in windows.items():
+            present = {t for t in terms if found[t]}
+            anchors = sorted((found[t], t, p) for p, t in enumerate(terms) if found[t])[:2]
+            if len(present) < 0.8 * len(set(terms)) or len(anchors) < 2:
+                continue
+            (_, t1, p1), (_, t2, p2) = anchors
+            for a in (k for k, x in enumerate(w) if x == t1):
+                if len(set(terms) & set(w[max(a - 9, 0) : a + 10])) >= 0.8 * len(set(terms)) and any(abs((a - p1) - (b - p2)) <= decontaminate.SLOP for b, x in enumerate(w) if x == t2):
+                    near |= ids
+        want[d] = len(near)
+    frames = (spark.createDataFrame([(i, " ".join(w)) for i, w in x], f"{k} long, text string") for k, x in (("doc_id", docs), ("item_id", items)))
+    assert {r["doc_id"]: r["n_near_items"] for r in decontaminate.contamination(*frames).collect()} == want and sum(map(bool, want.values())) > 8
+
+
 # --- 5
 
 def test_quality_rules_by_brute_force(docs, empty, texts):
