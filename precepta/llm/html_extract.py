@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,11 +40,15 @@ ENDED = {
     **dict.fromkeys(("tbody", "thead", "tfoot"), (("tbody", "thead", "tfoot"), frozenset(("table",)))),
 }
 P_ENDS = BLOCKS - frozenset("body br head html option tbody td tfoot th thead title tr".split()) | frozenset("aside dialog footer form header hgroup menu nav search".split())
-COMMENTS = re.compile(r"(?i)(?<![a-z])(?:comments?|comment-?list|disqus|replies|respond|user-?reviews?)(?![a-z])")
-OTHERS = re.compile(
-    r"(?i)(?<![a-z])(?:ads?|adverts?|advertisements?|adsense|alert|banner|breadcrumbs?|consent|cookies?|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|"
-    r"notices?|notification|overlay|pagination|popup|promo|promotion|related|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?![a-z])|sidebar"
+# Words of class and id names of reader comments and of what isn't the article, and words with which a
+# name tells a state or a kind of page instead (has-sidebar, comments-open, search-result-page).
+COMMENTS = frozenset("comment comments commentlist disqus replies respond review reviews userreviews".split())
+OTHERS = frozenset(
+    """ad ads advert adverts advertisement advertisements adsense alert banner breadcrumb breadcrumbs consent cookie cookies footer gdpr header
+    login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promotion related
+    search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget""".split()
 )
+STATES, KINDS = frozenset("has is no not with without".split()), frozenset("closed disabled enabled layout open page template".split())
 ROLES = re.compile(r"(?i)role\s*=\s*[\"']?(?:alert|banner|complementary|contentinfo|dialog|form|menu|menubar|navigation|search)\b")
 NAMES = re.compile(r"(?i)(?<![\w-])(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 TOKEN = re.compile(
@@ -105,42 +110,74 @@ class _Open:
         return self.end(place) if place > keep else len(self.tags)
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
+def _named(name: str) -> int:
+    """What a class or id name says: 2 for reader comments, 1 for anything else that isn't the article, 0 for neither."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+    if not words or STATES.intersection(words) or words[-1] in KINDS:
+        return 0
+    if COMMENTS.intersection(words):
+        return 2
+    return int(bool(OTHERS.intersection(words)) or any(w.endswith("sidebar") for w in words))
+
+
+def _unwanted(tag: str, attributes: str, article: bool) -> int:
+    """0 for an element that may be main text, 1 for others, 2 for reader comments. The header of an article is part of it."""
+    if tag in DROPPED and not (tag == "header" and article):
+        return 1
     if not attributes or tag in ("html", "body"):
-        return False
-    names = " ".join(NAMES.findall(attributes))
-    if COMMENTS.search(names):
-        return True
-    return tag not in MAIN and bool(OTHERS.search(names) or ROLES.search(attributes))
+        return 0
+    names = [_named(name) for found in NAMES.findall(attributes) for name in found.strip("\"'").split()]
+    worst = max(names, default=0)
+    if worst == 2 or tag in MAIN:
+        return worst if worst == 2 else 0
+    return int(worst > 0 or bool(ROLES.search(attributes)))
+
+
+@dataclass
+class _Region:
+    """An unwanted element: where it is open, and what has been read of its last block. The page itself is one, number 0."""
 
+    number: int
+    place: int
+    kind: int
+    tag: str
+    link: bool = False
+    links: int = 0
+    parts: list[str] = field(default_factory=list)
 
-def blocks(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters in links, number of the article it lies in or 0) of the blocks of a page, in order.
 
-    Elements that aren't the article by their name or class are left out with all they hold. One without an end tag ends
-    with its parent, at the next sibling that implies its end, or where an article begins; void elements hold nothing.
+def blocks(page: str) -> tuple[list[tuple[str, int, int, int]], list[_Region]]:
+    """(text, characters in links, number of the article it lies in or 0, region) of the blocks of a page, and its regions.
+
+    Blocks come in order. Region 0 is the page; each element that isn't the article by its name or class is a region of
+    its own. One without an end tag ends with its parent, at the next sibling that implies its end, or where an article
+    begins; void elements hold nothing. A comment that is never closed ends with its first >.
     """
-    found: list[tuple[str, int, int]] = []
-    parts: list[str] = []
-    links = article = articles = depth = 0
-    inside, link, left_out, opened = 0, False, -1, _Open()
+    if (tail := page.rfind("-->") + 1) < len(page):
+        page = page[:tail] + page[tail:].replace("<!--", "<!")
+    found: list[tuple[str, int, int, int]] = []
+    article = articles = depth = inside = 0
+    opened, regions = _Open(), [_Region(0, -1, 0, "")]
+    stack = [regions[0]]
 
     def close() -> None:
-        nonlocal links
-        text = " ".join(html.unescape("".join(parts)).split())
+        top = stack[-1]
+        text = " ".join(html.unescape("".join(top.parts)).split())
         if text:
-            found.append((text, links, article))
-        parts.clear()
-        links = 0
+            found.append((text, top.links, article, top.number))
+        top.parts.clear()
+        top.links = 0
+
+    def leave(place: int) -> None:
+        while stack[-1].place >= place:
+            close()
+            stack.pop()
 
     def add(text: str) -> None:
-        nonlocal links
-        if text and left_out < 0:
-            parts.append(text)
-            if link:
-                links += len(" ".join(html.unescape(text).split()))
+        if text:
+            stack[-1].parts.append(text)
+            if stack[-1].link:
+                stack[-1].links += len(" ".join(html.unescape(text).split()))
 
     for token in TOKEN.finditer(page):
         add(page[inside : token.start()])
@@ -150,79 +187,107 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             continue
         tag = tag.lower()
         holds = tag in VOID or not attributes.endswith("/")
+        left_out = stack[1].place if len(stack) > 1 else -1
         ended = opened.end_tag(tag, left_out) if shut else opened.start_tag(tag, left_out) if holds else len(opened.tags)
+        unwanted = 0 if shut else _unwanted(tag, attributes, bool(article))
         if left_out >= 0:
-            if ended <= left_out:
-                own, left_out = shut and ended == left_out, -1
-                if own:
-                    continue
-            elif shut or tag not in MAIN or opened.tags[left_out] in MAIN or _unwanted(tag, attributes):
+            own = shut and any(r.place == ended for r in stack[1:])
+            in_main = stack[1].tag in MAIN
+            leave(max(ended, 0))
+            if own:
                 continue
-            left_out = -1
-        if not shut and _unwanted(tag, attributes):
+            if len(stack) > 1:
+                if shut or tag not in MAIN or in_main or unwanted:
+                    if unwanted:
+                        if tag in BLOCKS or tag in DROPPED:
+                            close()
+                        if tag not in VOID and holds:
+                            regions.append(_Region(len(regions), len(opened.tags) - 1, max(unwanted, stack[-1].kind), tag))
+                            stack.append(regions[-1])
+                    elif tag in BLOCKS:
+                        close()
+                    elif tag == "a":
+                        stack[-1].link = not shut
+                    continue
+                leave(0)
+        if unwanted:
             if tag in BLOCKS or tag in DROPPED:
                 close()
             if tag not in VOID and holds:
-                left_out = len(opened.tags) - 1
+                regions.append(_Region(len(regions), len(opened.tags) - 1, unwanted, tag))
+                stack.append(regions[-1])
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag == "header":
             close()
         if tag == "a":
-            link = not shut
+            stack[-1].link = not shut
         elif tag in MAIN:
             depth = max(0, depth + (-1 if shut else 1))
             if not shut and depth == 1:
                 articles += 1
             article = articles if depth else 0
     add(page[inside:])
+    leave(0)
     close()
-    return found
+    return found, regions
+
+
+def _is_prose(text: str, links: int) -> bool:
+    words = WORD.findall(text.lower())
+    return bool(words) and links <= LINK_DENSITY * len(text) and sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * len(words)
 
 
 def classify(page_blocks: list[tuple[str, int, int]]) -> list[bool]:
-    """Whether each block is main text.
+    """Whether each block (text, characters in links, article) is main text.
 
-    First pass: a block mostly of links is not; a long one with stop words, or any long one of an article, is; a short
-    one is left open. Second pass: an open block takes the label of the nearest decided block of the same article (of
-    the page, where it has none; ties go to main text); where no block is decided, it is main text. If a page has an
+    First pass: a block mostly of links is not; one that isn't short and has the stop words of prose is, and so is a long
+    one without links; any other is left open. Second pass: an open block takes the label of the nearest decided blocks
+    before and after it, of the same article or of the page outside: where they differ, main text inside an article, and
+    outside the nearer one's, ties being main text. Where no block is decided, it is main text. If a page has an
     article, what lies outside is none.
     """
-    has_article = any(article for *_, article in page_blocks)
+    has_article = any(article for _, _, article in page_blocks)
     labels: list[bool | None] = []
     for text, links, article in page_blocks:
         if has_article and not article or links > LINK_DENSITY * len(text):
             labels.append(False)
         elif len(text) < SHORT_CHARS:
             labels.append(None)
-        elif article:
-            labels.append(True)
         else:
-            words = WORD.findall(text.lower())
-            dense = sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * len(words)
-            labels.append(bool(words) and dense or (None if len(text) < LONG_CHARS else links == 0))
-    before, after, run = [], [], None
-    for i, label in enumerate(labels):
-        run = (i, label) if label is not None else run
-        before.append(run)
-    run = None
-    for i in range(len(labels) - 1, -1, -1):
-        run = (i, labels[i]) if labels[i] is not None else run
-        after.append(run)
-    after.reverse()
-    out = []
-    for i, label in enumerate(labels):
-        if label is None:
-            near = [(abs(x[0] - i), not x[1]) for x in (before[i], after[i]) if x and page_blocks[x[0]][2] == page_blocks[i][2] and (x[1] or not page_blocks[i][2])]
-            label = not min(near)[1] if near else True
-        out.append(label)
-    return out
+            labels.append(_is_prose(text, links) or (None if len(text) < LONG_CHARS else links == 0 or bool(article)))
+    near: list[list[tuple[int, bool]]] = [[] for _ in labels]
+    for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+        last: dict[int, int] = {}
+        for i in order:
+            article = page_blocks[i][2]
+            if labels[i] is not None:
+                last[article] = i
+            elif article in last:
+                near[i].append((abs(last[article] - i), not labels[last[article]]))
+    return [label if label is not None else not min(n)[1] if n and not page_blocks[i][2] else not n or not all(x[1] for x in n) for i, (label, n) in enumerate(zip(labels, near, strict=True))]
 
 
 def extract(page: str | None) -> tuple[str, int, int]:
-    """(main text, blocks, kept blocks) of a page."""
-    found = blocks(page or "")
-    kept = [b[0] for b, label in zip(found, classify(found), strict=True) if label]
-    return " ".join(kept), len(found), len(kept)
+    """(main text, blocks, kept blocks) of a page.
+
+    Regions are left out, unless a form or an element unwanted by its class holds the page's prose: half of it where no
+    block of prose is left without, else three quarters, in two blocks or more. Reader comments always are.
+    """
+    found, regions = blocks(page or "")
+    prose = [0 if regions[r].kind == 2 else len(text) - links for text, links, _, r in found]
+    taken, whole = {0}, sum(prose)
+    own = dict.fromkeys((r.number for r in regions), 0)
+    dense = dict.fromkeys(own, 0)
+    for (text, links, _, r), n in zip(found, prose, strict=True):
+        own[r] += n
+        dense[r] += len(text) >= SHORT_CHARS and _is_prose(text, links)
+    wrappers = [r.number for r in regions[1:] if r.kind == 1 and dense[r.number] >= 2 and (r.tag == "form" or r.tag not in DROPPED)]
+    best = max(wrappers, key=lambda r: own[r], default=0)
+    if best and own[best] > (0.5 if not dense[0] else 0.75) * whole:
+        taken.add(best)
+    held = [b[:3] for b in found if b[3] in taken]
+    kept = [b[0] for b, label in zip(held, classify(held), strict=True) if label]
+    return " ".join(kept), len(held), len(kept)
 
 
 def _extractor(batches):

@@ -542,3 +542,49 @@ def test_unwanted_elements_end_where_they_do(markup, left):
 
 def test_many_open_elements_take_little_time():
     assert html_extract.extract("<article>" + "<i><b></i></u>" * 50_000 + "text")[0] == "text"
+
+
+A, B, C = (f"This is {x} of the story, and it has a good number of the words that are common in any text." for x in ("the first part", "another part", "the last part"))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><form id='aspnetForm'><div class='menu'><a href='/'>Home</a></div><p>{A}</p><p>{B}</p><input type=submit></form></body>", f"{A} {B}"),
+        (f"<div class='layout has-sidebar'><p>{A}</p><div class=sidebar>{C}</div></div>", A),
+        (f"<div class='post comments-open'><p>{A}</p></div><div class='comment-list'><p>{C}</p><p>{C}</p><p>{C}</p></div>", A),
+        (f"<div class='search-result-page'><p>{A}</p></div>", A),
+        (f"<header>Site</header><article><header><h1>Headline</h1></header><p>{A}</p></article>", f"Headline {A}"),
+        (f"<article><p>{A}</p><!-- never closed <p>{B}</p></article>", f"{A} {B}"),
+        (f"<article><p>{A}</p><!-- closed <p>{B}</p> --><p>{C}</p></article>", f"{A} {C}"),
+        (f"<div class='widgetSocial'>{C}</div><p>{A}</p>", A),
+        (f"<div class='ads'><p>{A}</p></div>", ""),
+        (f"<div class='cookie-consent'>{A}</div><nav>{C} {C}</nav>", ""),
+        (f"<div class='widget'><p>{A}</p><p>{B}</p><p>{C}</p></div><p>Short</p>", f"{A} {B} {C} Short"),
+        (f"<p>{A}</p><form><p>{B}</p><p>{C}</p></form>", A),
+        (f"<article><ul><li><a>one</a></li><li>or so</li><li><a>two</a></li></ul><p>{A}</p><h2>Then</h2><p>{B}</p></article>", f"{A} Then {B}"),
+        (f"<p>{A}</p><h2>Then</h2><p>{B}</p><ul><li><a>one</a></li><li>or</li><li><a>two</a></li></ul>", f"{A} Then {B}"),
+    ],
+)
+def test_wrappers_headers_and_second_pass(page, want):
+    assert html_extract.extract(page)[0] == want
+
+
+def test_second_pass_by_brute_force():
+    """Labels of open blocks from the nearest decided ones, found by trying all."""
+    rng = np.random.default_rng(12)
+    kinds = {True: (A, 0), False: ("link link", 9), None: ("open one", 0)}
+    for _ in range(300):
+        labels = [(True, False, None)[k] for k in rng.integers(0, 3, rng.integers(1, 12))]
+        article = int(rng.integers(0, 2))
+        want = []
+        for i, label in enumerate(labels):
+            sides = [min(((abs(j - i), not x) for j, x in enumerate(labels) if x is not None and (j < i) == side and j != i), default=None) for side in (True, False)]
+            sides = [x for x in sides if x]
+            if label is not None or not sides:
+                want.append(label is not False)
+            elif article:
+                want.append(not all(x[1] for x in sides))
+            else:
+                want.append(not min(sides)[1])
+        assert html_extract.classify([(*kinds[x], article) for x in labels]) == want
