@@ -254,7 +254,8 @@ def classify(page_blocks: list[tuple[str, int, int]]) -> list[bool]:
         elif len(text) < SHORT_CHARS:
             labels.append(None)
         else:
-            labels.append(_is_prose(text, links) or (None if len(text) < LONG_CHARS else links == 0 or bool(article)))
+            long = len(text) >= LONG_CHARS
+            labels.append(long and bool(article) or _is_prose(text, links) or (links == 0 if long else None))
     near: list[list[tuple[int, bool]]] = [[] for _ in labels]
     for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
         last: dict[int, int] = {}
@@ -277,14 +278,13 @@ def extract(page: str | None) -> tuple[str, int, int]:
     prose = [0 if regions[r].kind == 2 else len(text) - links for text, links, _, r in found]
     taken, whole = {0}, sum(prose)
     own = dict.fromkeys((r.number for r in regions), 0)
-    dense = dict.fromkeys(own, 0)
-    for (text, links, _, r), n in zip(found, prose, strict=True):
+    for (*_, r), n in zip(found, prose, strict=True):
         own[r] += n
-        dense[r] += len(text) >= SHORT_CHARS and _is_prose(text, links)
-    wrappers = [r.number for r in regions[1:] if r.kind == 1 and dense[r.number] >= 2 and (r.tag == "form" or r.tag not in DROPPED)]
-    best = max(wrappers, key=lambda r: own[r], default=0)
-    if best and own[best] > (0.5 if not dense[0] else 0.75) * whole:
-        taken.add(best)
+    wrappers = [r.number for r in regions[1:] if r.kind == 1 and 2 * own[r.number] > whole and (r.tag == "form" or r.tag not in DROPPED)]
+    if wrappers:  # one at most, as it holds more than half
+        dense = [r for text, links, _, r in found if len(text) >= SHORT_CHARS and r in (0, *wrappers) and _is_prose(text, links)]
+        if dense.count(wrappers[0]) >= 2 and (0 not in dense or 4 * own[wrappers[0]] > 3 * whole):
+            taken.add(wrappers[0])
     held = [b[:3] for b in found if b[3] in taken]
     kept = [b[0] for b, label in zip(held, classify(held), strict=True) if label]
     return " ".join(kept), len(held), len(kept)
