@@ -47,6 +47,45 @@ def test_urls_by_brute_force(spark):
     assert rows(url_filter.judge_urls(pages, labels.limit(0)), "mined_rule").keys() == {(None,)}
 
 
+def test_mined_rules_by_brute_force(spark):
+    import itertools
+
+    rng = np.random.default_rng(9)
+    given = []
+    for _ in range(400):
+        tokens = [t for t, p in zip("abcdef", (0.5, 0.5, 0.4, 0.4, 0.3, 0.2), strict=True) if rng.random() < p]
+        bad = {"a", "b"} <= set(tokens) or "f" in tokens or "c" in tokens and rng.random() < 0.6
+        given.append((tokens + (["A1", "A2"] if "a" in tokens else []), bool(bad)))
+    pages = {t: frozenset(i for i, (x, _) in enumerate(given) if t in x) for x, _ in given for t in x}
+    classes = defaultdict(list)
+    for t, where in pages.items():
+        classes[where].append(t)
+    items = {min(ts): (sorted(ts), where) for where, ts in classes.items()}
+    scored, least = {}, max(0.02 * len(given), 10)
+    for k in range(1, 5):
+        for combo in itertools.combinations(sorted(items), k):
+            where = frozenset.intersection(*(items[i][1] for i in combo))
+            n, bad = len(where), sum(given[i][1] for i in where)
+            if bad >= least:
+                p = bad / n
+                if p - url_filter.Z * np.sqrt(p * (1 - p) / n + 0.25 / n**2) >= 0.5:
+                    scored[combo] = (p, n)
+    want = {c: v for c, v in scored.items() if not any(scored.get(s, (0,))[0] >= v[0] for k in range(1, len(c)) for s in itertools.combinations(c, k))}
+    got = url_filter.mined_rules(spark.createDataFrame(given, "tokens array<string>, blocked boolean"), support=0.02).collect()
+    assert {tuple(r["items"]): (pytest.approx(r["confidence"]), r["n"]) for r in got} == want and len(want) > 3
+    assert all(r["tokens"] == [items[i][0] for i in r["items"]] and len(items[r["items"][r["key"]]][1]) == min(len(items[i][1]) for i in r["items"]) for r in got)
+
+
+def test_many_query_keys_are_mined(spark):
+    keys = "&".join(f"k{i}=1" for i in range(30))
+    some = lambda i: "&".join(f"m{j}=1" for j in range(30) if (i * 7 + j * j) % 19)  # noqa: E731  comes and goes
+    urls = [f"http://bad.org/x?{keys}" for _ in range(40)] + [f"http://good.org/x?{keys}&ok=1" for _ in range(20)] + [f"http://{'mid' if i % 3 else 'bad'}.net/?{some(i)}" for i in range(150)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("good" in u or "mid" in u), 0) for i, u in enumerate(urls)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, labels).collect()}
+    assert got == {i: "block" if "bad" in u else "allow" for i, u in enumerate(urls)}
+
+
 # --- 2
 
 def test_mix_comes_near_its_targets(docs, empty, texts):
