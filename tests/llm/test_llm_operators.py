@@ -79,7 +79,7 @@ def test_mined_rules_by_brute_force(spark):
 def test_many_query_keys_are_mined(spark):
     keys = "&".join(f"k{i}=1" for i in range(30))
     some = lambda i: "&".join(f"m{j}=1" for j in range(30) if (i * 7 + j * j) % 19)  # noqa: E731  comes and goes
-    urls = [f"http://bad.org/x?{keys}" for _ in range(40)] + [f"http://good.org/x?{keys}&ok=1" for _ in range(20)] + [f"http://{'mid' if i % 3 else 'bad'}.net/?{some(i)}" for i in range(150)]
+    urls = [f"http://bad.org/x?{keys}" for _ in range(40)] + [f"http://good.org/x?{keys}&ok=1" for _ in range(60)] + [f"http://{'mid' if i % 3 else 'bad'}.net/?{some(i)}" for i in range(150)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     labels = spark.createDataFrame([(i, int("good" in u or "mid" in u), 0) for i, u in enumerate(urls)], "doc_id long, quality int, toxic int")
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, labels).collect()}
