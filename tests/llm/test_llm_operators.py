@@ -475,6 +475,45 @@ def test_licences_of_files_with_several_notices_and_long_files(spark):
     assert all(got[i]["score"] == pytest.approx(1) for i, (want, _) in enumerate(texts) if want)
 
 
+def test_labels_and_scores_by_brute_force(spark):
+    """Each template tried at each offset of each file, with a whole key phrase of its label in place."""
+    import random
+
+    rng = random.Random(5)
+    whole = [(x, t.split()) for x, ts in licenses.TEMPLATES.items() for t in ts]
+    texts = ["", "licensed cc x 4 0", "a bsd 3-clause file", "SPDX-License-Identifier: Apache-2.0", "// SPDX-License-Identifier: MIT", "gnu general public license"]
+    for _ in range(80):
+        words = [f"v{rng.randrange(30)}" for _ in range(rng.randrange(5))]
+        for _ in range(rng.randrange(1, 3)):
+            t = list(rng.choice(whole)[1])
+            for _ in range(rng.choice([0, 0, 1, 4, 12])):
+                k = rng.randrange(len(t))
+                t[k : k + rng.randrange(2)] = rng.choice([[], ["odd"], ["the"]])
+                t = t or ["x"]
+            words += t[rng.choice([0, 0, 5]) :]
+        texts.append(" ".join(words))
+    files = [t.replace("-", " ").replace(":", "").replace("/", "").replace(".", " ").lower().split() for t in texts]
+    index = {w for _, t in whole for w in t if w not in licenses.COMMON}
+    idf = {w: np.log(1 + (len(files) - n + 0.5) / (n + 0.5)) for w in index for n in [sum(w in f for f in files)]}
+    want = []
+    for f in files:
+        base = any(" " + p + " " in " " + " ".join(f) + " " for p in licenses.PHRASES.values())
+        labels, best = {x for x, p in licenses.PHRASES.items() if f" {p} " in f" {' '.join(f)} "}, 0
+        for label, t in whole:
+            rare = sorted({w for w in t if w in index}, key=lambda w: (-idf[w], w))[: licenses.LOOKED_UP]
+            keys = [[(k + j, w) for j, w in enumerate(key.split())] for key in licenses.KEYS[label] for k in range(len(t)) if t[k : k + len(key.split())] == key.split()]
+            for s in range(-len(t), len(f)):
+                at = {w for k, w in enumerate(t) if 0 <= s + k < len(f) and f[s + k] == w}
+                if any(all(0 <= s + k < len(f) and f[s + k] == w for k, w in key) for key in keys):
+                    share = sum(idf[w] for w in rare if w in at) / sum(idf[w] for w in rare)
+                    if share >= licenses.LEAST_SCORE:
+                        labels, best = labels | {label}, max(best, share)
+        want.append((",".join(sorted(labels)), pytest.approx(1.0 if base else best)))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert [got[i][0] for i in range(1, 5)] == ["", "bsd", "apache", "mit"]
+
+
 # --- 8
 
 def test_classifier_learns_and_handles_odd_rows(spark, docs, empty):
