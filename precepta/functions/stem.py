@@ -86,3 +86,35 @@ def stems(words: pd.Series) -> pd.Series:
 def stem_vocabulary(terms: DataFrame, column: str = "term") -> DataFrame:
     """(term, stem) of the distinct terms, so that each word is stemmed once and joined back."""
     return terms.select(F.col(column).alias("term")).where("term IS NOT NULL").distinct().withColumn("stem", stems("term"))
+
+
+def stem_stages(word: str = "term") -> list[list[tuple[str, str]]]:
+    """The rules as SQL: stages of (name, expression), each of which uses the names before it; the last gives stem."""
+    behind = "length(regexp_extract({}, '^.*?[aeiou][^aeiou]', 0))"
+    ending = lambda text, endings: f"regexp_extract({text}, '({'|'.join(endings)})$', 0)"
+    cut = lambda name, text=word: f"substr({text}, 1, length({text}) - length({name}))"
+    rv = f"length(regexp_extract({word}, '^.(?:[aeiou][aeiou]*[^aeiou]|[^aeiou][^aeiou]*[aeiou])', 0))"
+    first = [("at1", f"CASE WHEN {behind.format(word)} > 0 THEN {behind.format(word)} ELSE length({word}) END"), ("atv", f"CASE WHEN length({word}) <= 3 THEN length({word}) WHEN regexp_extract({word}, '^[^aeiou][aeiou]', 0) != '' THEN 3 WHEN {rv} > 0 THEN {rv} ELSE length({word}) END")]
+    rest = behind.format(f"substr({word}, at1 + 1)")
+    second = [("at2", f"CASE WHEN {rest} > 0 THEN at1 + {rest} ELSE length({word}) END")]
+    at = {"r1": "at1", "r2": "at2", "rv": "atv"}
+    third = [(f"noun{k}", ending(f"substr({word}, {at[region]} + 1)", endings)) for k, (region, endings, _, _) in enumerate(_NOUNS)]
+    third += [("verb", ending(f"substr({word}, atv + 1)", _VERBS)), ("vowel", ending(f"substr({word}, atv + 1)", _RESIDUE))]
+    cases = []
+    for k, (_, _, into, before) in enumerate(_NOUNS):
+        out = f"{cut(f'noun{k}')} || '{into}'" if into else cut(f"noun{k}")
+        if before:
+            out = cut(ending(f"substr({out}, at2 + 1)", before), out)
+        cases.append(f"WHEN noun{k} != '' THEN {out}")
+    cases += [f"WHEN verb != '' THEN regexp_replace({cut('verb')}, 'gu$', 'g')", f"WHEN vowel != '' THEN {cut('vowel')}"]
+    fourth = [("short", f"CASE {' '.join(cases)} ELSE {word} END")]
+    whole = f"length({word}) <= 3 OR regexp_extract({word}, '^[0-9]+$', 0) != '' OR length(short) < 3"
+    return [first, second, third, fourth, [("stem", f"CASE WHEN {whole} THEN {word} ELSE short END")]]
+
+
+def with_stem(terms: DataFrame, word: str = "term") -> DataFrame:
+    """terms with stem, by expressions of the JVM alone."""
+    out = terms
+    for stage in stem_stages(word):
+        out = out.selectExpr("*", *[f"{e} AS {name}" for name, e in stage])
+    return out.select(*terms.columns, "stem")

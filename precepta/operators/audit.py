@@ -91,3 +91,32 @@ def cost(usage: DataFrame, rates: dict[str, float]) -> DataFrame:
 def oldest(rows: DataFrame, key: str, date: str, today: Column) -> DataFrame:
     """(oldest, key, days, undated): the oldest date with its key, its age, and the rows without one."""
     return rows.agg(F.min(date).alias("oldest"), F.min_by(key, date).alias(key), F.count_if(F.col(date).isNull()).alias("undated")).withColumn("days", F.datediff(today, "oldest"))
+
+
+def seal_state(groups: DataFrame, problems: DataFrame, group: str) -> DataFrame:
+    """(state, groups, broken, unsealed, oldest, forced) in one row, of groups (group, sealed date, forced) and the problems of check_seals.
+
+    state: unsealed if nothing is, mismatch with any problem but a missing seal, else match. forced lists groups sealed by force.
+    """
+    joined = groups.join(problems.select(group, "problem"), group, "left")
+    broken = F.count_if(F.col("problem").isNotNull() & (F.col("problem") != "unsealed"))
+    one = joined.agg(F.count("*").alias("groups"), broken.alias("broken"), F.count_if(F.col("sealed").isNull()).alias("unsealed"), F.min("sealed").alias("oldest"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("forced"), F.col(group).cast("string")))), ",").alias("forced"))
+    state = F.when(F.col("unsealed") == F.col("groups"), "unsealed").when(F.col("broken") > 0, "mismatch").otherwise("match")
+    return one.select(state.alias("state"), "*")
+
+
+def label_histogram(rows: DataFrame, label: str) -> DataFrame:
+    """(label, n): rows by label, the most common first."""
+    return rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label)
+
+
+def consolidation_lag(norms: DataFrame, today: Column) -> DataFrame:
+    """(behind, current, unknown, worst_days) in one row, of norms (consolidated, last_reform): reforms that the text doesn't have yet."""
+    known = F.col("consolidated").isNotNull() & F.col("last_reform").isNotNull()
+    behind = known & (F.col("last_reform") > F.col("consolidated"))
+    return norms.agg(F.count_if(behind).alias("behind"), F.count_if(known & ~behind).alias("current"), F.count_if(~known).alias("unknown"), F.max(F.when(behind, F.datediff(today, "last_reform"))).alias("worst_days"))
+
+
+def unanswered(asked: DataFrame, covered: DataFrame, key: str) -> DataFrame:
+    """(key, times): keys of asked that covered lacks, the most asked first."""
+    return asked.groupBy(key).agg(F.count("*").alias("times")).join(covered.select(key).distinct(), key, "left_anti").orderBy(F.desc("times"), key)

@@ -51,3 +51,14 @@ def retry_funnel(attempts: DataFrame) -> DataFrame:
     """(cohort, first_rejected, second_passed) of attempts (trace, cohort, n, passed)."""
     per = attempts.groupBy("trace", "cohort").agg(F.bool_or((F.col("n") == 1) & ~F.col("passed")).alias("first"), F.bool_or((F.col("n") == 2) & F.col("passed")).alias("second"))
     return per.groupBy("cohort").agg(F.count_if("first").alias("first_rejected"), F.count_if(F.col("first") & F.col("second")).alias("second_passed"))
+
+
+def step_sums(calls: DataFrame, by: str, step: str, part: str, values: list[str]) -> DataFrame:
+    """(by, values...): sums of values over the calls whose step contains part, 0 where there are none."""
+    inside = F.contains(F.col(step), F.lit(part))
+    return calls.groupBy(by).agg(*[F.sum(F.when(inside, F.col(v)).otherwise(0)).alias(v) for v in values])
+
+
+def means_by(sums: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """(by..., n, values...): the mean of each value."""
+    return sums.groupBy(*by).agg(F.count("*").alias("n"), *[F.round(F.avg(v), 6).alias(v) for v in values])

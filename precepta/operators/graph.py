@@ -7,6 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from precepta.functions.text import fold
 from precepta.sources.readers import cut
 
 # A longer range isn't expanded.
@@ -20,6 +21,105 @@ SUFFIX = (
 MENTION = r"(?i)\b(?:art[íi]culos?|arts?\.|articles?)\s+((?:\d+(?:\s+" + SUFFIX + r")?(?:\s*,\s*|\s+(?:y|o|e|and|or|a|al|to)\s+)?)+)"
 
 
+# What hangs on an article number and is no article of its own, and what joins numbers.
+NUMBER_WORDS = "uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez|once|doce|trece|catorce|quince|diecis[eé]is|diecisiete|dieciocho|diecinueve|veinte"
+ATTACHED = (
+    r"(?:[ \t]*[-.][ \t]*(?:\d+|(?:" + NUMBER_WORDS + r"|[a-z])(?![\wáéíóúñ]))[ \t]*(?:\.?[ºª])?|\s*[ºª]|\s*,?\s*apartad[oa]s?\s+[\wªº]+(?:\s+[ya]\s+[\wªº]+)?|"
+    r"\s*,?\s*n[uú]meros?\s+\d[\d.]*[ºª]?|\s*,?\s*letras?\s+[a-z]['’]?\)|\s*,?\s*p[aá]rrafos?\s+\w+)"
+)
+NUMBER = r"\d+(?:\s+" + SUFFIX + r")?"
+CONNECTED = r"(?:\s*,\s*(?:y|e|o|u)\s+|\s*,\s*|\s+(?:y|e|o|u)\s+|\s*,?\s+al?\s+)"
+ARTICLES = r"(?i)\b(?:art[íi]culos?|arts?\.)\s+(" + NUMBER + ATTACHED + "*(?:" + CONNECTED + NUMBER + ATTACHED + r"*)*)"
+#: What stands between a list and the next mention or the end of its sentence.
+BEHIND = r"((?:(?!\bart[íi]culos?\b|\barts?\.|[.;]\s).)*)"
+KINDS = "adicional|transitoria|derogatoria|final"
+OWN_NORM = r"(?i)^[\s,;]*(?:de\s+)?(?:est[ae]|la\s+presente|el\s+presente)\s+(?:ley|reglamento|real\s+decreto)\b"
+ANAPHORA = r"(?i)\bde(?:l)?\s+(?:dich[oa]|citad[oa]|mencionad[oa]|referid[oa])\s+(?:ley|reglamento|real\s+decreto)\b"
+NORM_NUMBER = r"(?i)\b(?:ley(?:\s+org[áa]nica)?|real\s+decreto(?:-ley|\s+legislativo)?|directiva|orden|reglamento)\s+(?:\([A-Z]+\)\s+)?(\d{1,4}/\d{2,4}|[A-Z]{3}/\d+/\d{4})"
+
+
+def list_numbers(listed: Column) -> Column:
+    """array of the article numbers of a list as ARTICLES finds it: what hangs on numbers dropped, ranges expanded up to MOST_SPAN."""
+    bare = F.regexp_replace(listed, "(?i)(?<=\\d|[a-z])" + ATTACHED, "")
+    items = F.regexp_extract_all(bare, F.lit(r"(?i)(" + NUMBER + r"(?:\s*,?\s+al?\s+" + NUMBER + r")?)"), F.lit(1))
+
+    def expand(item: Column) -> Column:
+        clean = F.lower(F.regexp_replace(item, r"\s+", " "))
+        high = F.regexp_extract(clean, r"\d.*? al? (\d.*)$", 1)
+        low = F.when(high == "", clean).otherwise(F.regexp_extract(clean, r"^(.*?),? al? \d", 1))
+        a, b = F.regexp_extract(low, r"^(\d+)", 1).try_cast("int"), F.regexp_extract(high, r"^(\d+)", 1).try_cast("int")
+        inner = F.when((b > a) & (b - a <= MOST_SPAN), F.transform(F.sequence(a + 1, F.greatest(b, a + 1)), lambda n: n.cast("string"))).otherwise(F.array(high))
+        return F.when(high == "", F.array(low)).otherwise(F.concat(F.array(low), inner, F.when(high.rlike("[a-z]"), F.array(high)).otherwise(F.array().cast("array<string>"))))
+
+    return F.array_distinct(F.flatten(F.transform(items, expand)))
+
+
+def scoped_references(docs: DataFrame, norms: DataFrame) -> DataFrame:
+    """(origin, number, scope, norm) of the articles that docs (origin, text) mention, against the corpus's norms (norm).
+
+    What stands between a list and the next mention, or the end of the sentence, tells its norm: a number of a norm
+    (corpus, or external if norms lack it), the text's own one (own), or one named before, which declines (unclear).
+    Without any of these it is the own one.
+    """
+    found = F.regexp_extract_all("text", F.lit(ARTICLES + BEHIND), F.lit(1)), F.regexp_extract_all("text", F.lit(ARTICLES + BEHIND), F.lit(2))
+    each = docs.select("origin", F.explode(F.arrays_zip(found[0].alias("listed"), found[1].alias("behind"))).alias("m")).select("origin", "m.*")
+    norm = F.nullif(F.regexp_extract("behind", NORM_NUMBER, 1), F.lit(""))
+    named = each.select("origin", F.explode(list_numbers(F.col("listed"))).alias("number"), "behind", norm.alias("norm")).distinct()
+    known = norms.select("norm").distinct().withColumn("known", F.lit(True))
+    scope = F.when(F.col("behind").rlike(OWN_NORM), "own").when(F.col("norm").isNotNull(), F.when(F.col("known"), "corpus").otherwise("external")).when(F.col("behind").rlike(ANAPHORA), "unclear").otherwise("own")
+    return named.join(known, "norm", "left").select("origin", "number", scope.alias("scope"), F.when(scope.isin("corpus", "external"), F.col("norm")).alias("norm")).distinct()
+
+
+def ordinal_numbers() -> dict[str, int]:
+    """Folded feminine and masculine ordinal words without blanks, up to 99, and 0 for the only one."""
+    ones = "primer segund tercer cuart quint sext septim octav noven".split()
+    tens = "decim vigesim trigesim cuadragesim quincuagesim sexagesim septuagesim octogesim nonagesim".split()
+    out = {f"unic{e}": 0 for e in "ao"}
+    for e in "ao":
+        out |= {f"{w}{e}": i + 1 for i, w in enumerate(ones)} | {f"undecim{e}": 11, f"duodecim{e}": 12}
+        for t, ten in enumerate(tens):
+            out[f"{ten}{e}"] = 10 * (t + 1)
+            out |= {f"{ten}{f}{w}{e}": 10 * (t + 1) + i + 1 for i, w in enumerate(ones) for f in "oa"}
+    return out
+
+
+def provision_references(docs: DataFrame) -> DataFrame:
+    """(origin, kind, number) of the provisions that docs (origin, text) mention: kind, and the number of their ordinal, 0 for the only one.
+
+    Ordinals are words, in one or in two, or numbers; a list is read up to what is no ordinal, and a mention without one is none.
+    """
+    word = r"(?:\d{1,3}\.?\s?[ªº]?|[a-z]+(?:\s+(?:primer|segund|tercer|cuart|quint|sext|septim|octav|noven)[ao])?)"
+    pattern = r"disposicion(?:es)?\s+(" + KINDS + r")(?:es|s)?\s+(" + word + r"(?:(?:\s*,\s*|\s+y\s+)" + word + ")*)"
+    text = fold(F.col("text"))
+    each = docs.select("origin", F.explode(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("kind"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("listed"))).alias("m")).select("origin", "m.*")
+    parts = each.select("origin", "kind", F.posexplode(F.split("listed", r"\s*,\s*|\s+y\s+")).alias("place", "part"), "listed")
+    words = parts.sparkSession.createDataFrame(list(ordinal_numbers().items()), "word string, value int")
+    keyed = parts.withColumn("word", F.regexp_replace("part", r"\s+", "")).withColumn("first", F.regexp_extract("part", r"^([a-z]+)", 1))
+    both = keyed.join(F.broadcast(words), "word", "left").join(F.broadcast(words.toDF("first", "first_value")), "first", "left")
+    number = F.coalesce(F.regexp_extract("part", r"^(\d+)", 1).try_cast("int"), F.col("value"), F.col("first_value"))
+    # a list ends before its first part that is no ordinal
+    read = both.withColumn("number", number).groupBy("origin", "kind", "listed").agg(F.min(F.when(F.col("number").isNull(), F.col("place"))).alias("stop"), F.collect_set(F.when(F.col("number").isNotNull(), F.struct("place", "number"))).alias("found"))
+    return read.select("origin", "kind", "stop", F.explode("found").alias("f")).where("stop IS NULL OR f.place < stop").select("origin", "kind", F.col("f.number").alias("number")).distinct()
+
+
+def annex_references(docs: DataFrame, norms: DataFrame) -> DataFrame:
+    """(origin, annex, norm) of annexes of norms that the corpus (norm) doesn't have; those of its own are precepts already."""
+    pattern = r"(?i)\banexo\s*([IVXLC]*|\d*)\s+de(?:l|\s+la|\s+el)?\s+" + NORM_NUMBER.removeprefix("(?i)\\b")
+    each = docs.select("origin", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("annex"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("norm"))).alias("m")).select("origin", "m.*")
+    return each.join(norms.select("norm").distinct(), "norm", "left_anti").select("origin", F.upper("annex").alias("annex"), "norm").distinct()
+
+
+def pending_edges(edges: DataFrame) -> DataFrame:
+    """The edges that aren't resolved."""
+    return edges.where("state != 'resolved'")
+
+
+def cross_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(from_norm, to_norm, edges): resolved edges (origin, target, state) by the norms of both ends, of nodes (node, norm)."""
+    one, two = nodes.toDF("origin", "from_norm"), nodes.toDF("target", "to_norm")
+    return edges.where("state = 'resolved'").join(one, "origin").join(two, "target").groupBy("from_norm", "to_norm").agg(F.count("*").alias("edges"))
+
+
 def mentioned_numbers(text: Column) -> Column:
     """array of the article numbers a text mentions, ranges expanded up to MOST_SPAN, in order, distinct."""
     lists = F.regexp_extract_all(text, F.lit(MENTION), F.lit(1))

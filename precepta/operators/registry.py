@@ -30,11 +30,12 @@ def aliases(bodies: DataFrame) -> DataFrame:
     return bodies.select("body", F.explode(F.array_distinct(F.filter(F.concat(own, prefixes), lambda a: F.length(a) > 1))).alias("alias"))
 
 
-def resolve_names(names: DataFrame, alias: DataFrame, most_words: int = 12) -> DataFrame:
+def resolve_names(names: DataFrame, alias: DataFrame) -> DataFrame:
     """(name_id, body, state) of names (name_id, name): the body whose alias is the longest prefix; several decline.
 
-    Each name is split into its prefixes, which join the aliases by equality.
+    Each name is split into its prefixes, up to the length of the longest alias, which join the aliases by equality.
     """
+    most_words = alias.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     words = F.split(comparison_key(F.col("name")), " ")
     prefixes = F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(most_words))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(words, F.lit(1), n), " ").alias("alias")))
     hits = names.select("name_id", F.explode(prefixes).alias("p")).select("name_id", "p.n", "p.alias").join(alias, "alias")
@@ -68,3 +69,28 @@ def in_region(region: Column, wanted: str = "") -> Column:
     """State rows (no region) always, regional ones for their own region only."""
     own = F.coalesce(F.trim(region), F.lit(""))
     return (own == "") | (own == wanted) if wanted else own == ""
+
+
+def corpus_taxes(bodies: DataFrame, precepts: DataFrame, general: str = "GENERAL") -> DataFrame:
+    """(tax, precepts): precepts (tax) by their tax, where a body of bodies (tax) is dedicated to it; all others count as general."""
+    own = bodies.where("tax IS NOT NULL").select("tax").distinct().withColumn("own", F.lit(True))
+    joined = precepts.select("tax").join(own, "tax", "left")
+    return joined.groupBy(F.when(F.col("own"), F.col("tax")).otherwise(general).alias("tax")).agg(F.count("*").alias("precepts"))
+
+
+def covered_taxes(bodies: DataFrame) -> DataFrame:
+    """(tax): the distinct taxes of bodies, in order."""
+    return bodies.where("tax IS NOT NULL").select("tax").distinct().orderBy("tax")
+
+
+def tax_gate(questions: DataFrame, bodies: DataFrame) -> DataFrame:
+    """questions (tax, ...) with admitted and reason: 'unknown' without a tax, 'outside' where no body of the corpus has it."""
+    own = covered_taxes(bodies).withColumn("inside", F.lit(True))
+    joined = questions.join(own, "tax", "left")
+    reason = F.when(F.coalesce("tax", F.lit("")) == "", "unknown").when(F.col("inside").isNull(), "outside").otherwise("")
+    return joined.select(*questions.columns, (reason == "").alias("admitted"), reason.alias("reason"))
+
+
+def norm_numbers(aliases: DataFrame) -> DataFrame:
+    """(number): the distinct norm numbers such as 37/1992 in aliases (alias)."""
+    return aliases.select(F.explode(F.regexp_extract_all("alias", F.lit(r"\b(\d{1,4}/\d{4})\b"), F.lit(1))).alias("number")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from precepta.functions.text import fold
+
 # Least share of a question's terms in a criterion's subject, and criteria kept for each question.
 SUBJECT_SHARE, CRITERIA = 0.2, 3
 
@@ -85,3 +87,69 @@ def pack(items: DataFrame, budgets: DataFrame) -> DataFrame:
         return F.struct((acc["left"] - sent).cast("long").alias("left"), (acc["rulings"] - F.when(i["k"] == 1, 1).otherwise(0)).cast("long").alias("rulings"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     return lists.select("question", F.explode(F.aggregate("items", start, step)["out"]).alias("o")).select("question", "o.*")
+
+
+# The central tribunal, and what labels and forces are called.
+CENTRAL, DOCTRINE, NOT_BINDING = "TEAC", "doctrina", "no vinculante"
+NO_LABEL, CENTRAL_LABEL, REGIONAL_LABEL = "Resolucion economico-administrativa", "Criterio TEAC", "Resolucion del "
+
+
+def _plain(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+
+
+def is_central(unit: Column) -> Column:
+    return F.upper(_plain(unit)) == CENTRAL
+
+
+def tribunal_label(unit: Column) -> Column:
+    """How a resolution is named after its unit: neutral without one, a criterion only of the central tribunal."""
+    return F.when(_plain(unit) == "", NO_LABEL).when(is_central(unit), CENTRAL_LABEL).otherwise(F.concat(F.lit(REGIONAL_LABEL), _plain(unit)))
+
+
+def binding_force(unit: Column, qualification: Column) -> Column:
+    """What may be said of a resolution's force: binding, regional_doctrine, not_binding, unstated or unknown."""
+    said = F.lower(_plain(qualification))
+    return F.when(said.startswith(DOCTRINE), F.when(is_central(unit), "binding").otherwise("regional_doctrine")).when(said.startswith(NOT_BINDING), "not_binding").when(said == "", "unstated").otherwise("unknown")
+
+
+def label_check(label: Column, unit: Column) -> Column:
+    """Whether a citation's label names the tribunal: ok, no_unit where it can't be known, else what is wrong.
+
+    not_central: the central tribunal's criterion isn't called so; too_strong: another's is; unnamed: the unit isn't named.
+    """
+    said, real = F.trim(F.regexp_replace(fold(F.coalesce(label, F.lit(""))), r"\s+", " ")), fold(_plain(unit))
+    central = said.rlike(r"\b(criterio\s+teac|del\s+teac)\b|^teac\b")
+    wrong = F.when(is_central(unit), F.when(central, "ok").otherwise("not_central")).when(central, "too_strong").when(F.contains(said, real), "ok").otherwise("unnamed")
+    return F.when(real == "", "no_unit").otherwise(wrong)
+
+
+def resolution_key(identifier: Column) -> Column:
+    """The resolution that an identifier belongs to: its first five parts, the fifth as a number; shorter ones as they are, null if empty."""
+    parts = F.filter(F.split(F.trim(F.coalesce(identifier, F.lit(""))), "/"), lambda x: x != "")
+    fifth = F.coalesce(F.get(parts, F.lit(4)).try_cast("int").cast("string"), F.get(parts, F.lit(4)))
+    key = F.when(F.size(parts) < 5, F.array_join(parts, "/")).otherwise(F.concat_ws("/", F.slice(parts, 1, 4), fifth))
+    return F.nullif(key, F.lit(""))
+
+
+def article_of(precept: Column) -> Column:
+    """The article number, with its suffix, that a precept begins with; empty if it begins with none."""
+    found = F.regexp_extract(F.coalesce(precept, F.lit("")), r"(?i)^\s*(\d+(?:\s+(?:bis|ter|quater|quinquies|sexies|septies|octies|nonies|decies)(?!\w))?)", 1)
+    return F.lower(F.trim(F.regexp_replace(found, r"\s+", " ")))
+
+
+def names_other_tax(concepts: Column, any_tax: str, own_tax: str) -> Column:
+    """Whether concepts (an array) name taxes, but not the corpus's own; those that name none pass."""
+    named = F.filter(F.coalesce(concepts, F.array().cast("array<string>")), lambda c: c.rlike(any_tax))
+    return (F.size(named) > 0) & ~F.exists(named, lambda c: c.rlike(own_tax))
+
+
+def answer_state(cases: DataFrame) -> DataFrame:
+    """cases (results, accepted, verified, disagreements, ...) with state and reason.
+
+    NOT_FOUND without results, without an accepted draft, or without a verified precept; else DISPUTED with any signal of
+    disagreement, and CLEAR without. Gaps of coverage never change the state.
+    """
+    reason = F.when(F.coalesce("results", F.lit(0)) == 0, "no_results").when(~F.coalesce("accepted", F.lit(False)), "not_verified").when(F.coalesce("verified", F.lit(0)) == 0, "no_precept").otherwise("")
+    state = F.when(reason != "", "NOT_FOUND").when(F.coalesce("disagreements", F.lit(0)) > 0, "DISPUTED").otherwise("CLEAR")
+    return cases.select("*", state.alias("state"), reason.alias("reason"))

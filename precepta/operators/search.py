@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from precepta.functions.text import fold, words
+from precepta.functions.stem import stem, with_stem
+from precepta.functions.text import STOP_WORDS, fold, plain, words
+from precepta.sources.readers import cut
 
 # Field weights and length normalisation, saturation, weight of exact forms, state floor, gates.
 WEIGHTS, LENGTH_NORM = {"title": 4.0, "context": 0.8, "body": 1.0}, {"title": 0.35, "context": 0.35, "body": 0.75}
@@ -57,7 +61,7 @@ def bm25f(docs: DataFrame, query: list[str], exact: bool = False) -> DataFrame:
     fielded = fields(docs)
     wanted = F.array(*[F.lit(t) for t in dict.fromkeys(query)])
     hits = fielded.withColumn("length", F.size("tokens")).select("doc_id", "field", "length", F.explode(F.filter("tokens", lambda t: F.array_contains(wanted, t))).alias("term"))
-    hits = hits.groupBy("term", "doc_id", "field", "length").agg(F.count("*").alias("tf"))
+    hits = cut(hits.groupBy("term", "doc_id", "field", "length").agg(F.count("*").alias("tf")))
     stats = field_stats(fielded)
     df = hits.groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
     norm = 1 - _by_field(LENGTH_NORM) + _by_field(LENGTH_NORM) * F.col("length") / F.col("mean_length")
@@ -67,6 +71,101 @@ def bm25f(docs: DataFrame, query: list[str], exact: bool = False) -> DataFrame:
     return weighted.join(F.broadcast(df), "term").join(F.broadcast(asked), "term").groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("n_terms"))
 
 
+def question_terms(question: str) -> tuple[list[str], list[str]]:
+    """(stems, exact forms) of a question, each once and in order."""
+    exact = [w for w in re.findall("[a-z0-9]+", plain(question)) if w not in STOP_WORDS and (len(w) > 1 or w.isdigit())]
+    return list(dict.fromkeys(stem(w) for w in exact)), list(dict.fromkeys(exact))
+
+
+def _near_stems(tokens: Column, stems: list[str]) -> Column:
+    """Those of tokens that may have one of stems: a stem begins with the first three letters of its word."""
+    return F.filter(tokens, lambda w: F.substring(w, 1, 3).isin([s[:3] for s in stems]))
+
+
+def _having(rows: DataFrame, stems: list[str]) -> DataFrame:
+    """rows (word, ...) with stem, those of stems only. Each distinct word is stemmed once; a filter on stems never meets their rules."""
+    known = cut(with_stem(rows.select("word").distinct(), "word"))
+    return rows.join(known.where(F.col("stem").isin(stems)), "word")
+
+
+def stemmed_contributions(docs: DataFrame, question: str) -> DataFrame:
+    """(doc_id, term, score, fields) of what each stem and exact form of the question adds to a document's BM25F score.
+
+    Stems weigh 1, exact forms EXACT_WEIGHT; a stem and a form of one name are one term. A document's lengths count its
+    words, which have one stem each. One scan with one split into words: words that can't have a stem of the question
+    stay in it, the rest are counted before they are shuffled, and only these few are stemmed. Field means come from the
+    same split, in a pass of its own.
+    """
+    stems, exact = question_terms(question)
+    if not stems:
+        return docs.sparkSession.createDataFrame([], "doc_id long, term string, score double, fields array<string>")
+    fielded = fields(docs)
+    near = fielded.select("doc_id", "field", F.size("tokens").alias("length"), F.explode(_near_stems(F.col("tokens"), stems)).alias("word"))
+    found = cut(near.groupBy("doc_id", "field", "length", "word").agg(F.count("*").alias("tf")))
+    named = F.array(F.struct(F.col("stem").alias("term"), F.lit(False).alias("exact")), F.struct(F.col("word").alias("term"), F.lit(True).alias("exact")))
+    each = _having(found, stems).select("doc_id", "field", "length", "tf", F.inline(named)).where(~F.col("exact") | F.col("term").isin(exact))
+    hits = cut(each.groupBy("term", "exact", "doc_id", "field", "length").agg(F.sum("tf").alias("tf")))
+    stats = field_stats(fielded)
+    df = hits.groupBy("term", "exact").agg(F.count_distinct("doc_id").alias("df"))  # as many rows as the question has terms
+    norm = 1 - _by_field(LENGTH_NORM) + _by_field(LENGTH_NORM) * F.col("length") / F.col("mean_length")
+    weighted = hits.join(F.broadcast(stats), "field").groupBy("term", "exact", "doc_id").agg(F.sum(_by_field(WEIGHTS) * F.col("tf") / norm).alias("wtf"), F.first("n_docs").alias("n"), F.collect_set("field").alias("fields"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.when(F.col("exact"), EXACT_WEIGHT).otherwise(1.0) * idf * F.col("wtf") / (K1 + F.col("wtf"))
+    return weighted.join(F.broadcast(df), ["term", "exact"]).groupBy("doc_id", "term").agg(F.sum(part).alias("score"), F.array_distinct(F.flatten(F.collect_list("fields"))).alias("fields"))
+
+
+def stemmed_bm25f(docs: DataFrame, question: str) -> DataFrame:
+    """(doc_id, score, n_terms, fields, contributions): the sums of stemmed_contributions, the fields touched, and each term's share."""
+    each = stemmed_contributions(docs, question)
+    fields_ = F.array_sort(F.array_distinct(F.flatten(F.collect_list("fields"))))
+    parts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", F.round("score", 6).alias("score")))))  # no more than the question's terms
+    return each.groupBy("doc_id").agg(F.round(F.sum("score"), 6).alias("score"), F.count("*").alias("n_terms"), fields_.alias("fields"), parts.alias("contributions"))
+
+
+def stem_counts(docs: DataFrame) -> DataFrame:
+    """(stem, df, tf): documents and occurrences of each stem; words are counted first, and each distinct one stemmed once."""
+    counted = docs.select("doc_id", F.explode(words(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return counted.join(with_stem(counted.select("term").distinct()), "term").groupBy("stem").agg(F.count_distinct("doc_id").alias("df"), F.sum("tf").alias("tf"))
+
+
+def stems_found(docs: DataFrame, stems: list[str], key: str = "doc_id") -> DataFrame:
+    """(key, found): which of stems a document's text has, for those that have any."""
+    near = cut(docs.select(key, F.explode(F.array_distinct(_near_stems(words(F.col("text")), stems))).alias("word")))
+    return _having(near, stems).groupBy(key).agg(F.collect_set("stem").alias("found"))
+
+
+def stemmed_gate(docs: DataFrame, questions: dict[str, str]) -> DataFrame:
+    """relevance_gate on stems: one row for each question, from one pass over docs."""
+    asked = {q: question_terms(t)[0] for q, t in questions.items()}
+    hits = stems_found(docs, sorted({s for x in asked.values() for s in x}))
+    table = docs.sparkSession.createDataFrame([(q, x) for q, x in asked.items()], "query string, stems array<string>")
+    by_stem = docs.sparkSession.createDataFrame([(q, s) for q, x in asked.items() for s in x], "query string, stem string")
+    per_doc = hits.select("doc_id", F.explode("found").alias("stem")).join(F.broadcast(by_stem), "stem").groupBy("query", "doc_id").agg(F.count("*").alias("n"))
+    best = per_doc.groupBy("query").agg(F.max("n").alias("best"))
+    there = hits.select(F.explode("found").alias("stem")).distinct().join(F.broadcast(by_stem), "stem").groupBy("query").agg(F.count("*").alias("present"))
+    joined = table.join(best, "query", "left").join(there, "query", "left").na.fill(0, ["best", "present"])
+    absent = F.when(F.size("stems") == 0, 1.0).otherwise(1 - F.col("present") / F.size("stems"))
+    out = joined.withColumn("absent_share", absent).withColumn("best_coverage", F.when(F.col("present") > 0, F.col("best") / F.col("present")).otherwise(0.0))
+    reason = F.when(F.size("stems") == 0, "no_terms").when(F.col("present") == 0, "none").when(F.col("absent_share") > MAX_ABSENT, "absent").when(F.col("best_coverage") < MIN_COVERAGE, "scattered").otherwise("")
+    return out.select("query", F.round("absent_share", 6).alias("absent_share"), F.round("best_coverage", 6).alias("best_coverage"), (reason == "").alias("admitted"), reason.alias("reason"))
+
+
+def subject_coverage(docs: DataFrame, question: str, known: DataFrame | None = None) -> DataFrame:
+    """(doc_id, coverage): the share of the question's stems, of those that known (stem) has, that a text has; documents with none are left out."""
+    stems = question_terms(question)[0]
+    if known is not None:
+        stems = [r[0] for r in cut(known.select("stem").distinct()).where(F.col("stem").isin(stems)).collect()]  # no more than the question's
+    if not stems:
+        return docs.select("doc_id").limit(0).withColumn("coverage", F.lit(0.0))
+    return stems_found(docs, stems).select("doc_id", (F.size("found") / F.lit(float(len(stems)))).alias("coverage"))
+
+
+def stemmed_top_k(docs: DataFrame, question: str, k: int = 3) -> DataFrame:
+    """The k documents that have most of the question's distinct stems; ties by the longer text, then doc_id."""
+    found = stems_found(docs.select("doc_id", "text"), question_terms(question)[0])
+    return docs.select("doc_id", "n_chars").join(found, "doc_id").select("doc_id", "n_chars", F.size("found").alias("score")).orderBy(F.desc("score"), F.desc("n_chars"), "doc_id").limit(k)
+
+
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """The k rows of the largest score, ties by doc_id, with rank. The limit comes first, so one task ranks k rows only."""
     best = scored.orderBy(F.desc("score"), "doc_id").limit(k)
@@ -118,7 +217,7 @@ def class_floor(scored: DataFrame, k: int, in_class: Column, floor: int = STATE_
     Only the k best and the `floor` best of the class leave the limits.
     """
     order = [F.desc("score"), F.col("doc_id")]
-    marked = scored.withColumn("state", in_class)
+    marked = cut(scored.select("doc_id", "score", in_class.alias("state")))
     top = marked.orderBy(*order).limit(k)
     reserve = marked.where("state").orderBy(*order).limit(floor)
     extra = reserve.join(top.select("doc_id"), "doc_id", "left_anti")

@@ -9,10 +9,13 @@ from precepta.functions.text import fold, normal_literal
 from precepta.operators.graph import SUFFIX
 from precepta.sources.readers import cut
 
+#: So many words are sought, and so many literals tested, in one scan; so many words may be broadcast to be counted.
+KEY_WORDS, BROADCAST_WORDS = 2_000, 100_000
 # Shorter quotations are verified with a caution; patterns of statements that need a source.
 SHORT_QUOTE = 25
 CLAIMS = {"percentage": r"\d+(?:[.,]\d+)?\s?%", "deadline": r"(?i)\b\d+\s+(?:d[íi]as?|meses|a[ñn]os?|days?|months?|years?)\b", "money": r"(?i)\b\d[\d.,]*\s?(?:€|euros?|eur)\b", "article": r"(?i)\bart[íi]culos?\s+\d+"}
 QUOTED = r"«[^»]{3,}»|“[^”]{3,}”|\"[^\"]{3,}\""
+ADDRESS = r"(https?://[^\s)\]]+)"
 REFERENCE = r"(?i)\b(?:art[íi]culo|art\.|article)\s+(\d+(?:\s+" + SUFFIX + r")?)"
 
 
@@ -20,8 +23,9 @@ def citations(docs: DataFrame) -> DataFrame:
     """(doc_id, n, literal, number, link, pieces) of the quotations in texts.
 
     Quotation marks of three kinds; a reference in parentheses right behind the quotation is its own, else the first one up
-    to the end of the sentence behind it, else the last one before it. link: the first address behind; pieces: the literal
-    split at ellipses.
+    to the end of the sentence behind it, else the last one before it. link: the first address in these parentheses, in
+    that sentence, or behind it before another quotation, else the last one before the quotation; pieces: the literal split
+    at ellipses.
     """
     text = F.col("text")
     quotes = F.regexp_extract_all(text, F.lit(QUOTED), F.lit(0))
@@ -34,7 +38,9 @@ def citations(docs: DataFrame) -> DataFrame:
     sentence = F.regexp_extract("after", r"(?s)^(.*?)(?:[.;]\s|[«“\"]|$)", 1)
     number = lambda c: F.nullif(F.regexp_extract(c, REFERENCE, 1), F.lit(""))
     last = F.try_element_at(F.regexp_extract_all("before", F.lit(REFERENCE), F.lit(1)), F.lit(-1))
-    link = F.nullif(F.regexp_extract(F.substring("after", 1, 300), r"(https?://[^\s)\]]+)", 1), F.lit(""))
+    address = lambda c: F.nullif(F.regexp_extract(c, ADDRESS, 1), F.lit(""))
+    behind = F.regexp_extract("after", r"(?s)^([^«“]*)", 1)
+    link = F.coalesce(address(glued), address(sentence), address(behind), F.try_element_at(F.regexp_extract_all("before", F.lit(ADDRESS), F.lit(1)), F.lit(-1)))
     pieces = F.filter(F.transform(F.split(inner, r"\[?(?:\.\.\.|…)\]?"), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     return located.where(F.length(inner) >= 3).select("doc_id", "n", inner.alias("literal"), F.coalesce(number(glued), number(sentence), last).alias("number"), link.alias("link"), pieces.alias("pieces"))
 
@@ -43,23 +49,31 @@ def locate(literals: DataFrame, corpus: DataFrame) -> DataFrame:
     """(literal_id, doc_id): the documents that contain a literal, of literals (literal_id, literal) and corpus (doc_id, text).
 
     Both are normalised. A containment join would test all pairs; instead each literal is keyed by its rarest inner word
-    (those at its ends may be parts of longer ones), and only documents with that word are tested. The few literals
-    without an inner word are tested on all texts in one scan.
+    (those at its ends may be parts of longer ones), and only documents with that word are tested. With up to KEY_WORDS
+    keys, a document's own ones are found and tested in one scan that shuffles no text; with more, key words are joined
+    to documents, and these to their texts. Literals without an inner word are tested on all texts, KEY_WORDS in a scan.
     """
     split = lambda c: F.regexp_extract_all(fold(c), F.lit("[a-z0-9]+"), F.lit(0))
     asked = literals.select("literal_id", normal_literal(F.col("literal")).alias("literal")).where("literal != ''").withColumn("inner", split(F.col("literal")))
     asked = cut(asked.withColumn("inner", F.when(F.size("inner") > 2, F.expr("slice(inner, 2, size(inner) - 2)"))))
     texts = corpus.select("doc_id", normal_literal(F.col("text")).alias("text"))
     pairs = asked.select("literal_id", F.explode(F.array_distinct("inner")).alias("word"))
-    index = texts.select("doc_id", F.explode(F.array_distinct(split(F.col("text")))).alias("word"))
-    counts = cut(index.join(pairs.select("word").distinct(), "word").groupBy("word").agg(F.count("*").alias("n")))
+    sought = pairs.select("word").distinct()
+    index = lambda words: texts.select("doc_id", F.explode(F.array_distinct(split(F.col("text")))).alias("word")).join(words, "word")
+    counts = cut(index(F.broadcast(sought) if sought.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else sought).groupBy("word").agg(F.count("*").alias("n")))
     keys = pairs.join(counts, "word", "left").groupBy("literal_id").agg(F.count_if(F.col("n").isNull()).alias("absent"), F.min(F.struct("n", "word"))["word"].alias("word")).where("absent = 0")
     keyed = cut(keys.join(asked, "literal_id").select("literal_id", "literal", "word"))
-    found = index.join(keyed.select("word", "literal_id"), "word").select("doc_id", "literal_id")
-    hits = found.join(keyed.select("literal_id", "literal"), "literal_id").join(texts, "doc_id").where(F.contains("text", "literal")).select("literal_id", "doc_id")
-    short = asked.where("inner IS NULL").select("literal_id", "literal")
-    if not short.isEmpty():
-        hits = hits.union(texts.join(F.broadcast(short), F.contains(texts["text"], short["literal"])).select("literal_id", "doc_id"))
+    few = [r[0] for r in keyed.select("word").distinct().limit(KEY_WORDS + 1).collect()]
+    if len(few) <= KEY_WORDS:
+        own = texts.select("doc_id", "text", F.explode(F.array_intersect(split(F.col("text")), F.array(*map(F.lit, few)).cast("array<string>"))).alias("word"))
+        hits = own.join(keyed, "word").where(F.contains("text", "literal")).select("literal_id", "doc_id")
+    else:
+        found = index(keyed.select("word", "literal_id")).select("doc_id", "literal_id")
+        hits = found.join(keyed.select("literal_id", "literal"), "literal_id").join(texts, "doc_id").where(F.contains("text", "literal")).select("literal_id", "doc_id")
+    short = [r[0] for r in asked.where("inner IS NULL").select("literal").distinct().toLocalIterator()]
+    for block in (short[i : i + KEY_WORDS] for i in range(0, len(short), KEY_WORDS)):
+        inside = F.filter(F.array(*map(F.lit, block)), lambda x: F.contains(F.col("text"), x))
+        hits = hits.union(texts.select("doc_id", F.explode(inside).alias("literal")).join(asked.where("inner IS NULL"), "literal").select("literal_id", "doc_id"))
     return hits.distinct()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precepta.functions import text as T
-from precepta.functions.stem import stem_vocabulary
+from precepta.functions.stem import stem_stages, stem_vocabulary
 from precepta.operators import audit, evaluate, graph, registry, rulings, search, shred, temporal, verify
 from precepta.sources.readers import duplicate_keys
 from precepta.streaming import queue
@@ -69,8 +69,80 @@ d AS (SELECT term, count(DISTINCT doc_id) AS df FROM p GROUP BY term),
 scored AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * wtf / (1.4 + wtf)), 6) AS score, count(*) AS n_terms FROM t JOIN d USING (term) GROUP BY doc_id)"""
 
 
+def _stemmed(vocabulary: str) -> str:
+    """A subquery (term, stem) of a subquery with term."""
+    out = vocabulary
+    for stage in stem_stages("term"):
+        out = f"(SELECT *, {', '.join(f'{e} AS {name}' for name, e in stage)} FROM {out})"
+    return f"(SELECT term, stem FROM {out})"
+
+
+def _rows(columns: str, rows: list[tuple], types: str = "") -> str:
+    """SELECT of rows as they are; types names a cast for some columns (name type, ...)."""
+    literal = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    casts = dict(x.split() for x in types.split(", ")) if types else {}
+    wanted = ", ".join(f"CAST({c} AS {casts[c]}) AS {c}" if c in casts else c for c in columns.split(", "))
+    return f"SELECT {wanted} FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({columns})"
+
+
 # --- search
 
+#: A question whose words have several forms in the corpus, and what the stemmed gate is asked.
+QUESTION = "Licensed thouing, the licenses: ¿thouados con nichtes leauxes?"
+STEM_GATED = {"near": "thouado y thouando", "far": "xqztado wqkkes thou", "none": "xqztado wqkkes", "empty": "de la que", "mixed": "license auchan nichtes xqzt"}
+_STEMS, _EXACT = search.question_terms(QUESTION)
+_STEM_SCORED = f"""WITH {_FIELDS}, l AS (SELECT doc_id, field, len(tokens) AS length FROM f), {_STATS},
+u AS (SELECT doc_id, field, unnest(tokens) AS term FROM f), v AS (SELECT * FROM {_stemmed("(SELECT DISTINCT term FROM u)")} AS v0 WHERE stem IN ({", ".join(f"'{t}'" for t in _STEMS)})),
+p AS (SELECT stem AS term, false AS exact, doc_id, field, count(*) AS tf FROM u JOIN v USING (term) GROUP BY ALL UNION ALL
+      SELECT term, true, doc_id, field, count(*) FROM u WHERE term IN ({", ".join(f"'{t}'" for t in _EXACT)}) GROUP BY ALL),
+w AS (SELECT field, CASE field WHEN 'title' THEN 4.0 WHEN 'context' THEN 0.8 ELSE 1.0 END::DOUBLE AS w, CASE field WHEN 'body' THEN 0.75 ELSE 0.35 END::DOUBLE AS b FROM s),
+t AS (SELECT term, exact, doc_id, any_value(n_docs) AS n, sum(w * tf / (1 - b + b * length / mean_length)) AS wtf, list(field) AS fields FROM p JOIN l USING (doc_id, field) JOIN s USING (field) JOIN w USING (field) GROUP BY ALL),
+d AS (SELECT term, exact, count(DISTINCT doc_id) AS df FROM p GROUP BY ALL),
+c AS (SELECT doc_id, term, sum(CASE WHEN exact THEN 0.45::DOUBLE ELSE 1 END * ln(1 + (n - df + 0.5) / (df + 0.5)) * wtf / (1.4 + wtf)) AS score, flatten(list(fields)) AS fields FROM t JOIN d USING (term, exact) GROUP BY ALL),
+scored AS (SELECT doc_id, round(sum(score), 6) AS score, count(*) AS n_terms, array_to_string(list_sort(list_distinct(flatten(list(fields)))), ',') AS fields FROM c GROUP BY doc_id)"""
+
+
+@query(_STEM_SCORED + " SELECT doc_id, score, n_terms, fields, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored ORDER BY score DESC, doc_id LIMIT 10")
+def bm25f_stemmed_topk(spark, sf):
+    scored = search.stemmed_bm25f(table(spark, sf, "documents"), QUESTION)
+    return search.top_k(scored, 10).select("doc_id", "score", "n_terms", F.array_join("fields", ",").alias("fields"), "rank")
+
+
+@query(_STEM_SCORED + ", top AS (SELECT doc_id FROM scored ORDER BY score DESC, doc_id LIMIT 10) SELECT doc_id, term, round(score, 6) AS score FROM c WHERE doc_id IN (SELECT doc_id FROM top)")
+def bm25f_contributions(spark, sf):
+    best = search.top_k(search.stemmed_bm25f(table(spark, sf, "documents"), QUESTION), 10)
+    return best.select("doc_id", F.explode("contributions").alias("term", "score"))
+
+
+@query(f"WITH u AS (SELECT doc_id, unnest({_words('text')}) AS term FROM documents), v AS (SELECT * FROM {_stemmed('(SELECT DISTINCT term FROM u)')} AS v0) SELECT stem, count(DISTINCT doc_id) AS df, count(*) AS tf FROM u JOIN v USING (term) GROUP BY stem")
+def stem_frequencies(spark, sf):
+    return search.stem_counts(table(spark, sf, "documents"))
+
+
+_HAS = f"WITH u AS (SELECT DISTINCT doc_id, unnest({_words('text')}) AS term FROM documents), v AS (SELECT * FROM {_stemmed('(SELECT DISTINCT term FROM u)')} AS v0), h AS (SELECT DISTINCT doc_id, stem FROM u JOIN v USING (term))"
+
+
+@query(_HAS + f""", q AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {_list(search.question_terms(v)[0])}::VARCHAR[])" for k, v in STEM_GATED.items())}) AS t(query, stems)),
+e AS (SELECT query, unnest(stems) AS stem FROM q), b AS (SELECT query, max(n) AS best FROM (SELECT query, doc_id, count(*) AS n FROM e JOIN h USING (stem) GROUP BY ALL) GROUP BY query),
+p AS (SELECT query, count(*) AS present FROM e WHERE stem IN (SELECT stem FROM h) GROUP BY query),
+r AS (SELECT query, len(stems) AS n, coalesce(present, 0) AS present, CASE WHEN len(stems) = 0 THEN 1 ELSE 1 - coalesce(present, 0) / len(stems)::DOUBLE END AS a, CASE WHEN present > 0 THEN best / present::DOUBLE ELSE 0 END AS c FROM q LEFT JOIN b USING (query) LEFT JOIN p USING (query)),
+x AS (SELECT *, CASE WHEN n = 0 THEN 'no_terms' WHEN present = 0 THEN 'none' WHEN a > 0.5 THEN 'absent' WHEN c < 0.5 THEN 'scattered' ELSE '' END AS reason FROM r)
+SELECT query, round(a, 6) AS absent_share, round(c, 6) AS best_coverage, reason = '' AS admitted, reason FROM x""")
+def stemmed_gate(spark, sf):
+    return search.stemmed_gate(table(spark, sf, "documents"), STEM_GATED)
+
+
+@query(_HAS + f", n AS (SELECT count(DISTINCT stem) AS n FROM h WHERE stem IN ({', '.join(f'{chr(39)}{t}{chr(39)}' for t in _STEMS)})) SELECT doc_id, count(*) / any_value(n)::DOUBLE AS coverage FROM h, n WHERE stem IN ({', '.join(f'{chr(39)}{t}{chr(39)}' for t in _STEMS)}) GROUP BY doc_id")
+def subject_coverage(spark, sf):
+    docs = table(spark, sf, "documents")
+    return search.subject_coverage(docs, QUESTION, search.stem_counts(docs))
+
+
+@query(_HAS + f" SELECT doc_id, n_chars, CAST(count(*) AS INTEGER) AS score FROM h JOIN documents USING (doc_id) WHERE stem IN ({', '.join(f'{chr(39)}{t}{chr(39)}' for t in _STEMS)}) GROUP BY doc_id, n_chars ORDER BY score DESC, n_chars DESC, doc_id LIMIT 3")
+def stemmed_overlap_topk(spark, sf):
+    return search.stemmed_top_k(table(spark, sf, "documents"), QUESTION)
+
+
 @query(_SCORED + " SELECT doc_id, score, n_terms, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored ORDER BY score DESC, doc_id LIMIT 10")
 def bm25f_exact_topk(spark, sf):
     return search.top_k(search.bm25f(table(spark, sf, "documents"), ASKED), 10)
@@ -191,7 +263,7 @@ def years_in_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.years_in(F.col("text")).alias("years"))
 
 
-@query()
+@query(f"SELECT term, stem FROM {_stemmed('(SELECT DISTINCT unnest(' + _words('text') + ') AS term FROM documents)')} AS v0")
 def stem_terms(spark, sf):
     return stem_vocabulary(table(spark, sf, "documents").select(F.explode(T.words(F.col("text"))).alias("term")))
 
@@ -524,6 +596,194 @@ def usage_rollup(spark, sf):
     return audit.usage_rollup(calls, ["event_type", "day"], ["amount"]).withColumn("amount", F.col("amount").cast("double")).withColumn("gid", F.col("gid").cast("long"))
 
 
+
+# --- rulings: labels, keys and states
+
+_LABELS = [
+    (1, "Criterio TEAC 00/06614/2024/00/0/1", "TEAC", "Doctrina", "Criterio TEAC", "binding", "ok"),
+    (2, "criterio  teac 00/1/2020", " teac ", "No vinculante", "Criterio TEAC", "not_binding", "ok"),
+    (3, "Resolución del TEAR de Cataluña", "TEAR de Cataluña", "Doctrina reiterada", "Resolucion del TEAR de Cataluña", "regional_doctrine", "ok"),
+    (4, "Criterio TEAC 07/02872/2023", "TEAR de Baleares", "", "Resolucion del TEAR de Baleares", "unstated", "too_strong"),
+    (5, "Resolución 00/2/2021", "TEAC", None, "Criterio TEAC", "unstated", "not_central"),
+    (6, "Resolución económico-administrativa", None, "Doctrina", "Resolucion economico-administrativa", "regional_doctrine", "no_unit"),
+    (7, "Resolución 28/5/2022", "TEAR  de Madrid", "Relevante", "Resolucion del TEAR de Madrid", "unknown", "unnamed"),
+    (8, "RESOLUCION DEL TEAR DE CATALUNA", "TEAR de Cataluña", "no  Vinculante", "Resolucion del TEAR de Cataluña", "not_binding", "ok"),
+    (9, None, "", None, "Resolucion economico-administrativa", "unstated", "no_unit"),
+]
+
+
+@query(_rows("id, label, force, verdict", [(r[0], *r[4:]) for r in _LABELS]))
+def criterion_labels(spark, sf):
+    given = spark.createDataFrame([r[:4] for r in _LABELS], "id int, said string, unit string, qualification string")
+    return given.select("id", rulings.tribunal_label(F.col("unit")).alias("label"), rulings.binding_force(F.col("unit"), F.col("qualification")).alias("force"), rulings.label_check(F.col("said"), F.col("unit")).alias("verdict"))
+
+
+_KEYS = [
+    ("00/06614/2024/00/00", "00/06614/2024/00/0", "80.4.B)", "80"), ("00/06614/2024/00/0/1", "00/06614/2024/00/0", " 163  quinquies.2", "163 quinquies"), ("00/06614/2024", "00/06614/2024", "DA 3", ""),
+    ("//00/1/2020/50/03/", "00/1/2020/50/3", "7 BIS", "7 bis"), ("00/1/2020/50/x", "00/1/2020/50/x", "12 tercero", "12"), ("", None, "", ""), (None, None, None, ""),
+]
+
+
+@query(_rows("id, resolution, article", [(i, k, a) for i, (_, k, _, a) in enumerate(_KEYS)]))
+def resolution_keys(spark, sf):
+    given = spark.createDataFrame([(i, x, p) for i, (x, _, p, _) in enumerate(_KEYS)], "id int, identifier string, precept string")
+    return given.select("id", rulings.resolution_key(F.col("identifier")).alias("resolution"), rulings.article_of(F.col("precept")).alias("article"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 OR o_orderstatus = 'P' OR o_orderkey % 5 = 0 THEN 'NOT_FOUND' WHEN o_orderpriority LIKE '1%' THEN 'DISPUTED' ELSE 'CLEAR' END AS state,
+CASE WHEN o_orderkey % 7 = 0 THEN 'no_results' WHEN o_orderstatus = 'P' THEN 'not_verified' WHEN o_orderkey % 5 = 0 THEN 'no_precept' ELSE '' END AS reason FROM orders""")
+def answer_state(spark, sf):
+    key = F.col("o_orderkey")
+    cases = table(spark, sf, "orders").select(key.alias("id"), F.when(key % 7 > 0, key % 7).alias("results"), (F.col("o_orderstatus") != "P").alias("accepted"), (key % 5).alias("verified"), F.when(F.col("o_orderpriority").startswith("1"), 2).alias("disagreements"))
+    return rulings.answer_state(cases).select("id", "state", "reason")
+
+
+@query("SELECT p_partkey AS id, (p_type LIKE '%BRASS%' OR p_name LIKE '%a%') AND NOT (p_type LIKE '%BRASS%') AS other FROM part")
+def other_tax(spark, sf):
+    concepts = F.array("p_type", F.when(F.contains("p_name", F.lit("a")), F.concat(F.lit("TAX "), "p_name")))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), rulings.names_other_tax(F.filter(concepts, lambda c: c.isNotNull()), "BRASS|^TAX", "BRASS").alias("other"))
+
+
+# --- registry
+
+@query("""WITH b AS (SELECT DISTINCT p_brand AS tax FROM part WHERE p_size > 49), p AS (SELECT p_brand AS tax FROM part)
+SELECT coalesce(b.tax, 'GENERAL') AS tax, count(*) AS precepts FROM p LEFT JOIN b USING (tax) GROUP BY 1""")
+def corpus_taxes(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_brand").alias("tax"), "p_size")
+    return registry.corpus_taxes(part.where("p_size > 49"), part)
+
+
+@query("SELECT DISTINCT p_brand AS tax FROM part WHERE p_size > 49")
+def covered_taxes(spark, sf):
+    return registry.covered_taxes(table(spark, sf, "part").where("p_size > 49").select(F.col("p_brand").alias("tax")))
+
+
+@query("""WITH b AS (SELECT DISTINCT p_brand AS tax FROM part WHERE p_size > 49), q AS (SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE p_brand END AS tax FROM part)
+SELECT id, q.tax AS tax, coalesce(q.tax, '') != '' AND b.tax IS NOT NULL AS admitted, CASE WHEN coalesce(q.tax, '') = '' THEN 'unknown' WHEN b.tax IS NULL THEN 'outside' ELSE '' END AS reason FROM q LEFT JOIN b ON q.tax = b.tax""")
+def tax_gate(spark, sf):
+    part = table(spark, sf, "part")
+    tax = F.when(F.col("p_partkey") % 10 == 1, "").when(F.col("p_partkey") % 10 > 1, F.col("p_brand"))
+    return registry.tax_gate(part.select(F.col("p_partkey").alias("id"), tax.alias("tax")), part.where("p_size > 49").select(F.col("p_brand").alias("tax")))
+
+
+@query("SELECT DISTINCT (s_suppkey % 90 + 1) || '/' || (1990 + s_suppkey % 30) AS number FROM supplier")
+def norm_numbers(spark, sf):
+    key = F.col("s_suppkey")
+    return registry.norm_numbers(table(spark, sf, "supplier").select(F.concat(F.lit("ley "), key % 90 + 1, F.lit("/"), 1990 + key % 30, F.lit(" de normas")).alias("alias")))
+
+
+# --- reference grammar
+
+_MENTIONS = [
+    ("los artículos 95, 130 y 131.", ["95", "130", "131"]), ("artículos 33 a 36", ["33", "34", "35", "36"]), ("art. 80-cuatro", ["80"]), ("arts. 93.Cuatro, 94.Uno.1º", ["93", "94"]), ("artículo 10-3", ["10"]),
+    ("artículos 22, 26, y 27", ["22", "26", "27"]), ("Artículo 163 quinquies y 163 bis", ["163 quinquies", "163 bis"]), ("artículo 20, apartado uno, número 22.º de la ley", ["20"]), ("artículo 5, letra c) y 7", ["5", "7"]),
+    ("artículos 68.Dos.2.º y 70, párrafo segundo", ["68", "70"]), ("el artículo 4 y el artículo 9", ["4", "9"]), ("artículos 7 a 9 y 12", ["7", "8", "9", "12"]), ("artículos 92 al 94", ["92", "93", "94"]),
+    ("artículos 1 a 900", ["1", "900"]), ("artículo 13.2.º", ["13"]), ("artículos 12, 12", ["12"]), ("el articulado 5", []), ("artículo quinto", []), ("artículo 36. Otro texto 5", ["36"]), ("sin nada", []),
+    ("artículos 9 a 4", ["9", "4"]), ("artículo 84, apartados 1 y 2, y artículo 85", ["84", "85"]), ("artículo 3 bis a 5", ["3 bis", "4", "5"]),
+]
+
+
+@query(_rows("origin, number", [(i, n) for i, (_, found) in enumerate(_MENTIONS) for n in found]))
+def reference_lists(spark, sf):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_MENTIONS)], "origin int, text string")
+    return graph.scoped_references(docs, spark.createDataFrame([], "norm string")).select("origin", "number")
+
+
+_SCOPES = [
+    ("según el artículo 4 de esta Ley y el artículo 9 de la Ley 37/1992", [("4", "own", None), ("9", "corpus", "37/1992")]), ("el artículo 5 del Real Decreto 1624/1992.", [("5", "external", "1624/1992")]),
+    ("el artículo 6 de dicha Ley", [("6", "unclear", None)]), ("artículos 22, apartados uno a siete, y 23 de la Ley 37/1992", [("22", "corpus", "37/1992"), ("23", "corpus", "37/1992")]), ("artículo 7. La Ley 37/1992 dice", [("7", "own", None)]),
+    ("artículo 8 de la presente Ley", [("8", "own", None)]), ("artículo 135 de la Directiva 2006/112 y siguientes", [("135", "external", "2006/112")]), ("artículo 11", [("11", "own", None)]), ("el artículo 2 del citado Reglamento", [("2", "unclear", None)]),
+]
+
+
+@query(_rows("origin, number, scope, norm", [(i, *x) for i, (_, found) in enumerate(_SCOPES) for x in found]))
+def reference_scopes(spark, sf):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_SCOPES)], "origin int, text string")
+    return graph.scoped_references(docs, spark.createDataFrame([("37/1992",)], "norm string"))
+
+
+_PROVISIONS = [
+    ("la disposición adicional primera", [("adicional", 1)]), ("las disposiciones transitorias segunda y tercera de la ley", [("transitoria", 2), ("transitoria", 3)]), ("disposición derogatoria única", [("derogatoria", 0)]),
+    ("disposición final vigésimo segunda", [("final", 22)]), ("disposición adicional vigesimosegunda", [("adicional", 22)]), ("las disposiciones adicionales se aplicarán", []), ("la disposición final y el anexo", []),
+    ("disposiciones transitorias 2.ª y 3ª", [("transitoria", 2), ("transitoria", 3)]), ("Disposición Adicional Undécima, duodécima y decimotercera", [("adicional", 11), ("adicional", 12), ("adicional", 13)]), ("disposición transitoria 15", [("transitoria", 15)]),
+    ("disposición adicional trigésima octava", [("adicional", 38)]), ("disposición adicional primera y el artículo 5", [("adicional", 1)]), ("disposiciones", []),
+]
+
+
+@query(_rows("origin, kind, number", [(i, *x) for i, (_, found) in enumerate(_PROVISIONS) for x in found]))
+def provision_references(spark, sf):
+    return graph.provision_references(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_PROVISIONS)], "origin int, text string"))
+
+
+@query(_rows("origin, annex, norm", [(0, "II", "9/2000"), (1, "", "1215/2009"), (3, "III", "2006/112"), (3, "I", "5/1990")]))
+def annex_references(spark, sf):
+    texts = ["el Anexo II de la Ley 9/2000", "anexo del Real Decreto 1215/2009", "anexo IV de la Ley 37/1992", "anexo III de la Directiva 2006/112 y anexo I de la Ley 5/1990", "el anexo de precios"]
+    return graph.annex_references(spark.createDataFrame(list(enumerate(texts)), "origin int, text string"), spark.createDataFrame([("37/1992",)], "norm string"))
+
+
+_EDGES = "SELECT l_partkey AS origin, l_suppkey AS target, CASE WHEN l_linenumber = 1 THEN 'external' WHEN l_linenumber = 2 THEN 'ambiguous' ELSE 'resolved' END AS state FROM lineitem"
+
+
+def _edges(spark, sf) -> DataFrame:
+    state = F.when(F.col("l_linenumber") == 1, "external").when(F.col("l_linenumber") == 2, "ambiguous").otherwise("resolved")
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("origin"), F.col("l_suppkey").alias("target"), state.alias("state"))
+
+
+@query(f"SELECT * FROM ({_EDGES}) WHERE state != 'resolved'")
+def pending_edges(spark, sf):
+    return graph.pending_edges(_edges(spark, sf))
+
+
+@query(f"WITH e AS ({_EDGES}) SELECT a.p_brand AS from_norm, b.p_brand AS to_norm, count(*) AS edges FROM e JOIN part a ON a.p_partkey = origin JOIN part b ON b.p_partkey = target WHERE state = 'resolved' GROUP BY ALL")
+def cross_edges(spark, sf):
+    return graph.cross_edges(_edges(spark, sf), table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("norm")))
+
+
+# --- audits and measures
+
+@query("""WITH g AS (SELECT n_nationkey, n_regionkey, CASE WHEN n_nationkey % 4 > 0 THEN DATE '2024-01-01' + CAST(n_nationkey AS INTEGER) END AS sealed, n_nationkey % 7 = 0 AS forced, CASE WHEN n_nationkey % 4 = 0 THEN 'unsealed' WHEN n_nationkey = 9 THEN 'rows' END AS problem FROM nation)
+SELECT CASE WHEN count(*) FILTER (sealed IS NULL) = count(*) THEN 'unsealed' WHEN count(*) FILTER (problem != 'unsealed') > 0 THEN 'mismatch' ELSE 'match' END AS state, count(*) AS groups, count(*) FILTER (problem != 'unsealed') AS broken, count(*) FILTER (sealed IS NULL) AS unsealed, min(sealed) AS oldest,
+(SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT CAST(n_nationkey AS VARCHAR) AS k FROM g WHERE forced)) AS forced FROM g""")
+def seal_state(spark, sf):
+    key = F.col("n_nationkey")
+    nation = table(spark, sf, "nation")
+    groups = nation.select(key, F.when(key % 4 > 0, F.date_add(F.lit("2024-01-01").cast("date"), key.cast("int"))).alias("sealed"), (key % 7 == 0).alias("forced"))
+    problems = nation.select(key, F.when(key % 4 == 0, "unsealed").when(key == 9, "rows").alias("problem")).where("problem IS NOT NULL")
+    return audit.seal_state(groups, problems, "n_nationkey")
+
+
+@query("SELECT p_type AS label, count(*) AS n FROM part GROUP BY 1")
+def label_histogram(spark, sf):
+    return audit.label_histogram(table(spark, sf, "part").select(F.col("p_type").alias("label")), "label")
+
+
+@query("""WITH o AS (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS r FROM orders GROUP BY 1), n AS (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN DATE '1998-01-01' END AS c, r FROM customer LEFT JOIN o ON o_custkey = c_custkey)
+SELECT count(*) FILTER (r > c) AS behind, count(*) FILTER (r <= c) AS current, count(*) FILTER (r IS NULL OR c IS NULL) AS unknown, CAST(DATE '2000-01-01' - min(r) FILTER (r > c) AS INTEGER) AS worst_days FROM n""")
+def consolidation_lag(spark, sf):
+    reforms = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.to_date("o_orderdate")).alias("last_reform"))
+    norms = table(spark, sf, "customer").join(reforms, "c_custkey", "left").withColumn("consolidated", F.when(F.col("c_custkey") % 5 > 0, F.lit("1998-01-01").cast("date")))
+    return audit.consolidation_lag(norms, F.lit("2000-01-01").cast("date"))
+
+
+@query("SELECT l_partkey AS partkey, count(*) AS times FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40) GROUP BY 1")
+def unanswered(spark, sf):
+    lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("partkey"), "l_quantity")
+    return audit.unanswered(lines, lines.where("l_quantity > 40"), "partkey")
+
+
+@query("SELECT user_id, sum(CASE WHEN event_type LIKE '%c%' THEN 1 ELSE 0 END) AS calls, sum(CASE WHEN event_type LIKE '%c%' THEN event_id ELSE 0 END) AS ids FROM events GROUP BY 1")
+def step_sums(spark, sf):
+    calls = table(spark, sf, "events").withColumn("calls", F.lit(1).cast("long")).withColumn("ids", F.col("event_id"))
+    return evaluate.step_sums(calls, "user_id", "event_type", "c", ["calls", "ids"])
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_custkey), 6) AS custkey, round(avg(o_orderkey), 6) AS ship FROM orders GROUP BY ALL")
+def means_by(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority", F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("ship"))
+    return evaluate.means_by(orders, ["o_orderstatus", "o_orderpriority"], ["custkey", "ship"])
+
+
+
 # --- the queue
 
 _DEMAND = "SELECT user_id AS key, count(*) AS times, CAST(min(ts) AS DATE) AS first_seen, CAST(max(ts) AS DATE) AS last_seen FROM events GROUP BY user_id"
@@ -560,6 +820,25 @@ def queue_alarms(spark, sf):
     return queue.alarms(_queue(spark, sf), F.lit(TODAY).cast("date"))
 
 
+_DUE = f"state = 'PENDING' OR (state = 'EMPTY' AND DATE '{TODAY}' - searched >= 90) OR (state = 'FETCHED' AND DATE '{TODAY}' - searched >= 180)"
+
+
+@query(f"WITH q AS ({_MARKED}) SELECT event_id, CAST(user_id AS VARCHAR) AS key FROM events WHERE CAST(user_id AS VARCHAR) IN (SELECT key FROM q WHERE {_DUE})")
+def due_requests(spark, sf):
+    requests = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("key"))
+    return queue.due_requests(requests, _queue(spark, sf), F.lit(TODAY).cast("date"))
+
+
+@query(f"WITH q AS ({_MARKED}) SELECT key, CASE WHEN state = 'FETCHED' AND DATE '{TODAY}' - searched >= 180 THEN 'PENDING' ELSE state END AS state FROM q")
+def refresh_requests(spark, sf):
+    return queue.refresh_requests(_queue(spark, sf), F.lit(TODAY).cast("date")).select("key", "state")
+
+
+@query(f"WITH q AS ({_MARKED}) SELECT key, searched FROM q WHERE state = 'FETCHED' AND searched = (SELECT max(searched) FROM q WHERE state = 'FETCHED')")
+def latest_fetched(spark, sf):
+    return queue.latest_fetched(_queue(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

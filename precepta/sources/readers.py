@@ -10,10 +10,13 @@ from pyspark.sql.types import StructType
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that spark.checkpoint.dir names (a temporary one only where it is unset)."""
+    """df, computed once and kept in the folder that spark.checkpoint.dir names. Where it is unset, in a temporary one, but only if all tasks run in this process."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="precepta-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="precepta-"))
     return df.checkpoint(eager=True)
 
 

@@ -53,6 +53,24 @@ def due(queue: DataFrame, covered: DataFrame, today: Column) -> DataFrame:
     return queue.where(F.coalesce(is_due(today), F.lit(False))).join(covered.select("key").distinct(), "key", "left_anti").withColumn("priority", priority())
 
 
+def due_requests(requests: DataFrame, queue: DataFrame, today: Column) -> DataFrame:
+    """requests (key, ...) whose queue entries are due; their order columns stay."""
+    return requests.join(queue.where(F.coalesce(is_due(today), F.lit(False))).select("key").distinct(), "key", "left_semi")
+
+
+def refresh_requests(queue: DataFrame, today: Column, days: int = REFRESH_DAYS) -> DataFrame:
+    """queue with fetched entries of that age set back to pending, so that they are fetched again."""
+    old = (F.col("state") == FETCHED) & (F.datediff(today, "searched") >= days)
+    return queue.withColumn("state", F.when(F.coalesce(old, F.lit(False)), PENDING).otherwise(F.col("state")))
+
+
+def latest_fetched(queue: DataFrame) -> DataFrame:
+    """(key, searched): what was fetched on the last day that anything was. The day comes from an aggregate of one row."""
+    fetched = queue.where(F.col("state") == FETCHED)
+    last = fetched.agg(F.max("searched")).first()[0]
+    return fetched.where(F.col("searched") == F.lit(last)).select("key", "searched")
+
+
 def alarms(queue: DataFrame, today: Column) -> DataFrame:
     """(waiting, silent_days, oldest_days, silence, backlog) in one row."""
     one = queue.agg(F.count_if(is_due(today)).alias("waiting"), F.datediff(today, F.max("searched")).alias("silent_days"), F.max(F.when(F.col("state") == PENDING, F.datediff(today, "first_seen"))).alias("oldest_days"))

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from precepta.functions import text as T
-from precepta.functions.stem import stem, stem_vocabulary
+from precepta.functions.stem import stem, stem_vocabulary, with_stem
 from precepta.operators import audit, graph, registry, rulings, search, shred, temporal, verify
 from precepta.sources import readers
 from precepta.streaming import queue
@@ -261,3 +261,26 @@ def test_session_windows_stream_and_batch_agree(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("sessions_test").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert set(rows(spark.table("sessions_test"), "user_id")) <= set(batch)
+
+
+def test_stems_by_expressions_are_those_of_the_rules(spark):
+    rng = random.Random(2)
+    endings = "anza icos ismo ables amiento adora aciones idad iva ucciones uccion logia uciones encias mente ieron iendo aban ados guen gues os a o e".split()
+    found = {"".join(rng.choice("abcdeiorstlnu") for _ in range(rng.randrange(1, 9))) + rng.choice(["", *endings]) for _ in range(3000)} | {"", "12", "1234", "gas", "reduccion", "reducciones", "licencias", "biologia"}
+    got = {r["term"]: r["stem"] for r in with_stem(spark.createDataFrame([(w,) for w in found], "term string")).collect()}
+    assert got == {w: stem(w) for w in found}
+
+
+@pytest.mark.parametrize("word, root", [("deducciones", "deduc"), ("deduccion", "deduc"), ("importancia", "import"), ("rapidamente", "rapid"), ("de", "de"), ("1992", "1992")])
+def test_golden_stems(word, root):
+    assert stem(word) == root
+
+
+@pytest.mark.parametrize("few", [0, 2, 2_000])
+def test_location_in_one_scan_and_by_joins(spark, few, monkeypatch):
+    monkeypatch.setattr(verify, "KEY_WORDS", max(few, 1))
+    monkeypatch.setattr(verify, "BROADCAST_WORDS", few)
+    texts = [(1, "uno dos tres cuatro cinco"), (2, "cuatro «cinco» seis"), (3, "Uno dos"), (4, None), (5, "")]
+    asked = [(1, "dos tres cuatro"), (2, "uno dos"), (3, "os tr"), (4, "zz yy xx"), (5, "cuatro"), (6, ""), (7, None), (8, "uno dos tres cuatro cinco")]
+    frames = spark.createDataFrame(asked, "literal_id int, literal string"), spark.createDataFrame(texts, "doc_id int, text string")
+    assert {tuple(r) for r in verify.locate(*frames).select("literal_id", "doc_id").collect()} == {(i, d) for i, x in asked for d, t in texts if x and t and x in t}
