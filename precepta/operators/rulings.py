@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from precepta.functions.text import fold
 
@@ -46,7 +47,9 @@ def select_criteria(criteria: DataFrame, wanted: DataFrame, k: int = CRITERIA, l
 
     criteria (criterion_id, subject, level, year, share), wanted (question, subject). Order: level, then the latest year.
     """
-    hits = criteria.join(wanted.distinct(), "subject").groupBy("question", "criterion_id").agg(*[F.first(c).alias(c) for c in ("level", "year", "share")])
+    hits = criteria.join(wanted.distinct(), "subject").groupBy("question", "criterion_id")
+    hits = hits.agg(F.min(F.struct("level", (-F.col("year")).alias("before"), (-F.col("share")).alias("less"))).alias("best"))  # a repeated criterion at its best
+    hits = hits.select("question", "criterion_id", "best.level", (-F.col("best.before")).alias("year"), (-F.col("best.less")).alias("share"))
     fit = F.col("share") >= least_share
     place = F.row_number().over(Window.partitionBy("question", fit).orderBy("level", F.desc("year"), "criterion_id"))
     ranked = hits.withColumn("place", F.when(fit, place))
@@ -72,21 +75,34 @@ def pack(items: DataFrame, budgets: DataFrame) -> DataFrame:
     """items (question, item_id, kind, size) with sent and reason, under budgets (question, budget) of characters.
 
     Central items come first in order of item_id, those that don't fit are skipped; what is left is shared equally among
-    rulings, what a short one leaves going to the later ones; then regional items. Each question's list is folded in one
-    array, whose length the retrieval limits bound.
+    rulings, what a short one leaves going to the later ones; then regional items. Each item's room depends on all before
+    it, so a question's items are sorted in one partition and read as a stream: a task holds what is left, not the list.
     """
     kind = F.when(F.col("kind") == "central", 0).when(F.col("kind") == "ruling", 1).otherwise(2)
-    lists = items.join(budgets, "question").groupBy("question").agg(F.first("budget").alias("budget"), F.array_sort(F.collect_list(F.struct(kind.alias("k"), "item_id", "kind", F.col("size").cast("long").alias("size")))).alias("items"))
-    start = F.struct(F.col("budget").cast("long").alias("left"), F.size(F.filter("items", lambda i: i["k"] == 1)).cast("long").alias("rulings"), F.array().cast("array<struct<item_id:bigint,kind:string,size:bigint,sent:bigint,reason:string>>").alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        quota = F.floor(acc["left"] / F.greatest(acc["rulings"], F.lit(1)))
-        sent = F.when(i["k"] == 1, F.least(i["size"], quota)).otherwise(F.when(i["size"] <= acc["left"], i["size"]).otherwise(F.lit(0)))
-        reason = F.when(sent == i["size"], "").when(sent == 0, "no_room").otherwise("cut")
-        row = F.struct(i["item_id"].cast("long").alias("item_id"), i["kind"].alias("kind"), i["size"].alias("size"), sent.cast("long").alias("sent"), reason.alias("reason"))
-        return F.struct((acc["left"] - sent).cast("long").alias("left"), (acc["rulings"] - F.when(i["k"] == 1, 1).otherwise(0)).cast("long").alias("rulings"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return lists.select("question", F.explode(F.aggregate("items", start, step)["out"]).alias("o")).select("question", "o.*")
+    rulings = items.groupBy("question").agg(F.count_if(F.col("kind") == "ruling").alias("rulings"))
+    asked = budgets.groupBy("question").agg(F.max("budget").cast("long").alias("budget")).join(rulings, "question")
+    rows = items.join(asked, "question").select("question", F.col("item_id").cast("long").alias("item_id"), "kind", F.col("size").cast("long").alias("size"), kind.alias("k"), "budget", "rulings")
+    schema = StructType(rows.select("question", "item_id", "kind", "size").schema.fields).add("sent", "long").add("reason", "string")
+    names = schema.fieldNames()
+
+    def fill(batches):
+        import pyarrow as pa
+
+        question, left, more = None, 0, 0
+        for batch in batches:
+            sent, reasons = [], []
+            for q, _, _, size, k, budget, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (q,) != question:
+                    question, left, more = (q,), budget or 0, n
+                size = size or 0
+                room = min(size, left // max(more, 1)) if k == 1 else size if size <= left else 0
+                more -= k == 1
+                left -= room
+                sent.append(room)
+                reasons.append("" if room == size else "no_room" if room == 0 else "cut")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sent, pa.int64()), pa.array(reasons, pa.string())], names)
+
+    return rows.repartition("question").sortWithinPartitions("question", "k", "item_id", "kind", "size").mapInArrow(fill, schema)
 
 
 # The central tribunal, and what labels and forces are called.

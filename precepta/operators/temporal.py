@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Years before this are taken for errors; an effective date so many years before publication is reported.
 LEAST_YEAR, MOST_YEARS_BEFORE = 1900, 5
 BLOCKING = ("no_existia", "caducado", "sin_fechas")
+#: Days of a span that as-of joins deal a key's rows over.
+SPAN_DAYS = 32
 
 
 def compact_date(value: Column) -> Column:
@@ -41,26 +43,37 @@ def applicable(versions: Column, day: Column) -> Column:
     return F.try_element_at(F.filter(versions, lambda v: v["effective"] <= day), F.lit(-1))
 
 
-def as_of_join(facts: DataFrame, versions: DataFrame, key: str, day: str, effective: str, order: list[str]) -> DataFrame:
+def as_of_join(facts: DataFrame, versions: DataFrame, key: str, day: str, effective: str, order: list[str], span_days: int = SPAN_DAYS) -> DataFrame:
     """facts with the columns of the version of the same key that is last in order among those effective by the fact's day.
 
-    One shuffle on the key for both sides: versions and facts are sorted together and the last version is carried forward,
-    so a key's facts never meet all its versions in pairs. Facts without such a version have nulls. Order must follow the
-    effective dates; for lists that don't, use applicable().
+    Versions and facts of a key and a span of days are sorted together and the last version is carried forward, so a key's
+    facts never meet all its versions in pairs, and one key that has a large share of the rows is dealt over its spans.
+    What a span begins with is carried over from the last versions of those before, a row for each key and span. Facts
+    without such a version have nulls. Order must follow the effective dates; for lists that don't, use applicable().
     """
     carried = [c for c in versions.columns if c != key]
-    left = facts.select(*[F.col(c) for c in facts.columns], F.col(day).alias("_at"), F.lit(1).alias("_fact"), F.lit(None).cast(versions.select(F.struct(*carried)).schema[0].dataType).alias("_version"), *[F.lit(None).cast(versions.schema[o].dataType).alias(f"_o{i}") for i, o in enumerate(order)])
-    right = versions.select(*[(F.col(key) if c == key else F.lit(None).cast(facts.schema[c].dataType).alias(c)) for c in facts.columns], F.col(effective).alias("_at"), F.lit(0).alias("_fact"), F.struct(*carried).alias("_version"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
-    over = Window.partitionBy(key).orderBy("_at", "_fact", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
+    version, ranks = F.struct(*carried), [F.col(effective), *map(F.col, order)]
+    span = lambda c: F.floor(F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")) / span_days).alias("_span")
+    of = versions.select(F.struct(version).alias("x")).schema[0].dataType[0].dataType
+    left = facts.select(*[F.col(c) for c in facts.columns], span(day), F.col(day).alias("_at"), F.lit(1).alias("_fact"), F.lit(None).cast(of).alias("_version"), *[F.lit(None).cast(versions.schema[o].dataType).alias(f"_o{i}") for i, o in enumerate(order)])
+    right = versions.select(*[(F.col(key) if c == key else F.lit(None).cast(facts.schema[c].dataType).alias(c)) for c in facts.columns], span(effective), F.col(effective).alias("_at"), F.lit(0).alias("_fact"), version.alias("_version"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
+    ends = versions.groupBy(F.col(key).alias("_key"), span(effective)).agg(F.max_by(version, F.struct(*ranks)).alias("_end"))
+    spans = ends.unionByName(left.select(F.col(key).alias("_key"), "_span").distinct().withColumn("_end", F.lit(None).cast(of))).groupBy("_key", "_span").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    earlier = Window.partitionBy("_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    before = spans.select("_key", F.col("_span").alias("_of"), F.last("_end", ignorenulls=True).over(earlier).alias("_before")).where("_before IS NOT NULL")
+    over = Window.partitionBy(key, "_span").orderBy("_at", "_fact", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(right).withColumn("_last", F.last("_version", ignorenulls=True).over(over)).where("_fact = 1")
-    return both.select(*facts.columns, *[F.col(f"_last.{c}").alias(f"version_{c}") for c in carried])
+    joined = both.join(before, (F.col(key) == F.col("_key")) & (F.col("_span") == F.col("_of")), "left").withColumn("_last", F.coalesce("_last", "_before"))
+    return joined.select(*facts.columns, *[F.col(f"_last.{c}").alias(f"version_{c}") for c in carried])
 
 
 def date_warnings(rows: DataFrame, year: int) -> DataFrame:
     """rows (versions array<struct<n, effective date>>, expired date) with warnings, an array of keys, for a year.
 
     sin_fechas and no_existia end the list; caducado or caduca_durante; texto_cambiado where the last version isn't the
-    one in force at the year's end; cambio_durante; cambio_posterior if the text is the same.
+    one in force at the year's end; cambio_durante; cambio_posterior if the text is the same. Before these, where rows have
+    the columns: consolidacion_incompleta if consolidated (date) is before the year's end, modificado_sin_incorporar if
+    blocked_by (the norm that changes it) isn't empty.
     """
     start, end = F.make_date(F.lit(year), F.lit(1), F.lit(1)), F.make_date(F.lit(year), F.lit(12), F.lit(31))
     dates = F.filter(F.transform("versions", lambda v: v["effective"]), lambda d: d.isNotNull())
@@ -70,5 +83,9 @@ def date_warnings(rows: DataFrame, year: int) -> DataFrame:
     during = F.exists(dates, lambda d: (d > start) & (d <= end))
     later = F.exists(dates, lambda d: d > end) & ~F.coalesce(changed, F.lit(False))
     full = F.array_compact(F.array(expired, F.when(changed, "texto_cambiado"), F.when(during, "cambio_durante"), F.when(later, "cambio_posterior")))
+    none = F.array().cast("array<string>")
+    behind = F.when(F.col("consolidated") < end, F.array(F.lit("consolidacion_incompleta"))) if "consolidated" in rows.columns else none
+    changing = F.when(F.coalesce("blocked_by", F.lit("")) != "", F.array(F.lit("modificado_sin_incorporar"))) if "blocked_by" in rows.columns else none
     keys = F.when(F.size(dates) == 0, F.array(F.lit("sin_fechas"))).when(F.array_min(dates) > end, F.array(F.lit("no_existia"))).otherwise(full)
+    keys = F.concat(F.coalesce(behind, none), F.coalesce(changing, none), keys)
     return rows.withColumn("warnings", keys).withColumn("blocked", F.arrays_overlap(keys, F.array(*[F.lit(b) for b in BLOCKING])))

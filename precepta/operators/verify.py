@@ -82,7 +82,7 @@ def verdicts(cited: DataFrame, articles: DataFrame) -> DataFrame:
 
     In order: no reference, unknown or ambiguous article, not in force, a quotation with gaps, literal and link, near misses.
     """
-    one = articles.groupBy("number").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("key", "text", "in_force", "url")])
+    one = articles.groupBy("number").agg(F.count("*").alias("n"), F.min(F.struct("key", "text", "in_force", "url")).alias("one")).select("number", "n", "one.*")
     joined = cited.join(one, "number", "left")
     literal, text = normal_literal(F.col("literal")), normal_literal(F.coalesce("text", F.lit("")))
     inside = F.contains(text, literal)

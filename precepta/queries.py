@@ -283,12 +283,15 @@ def asof_version(spark, sf):
     return temporal.as_of_join(facts, seen, "user_id", "ts", "since", ["seen_id"]).select("event_id", "user_id", F.col("version_seen_id").alias("seen_id"))
 
 
-@query("""WITH v AS (SELECT l_orderkey AS k, list({'n': l_linenumber, 'd': CAST(l_shipdate AS DATE)} ORDER BY l_linenumber, l_shipdate) AS vs FROM lineitem GROUP BY l_orderkey),
+_WARNED = """WITH v AS (SELECT l_orderkey AS k, list({'n': l_linenumber, 'd': CAST(l_shipdate AS DATE)} ORDER BY l_linenumber, l_shipdate) AS vs FROM lineitem GROUP BY l_orderkey),
 r AS (SELECT o_orderkey, list_transform(vs, lambda x: x.d) AS ds, vs, list_filter(vs, lambda x: x.d <= DATE '1998-12-31')[-1] AS now, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderdate AS DATE) + 400 END AS expired FROM orders JOIN v ON k = o_orderkey),
 w AS (SELECT *, now.n IS NOT NULL AND now.n != vs[-1].n AS changed FROM r)
 SELECT o_orderkey, CASE WHEN list_min(ds) > DATE '1998-12-31' THEN 'no_existia' ELSE array_to_string(list_filter([CASE WHEN expired <= DATE '1998-01-01' THEN 'caducado' WHEN expired <= DATE '1998-12-31' THEN 'caduca_durante' END,
  CASE WHEN changed THEN 'texto_cambiado' END, CASE WHEN len(list_filter(ds, lambda x: x > DATE '1998-01-01' AND x <= DATE '1998-12-31')) > 0 THEN 'cambio_durante' END, CASE WHEN NOT changed AND len(list_filter(ds, lambda x: x > DATE '1998-12-31')) > 0 THEN 'cambio_posterior' END], lambda x: x IS NOT NULL), ',') END AS warnings,
- list_min(ds) > DATE '1998-12-31' OR coalesce(expired <= DATE '1998-01-01', false) AS blocked FROM w""")
+ list_min(ds) > DATE '1998-12-31' OR coalesce(expired <= DATE '1998-01-01', false) AS blocked FROM w"""
+
+
+@query(_WARNED)
 def date_warnings(spark, sf):
     versions = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.to_date("l_shipdate").alias("effective")))).alias("versions"))
     expired = F.when(F.col("o_orderkey") % 7 == 0, F.date_add(F.to_date("o_orderdate"), 400))
@@ -296,6 +299,17 @@ def date_warnings(spark, sf):
     return temporal.date_warnings(rows, 1998).select("o_orderkey", F.array_join("warnings", ",").alias("warnings"), "blocked")
 
 
+@query(f"""WITH base AS ({_WARNED}), o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + CAST(365 * (o_orderkey % 5) AS INTEGER) END AS c, o_orderkey % 11 = 0 AS changing FROM orders)
+SELECT o_orderkey, array_to_string(list_filter([CASE WHEN c < DATE '1998-12-31' THEN 'consolidacion_incompleta' END, CASE WHEN changing THEN 'modificado_sin_incorporar' END, nullif(warnings, '')], lambda x: x IS NOT NULL), ',') AS warnings, blocked FROM base JOIN o USING (o_orderkey)""")
+def coverage_warnings(spark, sf):
+    key = F.col("o_orderkey")
+    versions = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.to_date("l_shipdate").alias("effective")))).alias("versions"))
+    consolidated = F.when(key % 3 == 0, F.date_add(F.to_date("o_orderdate"), (365 * (key % 5)).cast("int")))
+    rows = table(spark, sf, "orders").select(key, F.when(key % 7 == 0, F.date_add(F.to_date("o_orderdate"), 400)).alias("expired"), consolidated.alias("consolidated"), F.when(key % 11 == 0, "norma").alias("blocked_by"))
+    return temporal.date_warnings(rows.join(versions, "o_orderkey"), 1998).select("o_orderkey", F.array_join("warnings", ",").alias("warnings"), "blocked")
+
+
+
 @query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 13 = 0 THEN DATE '1800-01-01' ELSE CAST(l_shipdate AS DATE) END AS e, CAST(l_shipdate AS DATE) + CAST((l_suppkey % 10) * 300 AS INTEGER) AS p FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN e IS NULL OR year(e) < 1900 THEN p ELSE e END AS date, CASE WHEN e IS NULL THEN 'missing' WHEN year(e) < 1900 THEN 'impossible' WHEN e < p - INTERVAL 60 MONTH THEN 'far_before' ELSE '' END AS reason FROM d""")
 def effective_date_repair(spark, sf):

@@ -81,22 +81,34 @@ def keep_queue(requests: DataFrame, path: str, checkpoint: str):
     """Starts a stream of requests (key, ts) into the queue table under path, a version for each micro-batch.
 
     Each batch reads the version before its own and writes its own anew, so a batch that is repeated after a failure gives
-    the same table. read_queue() reads the latest whole version.
+    the same table. read_queue() reads the latest whole version; those that no batch can be repeated from are deleted.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         upsert_requests(read_queue(spark, path, before=number), batch).write.mode("overwrite").parquet(f"{path}/version={number}")
+        files, _ = _files(spark, path)
+        for old in _versions(spark, path):
+            if old < number - 1:
+                files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}"), True)
 
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    files, place = _files(spark, path)
+    return [int(str(f.getPath().getName())[8:]) for f in files.listStatus(place) if str(f.getPath().getName()).startswith("version=")] if files.exists(place) else []
+
+
 def read_queue(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """The latest version of the queue (before a batch, if it is given); empty if there is none."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [int(str(f.getPath().getName())[8:]) for f in files.listStatus(place) if str(f.getPath().getName()).startswith("version=")] if files.exists(place) else []
-    found = [v for v in found if (before is None or v < before) and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS"))]
+    files, _ = _files(spark, path)
+    found = [v for v in _versions(spark, path) if (before is None or v < before) and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS"))]
     return spark.read.schema(QUEUE).parquet(f"{path}/version={max(found)}") if found else spark.createDataFrame([], QUEUE)
 
 
