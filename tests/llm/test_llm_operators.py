@@ -141,7 +141,7 @@ def test_targets_of_many_sources_by_brute_force(spark):
     assert got == pytest.approx(targets)
 
 
-@pytest.mark.parametrize("name", ["op2_source_mixing", "op4_decontamination"])
+@pytest.mark.parametrize("name", ["op2_source_mixing", "op4_decontamination", "op6_minhash_near_dedup"])
 def test_against_sql(spark, name):
     from precepta.llm import queries
 
