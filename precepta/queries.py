@@ -400,7 +400,12 @@ def cause_classify(spark, sf):
     return table(spark, sf, "documents").groupBy(rulings.cause(F.col("text"), CAUSES).alias("cause")).agg(F.count("*").alias("documents"))
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT conv_id AS question, turn AS item_id, CASE turn % 3 WHEN 0 THEN 'central' WHEN 1 THEN 'ruling' ELSE 'regional' END AS kind, CAST(length(text) AS BIGINT) AS size FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY CASE kind WHEN 'central' THEN 0 WHEN 'ruling' THEN 1 ELSE 2 END, item_id) AS n, sum(size) OVER (PARTITION BY question) // 2 AS budget, count(*) FILTER (kind = 'ruling') OVER (PARTITION BY question) AS rulings FROM i),
+f AS (SELECT question, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS item_id, '' AS kind, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS sent, CAST(any_value(budget) AS BIGINT) AS room, CAST(any_value(rulings) AS BIGINT) AS more FROM o GROUP BY question
+ UNION ALL SELECT question, n, item_id, kind, size, s, room - s, more - CASE WHEN kind = 'ruling' THEN 1 ELSE 0 END FROM (SELECT f.question, o.n, CAST(o.item_id AS BIGINT) AS item_id, o.kind, o.size, f.room, f.more,
+  CASE WHEN o.kind = 'ruling' THEN least(o.size, f.room // greatest(f.more, 1)) WHEN o.size <= f.room THEN o.size ELSE 0 END AS s FROM f JOIN o ON o.question = f.question AND o.n = f.n + 1))
+SELECT question, item_id, kind, size, sent, CASE WHEN sent = size THEN '' WHEN sent = 0 THEN 'no_room' ELSE 'cut' END AS reason FROM f WHERE n > 0""")
 def budget_pack(spark, sf):
     turns = table(spark, sf, "conversations")
     kind = F.when(F.col("turn") % 3 == 0, "central").when(F.col("turn") % 3 == 1, "ruling").otherwise("regional")
@@ -476,7 +481,7 @@ def name_resolution(spark, sf):
     return registry.resolve_names(names, alias)
 
 
-@query()
+@query("SELECT item_id AS doc_id, 0 AS n, trim(replace(text, chr(10), ' ')) AS literal, CAST(item_id AS VARCHAR) AS number, 'https://example.org/' || item_id AS link, [trim(replace(text, chr(10), ' '))] AS pieces FROM benchmark WHERE len(trim(replace(text, chr(10), ' '))) >= 3 AND NOT regexp_matches(text, '[«»“”\"…]|\\.\\.\\.')")
 def citation_extract(spark, sf):
     text = F.concat(F.lit("Dice «"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("» (artículo "), F.col("item_id"), F.lit("). Véase https://example.org/"), F.col("item_id"))
     return verify.citations(table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), text.alias("text")))
@@ -495,7 +500,13 @@ def citation_verdicts(spark, sf):
     return verify.verdicts(cited, articles)
 
 
-@query()
+def _claims_sql() -> str:
+    bare = "regexp_replace(text, '" + (verify.QUOTED + r"|\([^)]*\)|https?://\S+").replace("'", "''") + "', ' ', 'g')"
+    parts = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, unnest(regexp_extract_all(bare, '{pattern}')) AS claim FROM b" for kind, pattern in verify.CLAIMS.items())
+    return f"WITH b AS (SELECT doc_id, {bare} AS bare FROM documents) SELECT doc_id, kind, claim, count(*) AS n FROM ({parts}) GROUP BY ALL"
+
+
+@query(_claims_sql())
 def masked_claims(spark, sf):
     return verify.unsupported_claims(table(spark, sf, "documents"))
 
