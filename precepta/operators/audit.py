@@ -120,3 +120,17 @@ def consolidation_lag(norms: DataFrame, today: Column) -> DataFrame:
 def unanswered(asked: DataFrame, covered: DataFrame, key: str) -> DataFrame:
     """(key, times): keys of asked that covered lacks, the most asked first."""
     return asked.groupBy(key).agg(F.count("*").alias("times")).join(covered.select(key).distinct(), key, "left_anti").orderBy(F.desc("times"), key)
+
+
+# What a call's usage is called by its source.
+USAGE = {"input": "input_tokens", "output": "output_tokens", "cache_read": "cache_read_input_tokens", "cache_written": "cache_creation_input_tokens"}
+
+
+def usage_fields(usage: Column) -> list[Column]:
+    """The four counts of a call's usage, a JSON object; what is missing or null counts as 0, and cached tokens are no input."""
+    return [F.coalesce(F.get_json_object(usage, f"$.{name}").try_cast("long"), F.lit(0)).alias(k) for k, name in USAGE.items()]
+
+
+def version_label(commit: Column, unsaved: Column) -> Column:
+    """'3c3c7f4 (+2 unsaved)', or unknown without a commit."""
+    return F.when(F.coalesce(commit, F.lit("")).isin("", "unknown"), "unknown").otherwise(F.concat(commit, F.when(unsaved > 0, F.concat(F.lit(" (+"), unsaved.cast("string"), F.lit(" unsaved)"))).otherwise("")))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from precepta.functions.text import years_in
+
 # Years before this are taken for errors; an effective date so many years before publication is reported.
 LEAST_YEAR, MOST_YEARS_BEFORE = 1900, 5
+FIRST_YEAR, LATEST_YEAR = 1993, 2100
 BLOCKING = ("no_existia", "caducado", "sin_fechas")
 #: Days of a span that as-of joins deal a key's rows over.
 SPAN_DAYS = 32
@@ -89,3 +92,21 @@ def date_warnings(rows: DataFrame, year: int) -> DataFrame:
     keys = F.when(F.size(dates) == 0, F.array(F.lit("sin_fechas"))).when(F.array_min(dates) > end, F.array(F.lit("no_existia"))).otherwise(full)
     keys = F.concat(F.coalesce(behind, none), F.coalesce(changing, none), keys)
     return rows.withColumn("warnings", keys).withColumn("blocked", F.arrays_overlap(keys, F.array(*[F.lit(b) for b in BLOCKING])))
+
+
+def read_year(raw: Column, low: int = FIRST_YEAR, high: int = LATEST_YEAR) -> Column:
+    """struct(year, reason) of a year as people write it: four digits, or null with why not (missing, empty, two_years, not_a_year, not_four_digits, outside)."""
+    text = F.regexp_replace(raw, r"^\s+|\s+$", "")
+    reason = (
+        F.when(raw.isNull(), "missing").when(text == "", "empty").when(text.rlike(r"^\d{4}\s*[-/aA]\s*\d{4}$"), "two_years").when(~text.rlike(r"^\d+$"), "not_a_year").when(F.length(text) != 4, "not_four_digits")
+        .when(~text.try_cast("int").between(low, high), "outside").otherwise("")
+    )
+    return F.struct(F.when(reason == "", text.try_cast("int")).alias("year"), reason.alias("reason"))
+
+
+def resolve_year(question: Column, guessed: Column, given: Column) -> Column:
+    """struct(year, reason) of a case: the given one if there is one, else the guessed one if the question has it written (guessed otherwise)."""
+    by_hand = read_year(given)
+    written = F.array_contains(years_in(question, FIRST_YEAR, LATEST_YEAR), guessed.cast("int"))
+    own = F.when(guessed.isNull(), F.struct(F.lit(None).cast("int").alias("year"), F.lit("missing").alias("reason"))).when(written, F.struct(guessed.cast("int").alias("year"), F.lit("").alias("reason")))
+    return F.when(given.isNotNull(), by_hand).otherwise(F.coalesce(own, F.struct(F.lit(None).cast("int").alias("year"), F.lit("not_written").alias("reason"))))

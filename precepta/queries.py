@@ -809,6 +809,58 @@ def means_by(spark, sf):
 
 
 
+_YEARS = [("2023", 2023, ""), (" 2023\n", 2023, ""), ("23", None, "not_four_digits"), ("2023-2024", None, "two_years"), ("2023 a 2024", None, "two_years"), ("dos mil", None, "not_a_year"), ("", None, "empty"), ("  ", None, "empty"), (None, None, "missing"), ("1492", None, "outside"), ("20233", None, "not_four_digits")]
+
+
+@query(_rows("id, year, reason", [(i, *x[1:]) for i, x in enumerate(_YEARS)], "year INTEGER"))
+def year_read(spark, sf):
+    given = spark.createDataFrame([(i, x[0]) for i, x in enumerate(_YEARS)], "id int, raw string")
+    return given.select("id", temporal.read_year(F.col("raw")).alias("r")).select("id", "r.year", "r.reason")
+
+
+_CASES = [("IVA de 2021 y 2022", 2022, None, 2022, ""), ("IVA de 2021", 2020, None, None, "not_written"), ("IVA", None, None, None, "missing"), ("IVA de 2021", 2021, "2019", 2019, ""), ("IVA de 2021", 2021, "19", None, "not_four_digits"), (None, 2020, None, None, "not_written")]
+
+
+@query(_rows("id, year, reason", [(i, *x[3:]) for i, x in enumerate(_CASES)], "year INTEGER"))
+def year_resolved(spark, sf):
+    given = spark.createDataFrame([(i, *x[:3]) for i, x in enumerate(_CASES)], "id int, question string, guessed int, given string")
+    return given.select("id", temporal.resolve_year(F.col("question"), F.col("guessed"), F.col("given")).alias("r")).select("id", "r.year", "r.reason")
+
+
+_ABBREVIATED = [("RD 439/2007 art. 5", "Real Decreto 439/2007 art. 5"), ("TRLITPAJD RDLeg 1/1993", "TRLITPAJD Real Decreto Legislativo 1/1993"), ("RD-Leg. 2/2004 y rd. 3/2010", "Real Decreto Legislativo 2/2004 y Real Decreto 3/2010"), ("RDL 8/2020", "RDL 8/2020"), ("RD-ley 8/2020", "RD-ley 8/2020"), ("RD sin numero", "RD sin numero"), (None, None)]
+_REGIONS = [("Autonómico", "Comunidad Autónoma de Cataluña", "Cataluña"), ("autonomico", "Comunidad de Madrid.", "Madrid"), ("Estatal", "Jefatura del Estado", ""), ("Autonómico", "Principado de Asturias", "Asturias"), ("Autonómico", "Comunidad Foral de Navarra", "Navarra"), ("Autonómico", "Comunidad Autónoma de las Illes Balears", "las Illes Balears"), (None, "Galicia", ""), ("Autonómico", None, "")]
+
+
+@query(_rows("id, expanded", [(i, x[1]) for i, x in enumerate(_ABBREVIATED)]))
+def abbreviations(spark, sf):
+    return spark.createDataFrame([(i, x[0]) for i, x in enumerate(_ABBREVIATED)], "id int, text string").select("id", T.expand_abbreviations(F.col("text")).alias("expanded"))
+
+
+@query(_rows("id, region", [(i, x[2]) for i, x in enumerate(_REGIONS)]))
+def norm_regions(spark, sf):
+    return spark.createDataFrame([(i, *x[:2]) for i, x in enumerate(_REGIONS)], "id int, scope string, department string").select("id", T.region_of(F.col("scope"), F.col("department")).alias("region"))
+
+
+@query(f"SELECT doc_id, length(text) = length({_fold('text')}) AS stable FROM documents")
+def stable_positions(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.stable_positions(F.col("text"), T.fold(F.col("text"))).alias("stable"))
+
+
+@query("""WITH r AS (SELECT p_brand, string_agg(p_partkey || ' | ' || p_name || ' | ' || p_size, chr(10) ORDER BY p_partkey) AS body FROM part GROUP BY p_brand) SELECT p_brand, 'key | name | size' || chr(10) || body AS text FROM r""")
+def table_text(spark, sf):
+    row = F.concat(F.lit("<tr class='r'><td>"), "p_partkey", F.lit("</td>\n<TD> <b>"), "p_name", F.lit("</b>\t</TD><td>"), "p_size", F.lit("</td></tr><tr><td> </td></tr>"))
+    lines = table(spark, sf, "part").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
+    return lines.select("p_brand", T.table_text(F.concat(F.lit("<table><tr><th>key</th><th>name</th><th>size</th></tr>"), "rows", F.lit("</table>"))).alias("text"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS input, o_orderkey AS output, CASE WHEN o_orderkey % 2 = 0 THEN 7 ELSE 0 END AS cache_read, 0 AS cache_written, CASE WHEN o_orderkey % 5 = 0 THEN 'unknown' ELSE 'c' || o_custkey || CASE WHEN o_orderkey % 4 > 0 THEN ' (+' || o_orderkey % 4 || ' unsaved)' ELSE '' END END AS version FROM orders")
+def usage_fields(spark, sf):
+    key = F.col("o_orderkey")
+    usage = F.to_json(F.struct(F.when(key % 3 > 0, F.col("o_custkey")).alias("input_tokens"), key.alias("output_tokens"), F.when(key % 2 == 0, 7).alias("cache_read_input_tokens")))
+    orders = table(spark, sf, "orders").select(key.alias("id"), usage.alias("usage"), F.when(key % 5 > 0, F.concat(F.lit("c"), "o_custkey")).alias("commit"), (key % 4).alias("unsaved"))
+    return orders.select("id", *audit.usage_fields(F.col("usage")), audit.version_label(F.col("commit"), F.col("unsaved")).alias("version"))
+
+
 # --- the queue
 
 _DEMAND = "SELECT user_id AS key, count(*) AS times, CAST(min(ts) AS DATE) AS first_seen, CAST(max(ts) AS DATE) AS last_seen FROM events GROUP BY user_id"
