@@ -128,3 +128,22 @@ def quality_rules(docs: DataFrame, repeat_words: int = REPEAT_WORDS, max_covered
     measured = in_python(texts, _measurer(repeat_words), "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
     failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("covered_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_longest))
+
+
+_WINDOWS = "SELECT r, i, array_to_string(w[i:i + {k} - 1], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM d WHERE len(w) >= {k})"
+_TWICE = "SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM x{k}) WHERE n > 1"
+#: A maximal repeat of at least k words is made of windows of k words that occur twice; the longest one is the longest run of equal windows on one diagonal.
+ORACLE_SQL = (
+    r"WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), "
+    + ", ".join(f"x{k} AS ({_WINDOWS.format(k=k)})" for k in (1, 2, 3, 4, 5, 10))
+    + "".join(f", s{k} AS (SELECT DISTINCT r FROM ({_TWICE.format(k=k)}))" for k in (1, 2, 3, 4))
+    + "".join(f", c{k} AS (SELECT r, count(DISTINCT p) AS n{k} FROM (SELECT r, unnest(range(i, i + {k})) AS p FROM ({_TWICE.format(k=k)})) GROUP BY r)" for k in (5, 10))
+    + r""", y AS (SELECT a.r AS r, a.i AS i, b.i - a.i AS apart FROM x5 a JOIN x5 b ON a.r = b.r AND a.g = b.g AND a.i < b.i),
+m AS (SELECT r, max(n) + 4 AS longest FROM (SELECT r, count(*) AS n FROM (SELECT r, apart, i - row_number() OVER (PARTITION BY r, apart ORDER BY i) AS run FROM y) GROUP BY r, apart, run) GROUP BY r),
+v AS (SELECT d.r AS r, doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines,
+ coalesce(n5, 0) AS n_repeat_words, coalesce(n10, 0) AS covered_words, coalesce(longest, CASE WHEN d.r IN (SELECT r FROM s4) THEN 4 WHEN d.r IN (SELECT r FROM s3) THEN 3 WHEN d.r IN (SELECT r FROM s2) THEN 2 WHEN d.r IN (SELECT r FROM s1) THEN 1 ELSE 0 END) AS longest_repeat
+ FROM d LEFT JOIN c5 ON c5.r = d.r LEFT JOIN c10 ON c10.r = d.r LEFT JOIN m ON m.r = d.r),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM v)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+CAST(covered_words AS BIGINT) AS covered_words, CAST(longest_repeat AS BIGINT) AS longest_repeat, base_failed, NOT base_failed AND covered_words <= 0.15::DOUBLE * n_words AND longest_repeat <= 100 AS kept FROM f"""
+)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from precepta.llm import decontaminate, mixing, near_dedup
+from precepta.llm import decontaminate, mixing, near_dedup, quality_rules as rules
 from precepta.llm.common import table
 from precepta.llm.decontaminate import contamination
 from precepta.llm.html_extract import extract_pages
@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.ORACLE_SQL, "op4_decontamination": decontaminate.ORACLE_SQL, "op6_minhash_near_dedup": near_dedup.ORACLE_SQL}
+    return {"op2_source_mixing": mixing.ORACLE_SQL, "op4_decontamination": decontaminate.ORACLE_SQL, "op5_quality_rules": rules.ORACLE_SQL, "op6_minhash_near_dedup": near_dedup.ORACLE_SQL}

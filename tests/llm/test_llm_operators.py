@@ -141,7 +141,7 @@ def test_targets_of_many_sources_by_brute_force(spark):
     assert got == pytest.approx(targets)
 
 
-@pytest.mark.parametrize("name", ["op2_source_mixing", "op4_decontamination", "op6_minhash_near_dedup"])
+@pytest.mark.parametrize("name", ["op2_source_mixing", "op4_decontamination", "op5_quality_rules", "op6_minhash_near_dedup"])
 def test_against_sql(spark, name):
     from precepta.llm import queries
 
@@ -571,6 +571,22 @@ def test_token_counts_by_brute_force(spark, docs, empty, texts, rule):
     assert token_counts.section_tokens(empty).count() == 0
 
 
+def test_token_counts_of_hard_rows(spark, texts):
+    vocabulary = open(token_counts.VOCABULARY, "rb").read()
+    encoding, lengths = token_counts._encoding(vocabulary, token_counts.PATTERN)
+    given = [x for x in texts if x[0] in (None, 5, 103)] + [(None, ""), (None, None), (5, "ñ\n\n\nx"), (5, "ñ\n\n\nx")]
+    want = Counter()
+    for i, t in given:
+        begins = np.concatenate([[0], np.cumsum([lengths[x] for x in encoding.encode_ordinary(t or "")])])[:-1]
+        byte = char = 0
+        for k, part in enumerate(re.findall(r"[^\n]*\n|[^\n]+$", t or "") or [""]):
+            size = len(part.encode())
+            want[i, k, char, char + len(part), float(np.sum((begins >= byte) & (begins < byte + size)))] += 1
+            byte, char = byte + size, char + len(part)
+    got = token_counts.section_tokens(spark.createDataFrame(given, "doc_id long, text string"))
+    assert rows(got, "doc_id", "section", "start", "stop", "n_tokens") == want
+
+
 def test_given_sections(spark):
     df = spark.createDataFrame([(1, "hello wonderful world"), (2, None)], "doc_id long, text string")
     sections = spark.createDataFrame([(1, 0, 0, 8), (1, 1, 8, 99), (9, 0, 0, 3)], "doc_id long, section int, start int, stop int")
