@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from precepta.functions import text as T
 from precepta.functions.stem import stem_stages, stem_vocabulary
-from precepta.operators import audit, evaluate, graph, norm_fields, registry, rulings, search, shred, temporal, verify
+from precepta.operators import audit, evaluate, graph, norm_fields, pages, registry, rulings, search, shred, temporal, verify
 from precepta.sources.readers import duplicate_keys
 from precepta.streaming import queue
 
@@ -1012,6 +1012,83 @@ def norm_field_causes(spark, sf):
     return norm_fields.field_causes(_fields(spark, sf, [t for t, _ in _FIELD_CAUSES]), *_norm_corpus(spark), numbers)
 
 
+# --- pages of rulings and criteria: each customer has one of these pages
+
+def _ruling_row(name: str, label: str, value: str) -> str:
+    return f'<tr class="{name}"><th scope="row" class="field">{label}</th><td class="value"><p class="{name}">{value}</p></td></tr>'
+
+
+_RULING_PAGES = [
+    "<table>" + _ruling_row("NUM-CONSULTA", "Nº de consulta", "V1601-22") + _ruling_row("ORGANO", "Órgano", "SG de Impuestos") + _ruling_row("NORMATIVA", "Normativa", "Ley 37/1992 art. 95") + _ruling_row("CONTESTACION-COMPL", "Contestación completa", "Uno.</p><p>Dos &amp; tres.") + "</table>",
+    "<div>Num. consulta: V0001-20</div><p>Órgano</p><p>SG</p><p>Normativa: Ley 37/1992</p><p>Cuestión planteada</p><p>¿Cabe?</p><p>Sí cabe</p><p>Contestación completa: Cabe.</p><p>Más texto.</p>",
+    "<p>nada</p>", "<table>" + _ruling_row("CONTESTACION-COMPL", "x", "Texto") + "</table>", None, "",
+]
+_RULING_READ = [
+    ("V1601-22", "SG de Impuestos", "Ley 37/1992 art. 95", "", "Uno.\nDos & tres.", "classes"), ("V0001-20", "SG", "Ley 37/1992", "¿Cabe?\nSí cabe", "Cabe.\nMás texto.", "labels"),
+    ("V9-99", "", "", "", "", "missing"), ("V9-99", "", "", "", "Texto", "classes"), ("V9-99", "", "", "", "", "missing"), ("V9-99", "", "", "", "", "missing"),
+]
+
+
+def _of_customers(columns: str, rows: list[tuple], n: int, wanted: str = "*", types: str = "") -> str:
+    """Expected rows (i, ...) of each customer whose page or field is the i-th of n."""
+    return f"WITH e AS ({_rows(columns, rows, types)}) SELECT c_custkey AS page_id, {wanted} FROM customer JOIN e ON c_custkey % {n} = i"
+
+
+@query(_of_customers("i, numero, organo, normativa, cuestion, contestacion, state", [(i, *r) for i, r in enumerate(_RULING_READ)], len(_RULING_PAGES), "numero, organo, normativa, cuestion, contestacion, state"))
+def ruling_pages(spark, sf):
+    asked = _fields(spark, sf, _RULING_PAGES).select(F.col("ruling").alias("page_id"), F.col("text").alias("html"), F.lit("V9-99 x").alias("asked"))
+    return pages.ruling_pages(asked).select("page_id", "numero", "organo", "normativa", "cuestion", "contestacion", "state")
+
+
+_RESULT_PAGES = [
+    "<table><tr><td id=\"doc_45970\" onClick=\"return viewDocument(45970, 2);\" onKeyDown=\"keyViewDocument(45970, 2)\"><h4><span class=\"NUM-CONSULTA\"><strong> V1601-22 </strong></span></h4><span> Hechos </span></td><td onClick=\"viewDocument('7','3')\">La v0002-21 dice V0003-21</td></tr></table>",
+    "La consulta realizada no devuelve resultados.", "<p>otra</p>", None,
+]
+
+
+@query(_of_customers("i, doc_id, tab, number, summary", [(0, "45970", "2", "V1601-22", "V1601-22\nHechos"), (0, "7", "3", "V0003-21", "La v0002-21 dice V0003-21")], len(_RESULT_PAGES), "doc_id, tab, number, summary"))
+def ruling_results(spark, sf):
+    return pages.ruling_results(_fields(spark, sf, _RESULT_PAGES).toDF("page_id", "html"))
+
+
+@query(_of_customers("i, state", list(enumerate(["rows", "none", "unexpected", "unexpected"])), len(_RESULT_PAGES), "state"))
+def result_states(spark, sf):
+    return pages.result_states(_fields(spark, sf, _RESULT_PAGES).toDF("page_id", "html"))
+
+
+_CRITERION = """<html><div id='criterioDatosTitulo'>Criterio <span class='criterioNegrita'>1</span> de <span class='criterioNegrita'>2</span> de la resolución: <span class='criterioNegrita'>00/03856/2019/00/00</span></div>
+<div id='criterioDatosUnidad'><span class='criterioNegrita'>Unidad resolutoria: </span>TEAC</div><div id='criterioDatosFecha'>Fecha de la resolución: 20/10/2021</div><div id='criterioDatosAsunto'><span class='criterioNegrita'>Asunto:</span><p>IVA. Según la V3533-19.</p></div>
+<div id='criterioDatosContenido'><p>Se reitera; consulta vinculante v0010-18.</p><p>Unificación de criterio.</p></div>
+<div><ul id='referenciasNormativas'><li class='elementoNorma'>Ley 37/1992 IVA<ul><li class='elementoPrecepto'>80.4.B)</li><li class='elementoPrecepto'>163 bis</li><li class='elementoPrecepto'>DA 5</li></ul></li><li class='elementoNorma'>Ley 58/2003 LGT</li></ul></div>
+<div id='criterioDatosConceptos'><ul><li>IVA</li><li>Deducciones</li></ul></div></html>"""
+_CRITERION_PAGES = [_CRITERION, _CRITERION.removesuffix("</html>"), "<html></html>", None]
+_CRITERION_READ = ("00/03856/2019/00/00", "1", "2", "TEAC", "20/10/2021", "IVA. Según la V3533-19.", "Se reitera; consulta vinculante v0010-18.\nUnificación de criterio.", "IVA,Deducciones", "V0010-18,V3533-19", True)
+
+
+def _criteria(spark, sf) -> DataFrame:
+    return pages.criterion_pages(_fields(spark, sf, _CRITERION_PAGES).toDF("page_id", "html").withColumn("full_text", F.lit(None).cast("string")))
+
+
+@query(_of_customers("i, resolution, n_criterion, of_criteria, unidad, fecha, asunto, criterion, concepts, rulings, unifies, state", [(0, *_CRITERION_READ, "read"), (1, *_CRITERION_READ, "cut"), *[(i, *[""] * 9, False, s) for i, s in ((2, "missing"), (3, "cut"))]], len(_CRITERION_PAGES), "resolution, n_criterion, of_criteria, unidad, fecha, asunto, criterion, concepts, rulings, unifies, state"))
+def criterion_pages(spark, sf):
+    return _criteria(spark, sf).select("page_id", "resolution", "n_criterion", "of_criteria", "unidad", "fecha", "asunto", "criterion", F.array_join("concepts", ",").alias("concepts"), F.array_join("rulings", ",").alias("rulings"), "unifies", "state")
+
+
+@query(_of_customers("i, norm, article", [(0, "Ley 37/1992 IVA", "80"), (0, "Ley 37/1992 IVA", "163 bis")], len(_CRITERION_PAGES), "norm, article"))
+def criterion_precepts(spark, sf):
+    return pages.criterion_precepts(_criteria(spark, sf).where("state = 'read'"))
+
+
+_CRITERION_LISTS = ["Se han obtenido 1.071 resultados <a href='criterio.aspx?id=00%2f03856%2F2019/00/0/1&q=1'>Criterio 1 de la resolución 00/03856/2019/00/00 del 20/10/2021 - TEAC</a> <a class='x' href='/criterio.aspx?id=3'>sin forma</a>", "<p>vacía</p>", None]
+
+
+@query(_of_customers("i, id, resolution, n_criterion, date, unit, n_results", [(0, "00/03856/2019/00/0/1", "00/03856/2019/00/00", "1", "20/10/2021", "TEAC", 1071), (0, "3", "", "", "", "", 1071)], len(_CRITERION_LISTS), "id, resolution, n_criterion, date, unit, n_results", "n_results INTEGER"))
+def criterion_results(spark, sf):
+    lists = _fields(spark, sf, _CRITERION_LISTS).toDF("page_id", "html")
+    counts = lists.select("page_id", pages.criterion_result_count(F.col("html")).alias("n_results"))
+    return pages.criterion_results(lists).join(counts, "page_id").select("page_id", "id", "resolution", "n_criterion", "date", "unit", "n_results")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
