@@ -37,7 +37,7 @@ def article_number(title: Column) -> Column:
 def with_bodies(blocks: DataFrame, document: str = "norm", order: str = "position") -> DataFrame:
     """blocks (norm, position, kind, number) with body: it grows by one where an article's number falls below its forerunner's.
 
-    Where a signature is followed by articles, the body is what lies before or behind it.
+    Where a signature is followed by articles, the bodies are what lies up to it and what lies behind it.
     """
     by = Window.partitionBy(document).orderBy(order)  # the blocks of one act
     upto, whole = by.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(document)
@@ -46,7 +46,7 @@ def with_bodies(blocks: DataFrame, document: str = "norm", order: str = "positio
     signature = F.min(F.when(F.col("kind") == "firma", F.col(order))).over(whole)
     last_article = F.max(F.when(F.col("kind") == "precepto", F.col(order))).over(whole)
     marked = blocks.withColumn("_falls", F.coalesce(falls, F.lit(False)).cast("int")).withColumn("_cut", F.when(last_article > signature, signature))
-    body = F.when(F.col("_cut").isNotNull(), (F.col(order) >= F.col("_cut")).cast("long")).otherwise(F.sum("_falls").over(upto))
+    body = F.when(F.col("_cut").isNotNull(), (F.col(order) > F.col("_cut")).cast("long")).otherwise(F.sum("_falls").over(upto))
     return marked.withColumn("body", body).drop("_falls", "_cut")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from precepta.functions import text as T
 from precepta.functions.stem import stem_stages, stem_vocabulary
 from precepta.operators import audit, evaluate, graph, norm_fields, pages, registry, rulings, search, shred, temporal, verify
+from precepta.sources import consolidated
 from precepta.sources.readers import duplicate_keys
 from precepta.streaming import queue
 
@@ -1089,6 +1090,65 @@ def criterion_results(spark, sf):
     return pages.criterion_results(lists).join(counts, "page_id").select("page_id", "id", "resolution", "n_criterion", "date", "unit", "n_results")
 
 
+# --- consolidated acts: each customer has one of these
+
+_ACT = """<r><bloque id="t1" tipo="encabezado" titulo="TÍTULO I"><version id_norma="B1" fecha_publicacion="19921229" fecha_vigencia="19930101"><p class="titulo_num">TÍTULO I</p><p class="titulo_tit">Delimitación &amp; más</p></version></bloque>
+<bloque id="a1" tipo="precepto" titulo="Artículo 1" fecha_caducidad="20301231"><version id_norma="B1" fecha_publicacion="19921229" fecha_vigencia="19930101"><p class="articulo">Artículo 1. Naturaleza.</p><p class="parrafo">Uno.</p><blockquote class="soloTexto"><p class="parrafo">Téngase en cuenta.</p><p class="nota_pie">Se modifica por la Ley 66/1997, de 30 de diciembre. Ref. BOE-A-1997-28053.</p></blockquote><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td> 2 </td></tr><tr><td/></tr></table></version>
+<version id_norma="B2" fecha_publicacion="19971231" fecha_vigencia="00980101"><p class="parrafo">Dos.</p><blockquote><p class="nota_pie">Se modifica por la Ley 66/1997, de 30 de diciembre. Ref. BOE-A-1997-28053.</p><p class="nota_pie_2">Corrección de errores de 3 de mayo de 1998.</p></blockquote></version></bloque>
+<bloque id="a3b" tipo="precepto" titulo="Artículo 3 bis"><version fecha_publicacion="20000101"><p>(Suprimido)</p></version></bloque><bloque id="f" tipo="firma" titulo="Firma"><version fecha_publicacion="20000101" fecha_vigencia="20000101"><p class="firma">JUAN</p></version></bloque>
+<bloque id="a1-2" tipo="precepto" titulo="Artículo 1"><version fecha_publicacion="20000101" fecha_vigencia="20000101"><ul><li>x</li></ul></version></bloque><bloque id="da" titulo="Disposición adicional primera"/><bloque id="bad" titulo="ANEXO I"><version><p></bloque></r>"""
+_ACTS = [_ACT, None, ""]
+_ACT_BLOCKS = [
+    (0, 0, "t1", "encabezado", "", 0, "TÍTULO I. Delimitación & más", 1, "", False), (0, 1, "a1", "precepto", "1", 0, "TÍTULO I. Delimitación & más", 2, "version 1: impossible", True), (0, 2, "a3b", "precepto", "3 bis", 0, "TÍTULO I. Delimitación & más", 1, "version 0: missing", True),
+    (0, 3, "f", "firma", "", 0, "TÍTULO I. Delimitación & más", 1, "", False), (0, 4, "a1-2", "precepto", "1", 1, "", 1, "", True), (0, 5, "da", "disposicion_adicional", "", 1, "", 0, "no version", True), (0, 6, "bad", "anexo", "", 1, "", 0, "unreadable", True),
+]
+
+
+def _acts(spark, sf) -> DataFrame:
+    return _fields(spark, sf, _ACTS).toDF("norm", "xml")
+
+
+def _of_acts(columns: str, rows: list[tuple], types: str = "") -> str:
+    wanted = columns.removeprefix("i, ")
+    return f"WITH e AS ({_rows(columns, rows, types)}) SELECT c_custkey AS norm, {wanted} FROM customer JOIN e ON c_custkey % {len(_ACTS)} = i"
+
+
+@query(_of_acts("i, position, block_id, kind, number, body, context, n_versions, incidents, citable", _ACT_BLOCKS, "body BIGINT"))
+def shredded_blocks(spark, sf):
+    rows = consolidated.shredded(_acts(spark, sf))
+    return rows.select("norm", "position", "block_id", "kind", "number", F.col("body").cast("long").alias("body"), F.array_join("context", " / ").alias("context"), F.size("versions").alias("n_versions"), F.array_join("incidents", ",").alias("incidents"), "citable")
+
+
+@query(_of_acts("i, position, version, used, repaired, suppressed, text", [
+    (0, 0, 0, "1993-01-01", False, False, "TÍTULO I\nDelimitación & más"), (0, 1, 0, "1993-01-01", False, False, "Artículo 1. Naturaleza.\nUno.\na | b\n1 | 2"), (0, 1, 1, "1997-12-31", True, False, "Dos."),
+    (0, 2, 0, "2000-01-01", True, True, "(Suprimido)"), (0, 3, 0, "2000-01-01", False, False, "JUAN"), (0, 4, 0, "2000-01-01", False, False, "x"),
+], "used DATE"))
+def shredded_versions(spark, sf):
+    rows = consolidated.shredded(_acts(spark, sf))
+    return rows.select("norm", "position", F.explode("versions").alias("v")).select("norm", "position", F.col("v.order").alias("version"), "v.used", "v.repaired", "v.suppressed", "v.text")
+
+
+_NOTES = [(0, 1, "Se modifica por la Ley 66/1997, de 30 de diciembre. Ref. BOE-A-1997-28053.", "modifica", "Ley 66/1997", "1997-12-30", "BOE-A-1997-28053"), (0, 1, "Corrección de errores de 3 de mayo de 1998.", "correccion", "", "1998-05-03", "")]
+
+
+@query(_of_acts("i, position, text, action, cited, date, refs", _NOTES, "date DATE"))
+def shredded_notes(spark, sf):
+    rows = consolidated.shredded(_acts(spark, sf))
+    return rows.select("norm", "position", F.explode("notes").alias("n")).select("norm", "position", "n.text", "n.action", F.col("n.norm").alias("cited"), "n.date", F.array_join("n.refs", ",").alias("refs"))
+
+
+_PROFILE = [
+    ("attribute", "class", 11), ("attribute", "fecha_caducidad", 1), ("attribute", "fecha_publicacion", 6), ("attribute", "fecha_vigencia", 5), ("attribute", "id", 7), ("attribute", "id_norma", 3), ("attribute", "tipo", 5), ("attribute", "titulo", 7),
+    ("class", "articulo", 1), ("class", "firma", 1), ("class", "nota_pie", 2), ("class", "nota_pie_2", 1), ("class", "parrafo", 3), ("class", "soloTexto", 1), ("class", "titulo_num", 1), ("class", "titulo_tit", 1),
+    ("tag", "blockquote", 2), ("tag", "bloque", 7), ("tag", "li", 1), ("tag", "p", 12), ("tag", "r", 1), ("tag", "table", 1), ("tag", "td", 3), ("tag", "th", 2), ("tag", "tr", 3), ("tag", "ul", 1), ("tag", "version", 7),
+]
+
+
+@query(f"SELECT what, name, n * (SELECT count(*) FROM customer WHERE c_custkey % {len(_ACTS)} = 0) AS n FROM ({_rows('what, name, n', _PROFILE)})")
+def structure_profile(spark, sf):
+    return consolidated.structure_profile(_acts(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
