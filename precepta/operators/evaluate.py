@@ -62,3 +62,20 @@ def step_sums(calls: DataFrame, by: str, step: str, part: str, values: list[str]
 def means_by(sums: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """(by..., n, values...): the mean of each value."""
     return sums.groupBy(*by).agg(F.count("*").alias("n"), *[F.round(F.avg(v), 6).alias(v) for v in values])
+
+
+# Verdicts of citations, the worst first, and of whole texts.
+WORST_FIRST, OF_TEXTS, NO_CITATIONS = ["REJECTED", "UNVERIFIABLE", "VERIFIED"], ["ACCEPTED", "REFUSED"], "NO_CITATIONS"
+
+
+def battery(cases: DataFrame, judged: DataFrame) -> DataFrame:
+    """cases (case_id, expected) with obtained and ok, of the verdicts of their citations judged (case_id, verdict).
+
+    Where a text's verdict is expected, all citations must be verified and there must be one; else the worst verdict counts.
+    """
+    per = judged.groupBy("case_id").agg(F.min(F.array_position(F.array(*map(F.lit, WORST_FIRST)), F.col("verdict"))).cast("int").alias("worst"))
+    joined = cases.join(per, "case_id", "left")
+    whole = F.when(F.col("worst") == len(WORST_FIRST), OF_TEXTS[0]).otherwise(OF_TEXTS[1])
+    worst = F.coalesce(F.get(F.array(*map(F.lit, WORST_FIRST)), F.col("worst") - 1), F.lit(NO_CITATIONS))
+    obtained = F.when(F.col("expected").isin(OF_TEXTS), whole).otherwise(worst)
+    return joined.select("case_id", "expected", obtained.alias("obtained"), (obtained == F.col("expected")).alias("ok"))

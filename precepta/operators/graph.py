@@ -109,6 +109,31 @@ def annex_references(docs: DataFrame, norms: DataFrame) -> DataFrame:
     return each.join(norms.select("norm").distinct(), "norm", "left_anti").select("origin", F.upper("annex").alias("annex"), "norm").distinct()
 
 
+def quoted_blocks(docs: DataFrame, most_before: int = 220) -> DataFrame:
+    """(origin, n, norm, block): what docs (origin, text, own) quote in «» behind words that name another norm than own, the text's own number.
+
+    Such blocks are put into that norm, and the articles they mention are its own. The last most_before characters before
+    a block, behind the quotation before it, are read.
+    """
+    quotes = F.arrays_zip(*[F.regexp_extract_all("text", F.lit("(?s)([^«»]*)«([^»]*)»"), F.lit(g)).alias(name) for g, name in ((1, "before"), (2, "block"))])
+    each = docs.select("origin", "own", F.posexplode(quotes).alias("n", "q")).select("origin", "own", "n", "q.*")
+    norm = F.regexp_extract(F.right("before", F.lit(most_before)), NORM_NUMBER, 1)
+    return each.withColumn("norm", norm).where((F.col("norm") != "") & ~F.col("norm").eqNullSafe(F.col("own"))).select("origin", "n", "norm", "block")
+
+
+def references_with_blocks(docs: DataFrame, norms: DataFrame) -> DataFrame:
+    """scoped_references of docs (origin, text, own), but that own mentions in quoted_blocks are of the norm that the block goes into."""
+    blocks = quoted_blocks(docs)
+    cuts = blocks.groupBy("origin").agg(F.collect_set("block").alias("blocks"))
+    bare = docs.join(cuts, "origin", "left").select("origin", F.aggregate(F.coalesce("blocks", F.array().cast("array<string>")), F.col("text"), lambda t, b: F.replace(t, F.concat(F.lit("«"), b, F.lit("»")), F.lit("«»"))).alias("text"))
+    keyed = blocks.select(F.struct("origin", "norm").alias("origin"), F.col("block").alias("text"))
+    known = norms.select(F.col("norm").alias("into")).distinct().withColumn("known", F.lit(True))
+    inner = scoped_references(keyed, norms).select(F.col("origin.origin").alias("origin"), "number", "scope", "norm", F.col("origin.norm").alias("into")).join(known, "into", "left")
+    own = F.col("scope") == "own"
+    moved = inner.select("origin", "number", F.when(own, F.when(F.col("known"), "corpus").otherwise("external")).otherwise(F.col("scope")).alias("scope"), F.when(own, F.col("into")).otherwise(F.col("norm")).alias("norm"))
+    return scoped_references(bare, norms).union(moved).distinct()
+
+
 def pending_edges(edges: DataFrame) -> DataFrame:
     """The edges that aren't resolved."""
     return edges.where("state != 'resolved'")

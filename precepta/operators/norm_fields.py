@@ -157,7 +157,7 @@ def field_precepts(fields: DataFrame, alias: DataFrame, articles: DataFrame) ->
 
 
 def field_causes(fields: DataFrame, alias: DataFrame, articles: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(ruling, cause): why a field (ruling, text) names no article of the corpus; empty if it does, or if no known cause fits.
+    """(ruling, cause, reads): why a field (ruling, text) names no article of the corpus; empty if it does, which reads tells, or if no known cause fits.
 
     numbers (number) are the corpus's norm numbers, such as 37/1992. An abbreviation is a cause only if the field, written out,
     still names no article. Null and blank fields cite none.
@@ -172,4 +172,22 @@ def field_causes(fields: DataFrame, alias: DataFrame, articles: DataFrame, numbe
     for name, sign in LATER_SIGNS:
         cause = cause.when(text.rlike(sign), name)
     cause = cause.when(~text.rlike(SOME_ARTICLE), NO_ARTICLES).otherwise("")
-    return flat.join(reads, "ruling", "left").join(known, "ruling", "left").select("ruling", cause.alias("cause"))
+    return flat.join(reads, "ruling", "left").join(known, "ruling", "left").select("ruling", cause.alias("cause"), F.coalesce("plain_reads", F.lit(False)).alias("reads"))
+
+
+def reach_report(causes: DataFrame) -> DataFrame:
+    """(outcome, rulings) of field_causes: reached, unexplained, or a cause. Unexplained fields are of a new form, which a load should stop at."""
+    outcome = F.when(F.col("reads"), "reached").when(F.col("cause") == "", "unexplained").otherwise(F.col("cause"))
+    return causes.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("rulings"))
+
+
+def uncovered_articles(asked: DataFrame, precepts: DataFrame) -> DataFrame:
+    """(body, number, times): the articles asked for (body, number) that no comparable precept of a ruling covers, most often asked first."""
+    wanted = asked.groupBy("body", "number").agg(F.count("*").alias("times"))
+    covered = precepts.where("comparable").select("body", "number").distinct()
+    return wanted.join(covered, ["body", "number"], "left_anti").orderBy(F.desc("times"), "body", "number")
+
+
+def coverage_counts(precepts: DataFrame) -> DataFrame:
+    """(body, number, rulings): how many rulings name each article of the corpus."""
+    return precepts.where("comparable").groupBy("body", "number").agg(F.count_distinct("ruling").alias("rulings"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from precepta.functions.text import fold, normal_literal
 from precepta.operators.graph import SUFFIX
+from precepta.operators.rulings import label_check, resolution_key
 from precepta.sources.readers import cut
 
 #: So many words are sought, and so many literals tested, in one scan; so many words may be broadcast to be counted.
@@ -117,3 +118,80 @@ def unsupported_claims(docs: DataFrame) -> DataFrame:
     bare = F.regexp_replace("text", QUOTED + r"|\([^)]*\)|https?://\S+", " ")
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(bare, F.lit(p), F.lit(0)).alias("claims")) for k, p in CLAIMS.items()])
     return docs.select("doc_id", F.explode(kinds).alias("k")).select("doc_id", "k.kind", F.explode("k.claims").alias("claim")).groupBy("doc_id", "kind", "claim").agg(F.count("*").alias("n"))
+
+
+# Numbers of rulings and of criteria in addresses.
+RULING_IN_LINK = r"\b(V\d{3,5}-\d{2})\b"
+ASKED_IN_LINK = r"(?i)num_consulta=([VC]?\d{3,5}-\d{2})"
+CRITERION_IN_LINK = r"\b(\d{2}/\d{4,5}/\d{4}/\d{2}/\d{1,2}(?:/\d+)?)\b"
+
+
+def _whole(*parts: str) -> Column:
+    """One normalised text of several columns; nulls are empty."""
+    return normal_literal(F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts]))
+
+
+def _judged(joined: DataFrame, ladder: list[tuple[Column, str, str]]) -> DataFrame:
+    """(cite_id, verdict, reason) by the first condition that holds; verified if none does."""
+    verdict, reason = F.lit("VERIFIED"), F.lit("")
+    for condition, v, r in reversed(ladder):
+        verdict, reason = F.when(condition, v).otherwise(verdict), F.when(condition, r).otherwise(reason)
+    return joined.select("cite_id", verdict.alias("verdict"), reason.alias("reason"))
+
+
+def _absent(pieces: Column, text: Column) -> Column:
+    """Whether a piece, normalised, isn't in a text."""
+    return F.exists(F.transform(pieces, lambda p: normal_literal(p)), lambda p: (p != "") & ~F.contains(text, p))
+
+
+def ruling_verdicts(cited: DataFrame, rulings: DataFrame) -> DataFrame:
+    """cited (cite_id, number, pieces, link) against rulings (number, answer, question, facts): cite_id, verdict, reason.
+
+    A ruling that isn't held can't be verified. Each piece of the quotation must stand in the ruling, and an address, if
+    there is one, must name it. Of rulings that share a number the first by their text counts.
+    """
+    held = rulings.select(F.upper("number").alias("number"), _whole("answer", "question", "facts").alias("text")).groupBy("number").agg(F.min("text").alias("text"))
+    joined = cited.withColumn("number", F.upper("number")).join(held, "number", "left")
+    named = F.upper(F.coalesce(F.nullif(F.regexp_extract("link", RULING_IN_LINK, 1), F.lit("")), F.regexp_extract("link", ASKED_IN_LINK, 1)))
+    linked = F.coalesce("link", F.lit("")) != ""
+    return _judged(joined, [
+        (F.col("text").isNull(), "UNVERIFIABLE", "not_held"), (_absent(F.col("pieces"), F.col("text")), "REJECTED", "not_literal"),
+        (linked & (named == ""), "REJECTED", "link_without_number"), (linked & (named != F.col("number")), "REJECTED", "wrong_link"),
+    ])
+
+
+def tribunal_verdicts(cited: DataFrame, criteria: DataFrame) -> DataFrame:
+    """cited (cite_id, number, label, pieces, link) against criteria (id, resolution, unit, criterion, subject): cite_id, verdict, reason.
+
+    number is a criterion's id, or else a resolution's number. As ruling_verdicts, but that the label must name the tribunal as rulings.label_check asks, and an address may lead to
+    another criterion of the same resolution. A criterion of an unknown tribunal can't be verified.
+    """
+    named = criteria.select(F.posexplode(F.array("id", "resolution")).alias("place", "number"), F.coalesce("unit", F.lit("")).alias("unit"), _whole("criterion", "subject").alias("text")).where("number IS NOT NULL")
+    held = named.groupBy("number").agg(F.min(F.struct("place", "text", "unit")).alias("c")).select("number", "c.text", "c.unit")
+    joined = cited.join(held, "number", "left").withColumn("label_state", label_check(F.col("label"), F.col("unit")))
+    named, linked = F.regexp_extract("link", CRITERION_IN_LINK, 1), F.coalesce("link", F.lit("")) != ""
+    labels = [(F.col("label_state") == state, "UNVERIFIABLE" if state == "no_unit" else "REJECTED", state) for state in ("no_unit", "not_central", "too_strong", "unnamed")]
+    return _judged(joined, [
+        (F.col("text").isNull(), "UNVERIFIABLE", "not_held"), *labels, (_absent(F.col("pieces"), F.col("text")), "REJECTED", "not_literal"),
+        (linked & (named == ""), "REJECTED", "link_without_number"), (linked & ~resolution_key(named).eqNullSafe(resolution_key(F.col("number"))), "REJECTED", "wrong_link"),
+    ])
+
+
+def failure_diagnosis(failed: DataFrame, sources: DataFrame) -> DataFrame:
+    """(cite_id, diagnosis) of quotations failed (cite_id, key, literal, text) that their article's version (text) lacks, over sources (source_id, key, enacted, text).
+
+    not_enacted: it stands in a note or remark of the article, or only in such ones of others; other_version: in another
+    version of the article; other_article; case_differs or accents_differ: but for these it is in the version; else absent.
+    sources holds all versions, notes and remarks; the quotations are located in it as locate does.
+    """
+    hits = locate(failed.select(F.col("cite_id").alias("literal_id"), "literal"), sources.select(F.col("source_id").alias("doc_id"), "text"))
+    asked = failed.select("cite_id", F.col("key").alias("asked"))
+    found = hits.select(F.col("literal_id").alias("cite_id"), F.col("doc_id").alias("source_id")).join(sources.select("source_id", "key", "enacted"), "source_id").join(asked, "cite_id")
+    own = F.col("key").eqNullSafe(F.col("asked"))
+    flags = {"own_note": own & ~F.col("enacted"), "own_text": own & F.col("enacted"), "other_note": ~own & ~F.col("enacted"), "other_text": ~own & F.col("enacted")}
+    by_cite = found.groupBy("cite_id").agg(*[F.bool_or(c).alias(name) for name, c in flags.items()])
+    joined = failed.join(by_cite, "cite_id", "left").na.fill(False, list(flags))
+    literal, text = normal_literal(F.col("literal")), normal_literal(F.coalesce("text", F.lit("")))
+    note = F.col("own_note") | (~F.col("own_text") & ~F.col("other_text") & F.col("other_note"))
+    near = F.when(F.contains(F.lower(text), F.lower(literal)), "case_differs").when(F.contains(fold(text), fold(literal)), "accents_differ").otherwise("absent")
+    return joined.select("cite_id", F.when(note, "not_enacted").when(F.col("own_text"), "other_version").when(F.col("other_text"), "other_article").otherwise(near).alias("diagnosis"))

@@ -1010,7 +1010,30 @@ _FIELD_CAUSES = [
 @query(f"WITH e AS ({_rows('i, cause', [(i, c) for i, (_, c) in enumerate(_FIELD_CAUSES)])}) SELECT c_custkey AS ruling, cause FROM customer JOIN e ON c_custkey % {len(_FIELD_CAUSES)} = i")
 def norm_field_causes(spark, sf):
     numbers = spark.createDataFrame([(n,) for n in _NORM_NUMBERS], "number string")
-    return norm_fields.field_causes(_fields(spark, sf, [t for t, _ in _FIELD_CAUSES]), *_norm_corpus(spark), numbers)
+    return norm_fields.field_causes(_fields(spark, sf, [t for t, _ in _FIELD_CAUSES]), *_norm_corpus(spark), numbers).select("ruling", "cause")
+
+
+_READS = "'Ley 37/1992 art. 95', 'RDLeg 1/1993 art. 45', 'Ley 58/2003 de cosas - 3º'"
+
+
+@query(f"WITH e AS ({_rows('i, text, cause', [(i, t or '', c) for i, (t, c) in enumerate(_FIELD_CAUSES)])}) SELECT CASE WHEN text IN ({_READS}) THEN 'reached' WHEN cause = '' THEN 'unexplained' ELSE cause END AS outcome, count(*) AS rulings FROM customer JOIN e ON c_custkey % {len(_FIELD_CAUSES)} = i GROUP BY 1")
+def reach_report(spark, sf):
+    numbers = spark.createDataFrame([(n,) for n in _NORM_NUMBERS], "number string")
+    return norm_fields.reach_report(norm_fields.field_causes(_fields(spark, sf, [t for t, _ in _FIELD_CAUSES]), *_norm_corpus(spark), numbers))
+
+
+_COVERED = f"WITH e AS ({_rows('i, number, body', [(i, *x) for i, (_, found) in enumerate(_NORM_FIELDS) for x in found])}), c AS (SELECT body, number, count(DISTINCT c_custkey) AS rulings FROM customer JOIN e ON c_custkey % {len(_NORM_FIELDS)} = i WHERE body IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"{_COVERED} SELECT * FROM c")
+def article_coverage(spark, sf):
+    return norm_fields.coverage_counts(norm_fields.field_precepts(_fields(spark, sf, [t for t, _ in _NORM_FIELDS]), *_norm_corpus(spark)))
+
+
+@query(f"{_COVERED} SELECT 'LIVA#0' AS body, CAST(p_size AS VARCHAR) AS number, count(*) AS times FROM part WHERE CAST(p_size AS VARCHAR) NOT IN (SELECT number FROM c WHERE body = 'LIVA#0') GROUP BY p_size")
+def uncovered_articles(spark, sf):
+    asked = table(spark, sf, "part").select(F.lit("LIVA#0").alias("body"), F.col("p_size").cast("string").alias("number"))
+    return norm_fields.uncovered_articles(asked, norm_fields.field_precepts(_fields(spark, sf, [t for t, _ in _NORM_FIELDS]), *_norm_corpus(spark)))
 
 
 # --- pages of rulings and criteria: each customer has one of these pages
@@ -1149,6 +1172,90 @@ def structure_profile(spark, sf):
     return consolidated.structure_profile(_acts(spark, sf))
 
 
+# --- citations of rulings and criteria: each customer makes one of these
+
+_RULING_CITES = [
+    ("v1601-22", ["el texto  literal"], "https://example.org/consultas?num_consulta=V1601-22", "VERIFIED", ""), ("V1601-22", ["el texto", "y su cuestión"], None, "VERIFIED", ""), ("V1601-22", ["otro texto"], None, "REJECTED", "not_literal"),
+    ("V9-22", ["el texto"], None, "UNVERIFIABLE", "not_held"), ("V1601-22", ["el texto literal"], "https://example.org/V0002-20", "REJECTED", "wrong_link"), ("V1601-22", ["el texto literal"], "https://example.org/", "REJECTED", "link_without_number"), (None, ["el texto"], None, "UNVERIFIABLE", "not_held"),
+]
+_TRIBUNAL_CITES = [
+    ("00/00001/2020/00/0/1", "Criterio TEAC", ["se reitera"], "https://example.org/criterio.aspx?id=00/00001/2020/00/00/2", "VERIFIED", ""), ("00/00001/2020/00/0/1", "resolución", ["se reitera"], None, "REJECTED", "not_central"),
+    ("08/00001/2020/00/0/1", "Criterio TEAC", ["regional"], None, "REJECTED", "too_strong"), ("08/00001/2020/00/0/1", "Resolucion del TEAR de Cataluña", ["regional"], None, "VERIFIED", ""), ("09/00001/2020/00/0/1", "x", ["sin"], None, "UNVERIFIABLE", "no_unit"),
+    ("00/00001/2020/00/0/1", "Criterio TEAC", ["se reitera"], "https://example.org/00/00002/2020/00/0/1", "REJECTED", "wrong_link"), ("00/00001/2020/00/0/1", "Criterio TEAC", ["nada"], None, "REJECTED", "not_literal"), ("1/2", "Criterio TEAC", ["se"], None, "UNVERIFIABLE", "not_held"),
+    ("00/00001/2020/00/0/1", "Criterio TEAC", ["asunto"], "https://example.org/", "REJECTED", "link_without_number"), ("08/00001/2020", "Resolucion del TEAR de Cataluña", ["regional"], None, "VERIFIED", ""),
+]
+_CRITERIA = [("00/00001/2020/00/0/1", None, "TEAC", "Aquí se reitera el criterio.", "El asunto"), ("08/00001/2020/00/0/1", "08/00001/2020", "TEAR de Cataluña", "Un criterio regional.", None), ("09/00001/2020/00/0/1", None, None, "sin unidad", None)]
+
+
+def _cites(spark, sf, cites: list[tuple], schema: str) -> DataFrame:
+    """(cite_id, ...): each customer has one of the citations, in turn."""
+    kinds = spark.createDataFrame([(i, *c) for i, c in enumerate(cites)], "i int, " + schema)
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("cite_id"), (F.col("c_custkey") % len(cites)).cast("int").alias("i")).join(F.broadcast(kinds), "i").drop("i")
+
+
+def _of_cites(columns: str, rows: list[tuple]) -> str:
+    return _of_customers("i, " + columns, [(i, *r) for i, r in enumerate(rows)], len(rows), columns).replace("AS page_id", "AS cite_id")
+
+
+@query(_of_cites("verdict, reason", [c[-2:] for c in _RULING_CITES]))
+def ruling_verdicts(spark, sf):
+    rulings_held = spark.createDataFrame([("V1601-22", "Este es el texto literal.", "y su cuestión", None), ("V0002-20", "Otro texto.", None, None)], "number string, answer string, question string, facts string")
+    return verify.ruling_verdicts(_cites(spark, sf, [c[:3] for c in _RULING_CITES], "number string, pieces array<string>, link string"), rulings_held)
+
+
+@query(_of_cites("verdict, reason", [c[-2:] for c in _TRIBUNAL_CITES]))
+def tribunal_verdicts(spark, sf):
+    criteria = spark.createDataFrame(_CRITERIA, "id string, resolution string, unit string, criterion string, subject string")
+    return verify.tribunal_verdicts(_cites(spark, sf, [c[:4] for c in _TRIBUNAL_CITES], "number string, label string, pieces array<string>, link string"), criteria)
+
+
+_VERSION = "El tipo general será del 21 por ciento según la Ley."
+_FAILED = [
+    ("a1", "antes era del 18 por ciento", _VERSION, "other_version"), ("a1", "redactado por la ley posterior", _VERSION, "not_enacted"), ("a1", "los servicios exentos serán estos", _VERSION, "other_article"), ("a1", "el TIPO general será", _VERSION, "case_differs"),
+    ("a1", "El tipo general sera", _VERSION, "accents_differ"), ("a1", "no consta en sitio alguno", _VERSION, "absent"), ("a1", "una nota ajena al precepto", None, "not_enacted"),
+]
+_SOURCES = [(1, "a1", True, _VERSION), (2, "a1", True, "El tipo general antes era del 18 por ciento."), (3, "a1", False, "Artículo redactado por la ley posterior citada."), (4, "a2", True, "Todos los servicios exentos serán estos: ninguno."), (5, "a2", False, "Es una nota ajena al precepto primero.")]
+
+
+@query(_of_cites("diagnosis", [c[-1:] for c in _FAILED]))
+def failure_diagnosis(spark, sf):
+    sources = spark.createDataFrame(_SOURCES, "source_id int, key string, enacted boolean, text string")
+    return verify.failure_diagnosis(_cites(spark, sf, [c[:3] for c in _FAILED], "key string, literal string, text string"), sources)
+
+
+_BATTERY = [("ACCEPTED", ["VERIFIED", "VERIFIED"], "ACCEPTED"), ("ACCEPTED", ["VERIFIED", "REJECTED"], "REFUSED"), ("REFUSED", [], "REFUSED"), ("REJECTED", ["UNVERIFIABLE", "REJECTED"], "REJECTED"), ("VERIFIED", ["UNVERIFIABLE", "VERIFIED"], "UNVERIFIABLE"), ("NO_CITATIONS", [], "NO_CITATIONS")]
+
+
+@query(_of_customers("i, expected, obtained, ok", [(i, e, o, e == o) for i, (e, _, o) in enumerate(_BATTERY)], len(_BATTERY), "expected, obtained, ok").replace("AS page_id", "AS case_id"))
+def verdict_battery(spark, sf):
+    cases = _cites(spark, sf, [c[:2] for c in _BATTERY], "expected string, verdicts array<string>").withColumnRenamed("cite_id", "case_id")
+    return evaluate.battery(cases.select("case_id", "expected"), cases.select("case_id", F.explode("verdicts").alias("verdict")))
+
+
+_QUOTING = [
+    ("Se modifica la Ley 37/1992: «El artículo 94 dice; artículo 5 de la Ley 58/2003.» Véase el artículo 7.", "35/2006", [("94", "corpus", "37/1992"), ("5", "corpus", "58/2003"), ("7", "own", None)]),
+    ("Se modifica esta norma: «El artículo 9 dice.»", "37/1992", [("9", "own", None)]), ("La Ley 37/1992 queda así: «artículo 4»", "37/1992", [("4", "own", None)]),
+    ("Por la Ley 9/2000 «artículo 2»; y «artículo 3»", "37/1992", [("2", "external", "9/2000"), ("3", "own", None)]), ("sin nada", "37/1992", []), (None, None, []),
+]
+
+
+@query(_rows("origin, number, scope, norm", [(i, *x) for i, (_, _, found) in enumerate(_QUOTING) for x in found]))
+def quoted_references(spark, sf):
+    docs = spark.createDataFrame([(i, t, own) for i, (t, own, _) in enumerate(_QUOTING)], "origin int, text string, own string")
+    return graph.references_with_blocks(docs, spark.createDataFrame([("37/1992",), ("58/2003",)], "norm string"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Artículo 8 de la Ley 37/1992' WHEN 1 THEN 'Artículo 8 del Reglamento del IVA' ELSE 'Artículo 8' END AS name FROM customer""")
+def precept_names(spark, sf):
+    label = F.when(F.col("c_custkey") % 3 == 0, "Ley 37/1992").when(F.col("c_custkey") % 3 == 1, "Reglamento del IVA")
+    return table(spark, sf, "customer").select("c_custkey", T.with_norm(F.lit("Artículo 8"), label).alias("name"))
+
+
+@query("WITH g AS (SELECT c_nationkey, list_sort(list_distinct(list(c_mktsegment))) AS f FROM customer GROUP BY c_nationkey) SELECT c_nationkey, array_to_string(f[1:3], ', ') || CASE WHEN len(f) > 3 THEN ' (+' || (len(f) - 3) || ' mas)' ELSE '' END AS line FROM g")
+def structural_lines(spark, sf):
+    return table(spark, sf, "customer").groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("items")).select("c_nationkey", T.first_of(F.col("items"), 3).alias("line"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
