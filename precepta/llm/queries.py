@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from precepta.llm import decontaminate, mixing, near_dedup, quality_rules as rules
+from precepta.llm import collocations as phrases, decontaminate, mixing, near_dedup, quality_rules as rules
+from precepta.llm.collocations import collocations
 from precepta.llm.common import table
 from precepta.llm.decontaminate import contamination
 from precepta.llm.html_extract import extract_pages
@@ -16,6 +17,7 @@ from precepta.llm.near_dedup import near_duplicates
 from precepta.llm.quality_classifier import classify_quality
 from precepta.llm.quality_rules import quality_rules
 from precepta.llm.substring_dedup import substring_dedup
+from precepta.llm.token_align import aligned_tokens
 from precepta.llm.token_counts import section_tokens
 from precepta.llm.url_filter import judge_urls
 
@@ -61,6 +63,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_tokens(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_url_filter,
     op2_source_mixing,
@@ -72,6 +82,8 @@ OPERATORS = (
     op8_quality_classifier,
     op9_token_counts,
     op10_html_extraction,
+    op12_phrase_collocations,
+    op13_token_alignment,
 )
 
 
@@ -80,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.ORACLE_SQL, "op4_decontamination": decontaminate.ORACLE_SQL, "op5_quality_rules": rules.ORACLE_SQL, "op6_minhash_near_dedup": near_dedup.ORACLE_SQL}
+    return {"op2_source_mixing": mixing.ORACLE_SQL, "op4_decontamination": decontaminate.ORACLE_SQL, "op5_quality_rules": rules.ORACLE_SQL, "op6_minhash_near_dedup": near_dedup.ORACLE_SQL, "op12_phrase_collocations": phrases.ORACLE_SQL}
