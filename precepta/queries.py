@@ -1262,3 +1262,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+from precepta import retrieval_queries  # noqa: E402, F401  registers its queries
