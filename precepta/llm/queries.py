@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from precepta.llm import collocations as phrases, decontaminate, mixing, near_dedup, quality_rules as rules
 from precepta.llm.collocations import collocations
@@ -19,6 +20,7 @@ from precepta.llm.quality_rules import quality_rules
 from precepta.llm.substring_dedup import substring_dedup
 from precepta.llm.token_align import aligned_tokens
 from precepta.llm.token_counts import section_tokens
+from precepta.llm.toxicity import TOXIC, toxicity
 from precepta.llm.url_filter import judge_urls
 
 
@@ -63,6 +65,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    labels = table(spark, sf_dir, "labels").where(~held)
+    scored = toxicity(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -82,6 +91,7 @@ OPERATORS = (
     op8_quality_classifier,
     op9_token_counts,
     op10_html_extraction,
+    op11_toxicity,
     op12_phrase_collocations,
     op13_token_alignment,
 )
