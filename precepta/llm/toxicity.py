@@ -27,9 +27,13 @@ LANDMARKS, BACKGROUND, POOL, ALIKE = 96, 32, 1500, 0.8
 #: The machine is fitted on the sentences of about so many labelled documents of each class at most.
 DOCS_OF_CLASS = 2500
 #: Rounds in which toxic documents' sentences are told apart, partitions that are fitted on, and the share of documents (1 in FOLDS) that calibrate.
-ROUNDS, FIT_PARTS, FOLDS = 3, 6, 5
+ROUNDS, FIT_PARTS, FOLDS = 3, 4, 5
 #: Landmarks' letters beyond the commonest so many match nothing.
 ALPHABET = 199
+#: So many of a text's most toxic sentences count.
+WORST = 3
+#: What stands before the letters of a unit, so that beginnings of words are alike.
+BEGIN = 32
 #: Units that are compared with landmarks at a time.
 CHUNK = 1 << 14
 TOXIC = 0.3
@@ -55,7 +59,7 @@ class Units:
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> Units:
-    """Units of texts: the lower-cased letters and digits of what stands between white space.
+    """Units of texts: BEGIN, then the lower-cased letters and digits of what stands between white space.
 
     Single letters that follow each other are one unit, so that blanks as well as marks between letters are left out. A
     sentence ends with a line, or with a token that ends in a full stop or its like.
@@ -89,7 +93,9 @@ def units(data: np.ndarray, offsets: np.ndarray) -> Units:
     unit = np.zeros(len(begin), np.int64)
     unit[filled] = np.cumsum(~joins) - 1
     letters = np.where(chars[kept] < 1 << 16, lower[low[kept] % (1 << 16)], chars[kept])
-    out = Units(letters, unit[token[kept]], sentence[filled[~joins]], text[new])
+    unit = unit[token[kept]]
+    begins = np.flatnonzero(np.diff(unit, prepend=-1))
+    out = Units(np.insert(letters, begins, BEGIN), np.insert(unit, begins, unit[begins]), sentence[filled[~joins]], text[new])
     return _windows(out)
 
 
@@ -234,27 +240,34 @@ def _featurer(landmarks: list[str], root: np.ndarray):
 
 @dataclass
 class Machine:
-    """A fitted machine: landmarks, what each adds to a sentence, the sentence's bias, and the scale and offset of the calibration."""
+    """A fitted machine: landmarks, what each adds to a sentence, the sentence's bias, and the weights and offset of the calibration."""
 
     landmarks: list[str]
     alpha: np.ndarray
     bias: float
-    scale: float
+    weights: np.ndarray
     offset: float
 
     def scores(self, batch: pa.RecordBatch, column: int, kernel: Kernel) -> np.ndarray:
-        """The score of each text: that of its most toxic sentence; of none, what the bias alone gives."""
-        worst = np.full(batch.num_rows, self.bias)
+        """The score of each text, from its most toxic sentences and their number; of none, what the bias alone gives."""
+        values, many = np.full((batch.num_rows, WORST), self.bias), np.zeros(batch.num_rows)
         for begin, n, found in _slices(batch, column):
             if not len(found.sentence):
                 continue
             letters, size, which = distinct_units(found)
             value = np.concatenate([k @ self.alpha for _, k in kernel(letters, size)])
             sums = np.bincount(found.sentence, value[which], len(found.text)) + self.bias
-            first = np.searchsorted(found.text, np.arange(n))
-            some = np.flatnonzero(np.bincount(found.text, minlength=n))
-            worst[begin + some] = np.maximum.reduceat(sums, first[some])
-        return np.round(1 / (1 + np.exp(-np.clip(self.scale * worst + self.offset, -30, 30))), 6)
+            order = np.lexsort((-sums, found.text))
+            count = np.bincount(found.text, minlength=n)
+            place = np.arange(len(order)) - (np.cumsum(count) - count)[found.text]
+            many[begin : begin + n] = count
+            for k in range(WORST):
+                at = order[place == k]
+                values[begin + found.text[at], k] = sums[at]
+        for k in range(1, WORST):
+            values[:, k] = np.where(many > k, values[:, k], np.minimum(values[:, k - 1], self.bias))
+        line = np.column_stack([values, np.log1p(many)]) @ self.weights + self.offset
+        return np.round(1 / (1 + np.exp(-np.clip(line, -30, 30))), 6)
 
 
 def _scorer(machine: Machine):
@@ -269,7 +282,7 @@ def _scorer(machine: Machine):
 
 def choose_landmarks(texts: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     """Units that tell toxic texts (toxic, text) from clean ones and aren't much alike, then units drawn by hash, toxic or not."""
-    listed = in_python(texts.select("toxic", "text"), _unit_lister, "toxic double, unit string").where(F.length("unit") >= 3)
+    listed = in_python(texts.select("toxic", "text"), _unit_lister, "toxic double, unit string").where(F.length("unit") > 3)
     counted = cut(listed.groupBy("unit").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")))
     share = (F.col("pos") + 0.5) / n_toxic, (F.col("n") - F.col("pos") + 0.5) / n_clean
     telling = counted.where(share[0] > share[1]).orderBy(F.desc(F.round(F.col("pos") / n_toxic * F.log(share[0] / share[1]), 9)), "unit").limit(POOL)
@@ -291,7 +304,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, docs_of_class: int = DOCS_O
 
     docs has doc_id and text, labels doc_id and toxic. At first all sentences of toxic documents count as toxic; in each
     further round those that the last machine takes for toxic do, and the worst one of each document, and the others count
-    as nothing. A fifth of the documents calibrates the worst sentence's value, with weights that undo the sampling.
+    as nothing. A fifth of the documents calibrates the values of its WORST sentences (those that a text lacks are like
+    an empty one) and the logarithm of their number, with weights that undo the sampling.
     """
     marked = cut(labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("double")).alias("toxic")))
     marked = cut(docs.select("doc_id").distinct().join(marked, "doc_id"))
@@ -326,16 +340,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, docs_of_class: int = DOCS_O
         worst = F.max("value").over(Window.partitionBy("doc"))
         kept = valued.withColumn("worst", worst).where("toxic = 0 OR value > 0 OR value = worst").select(*train.columns)
     scored = model.transform(rows).withColumn("value", vector_to_array("rawPrediction")[1])
-    by_doc = scored.groupBy("doc").agg(F.max("fold").alias("fold"), F.max("toxic").alias("toxic"), F.max("value").alias("value"))
+    ranked = scored.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("value"))))
+    placed = [F.max(F.when(F.col("place") == k + 1, F.col("value"))).alias(f"v{k}") for k in range(WORST)]
+    by_doc = ranked.groupBy("doc").agg(F.max("fold").alias("fold"), F.max("toxic").alias("toxic"), F.count("*").alias("many"), *placed)
+    for k in range(1, WORST):
+        by_doc = by_doc.withColumn(f"v{k}", F.coalesce(f"v{k}", F.least(f"v{k - 1}", F.lit(float(model.intercept)))))
     held = by_doc.where("fold = 0")
     if held.select("toxic").distinct().count() < 2:
         held = by_doc
     weights = F.when(F.col("toxic") == 1, n[1.0] / there[1.0]).otherwise(n[0.0] / there[0.0])
-    held = cut(held.select("toxic", array_to_vector(F.array("value")).alias("value"), weights.alias("weight")).coalesce(1))
-    line = LogisticRegression(featuresCol="value", labelCol="toxic", weightCol="weight", regParam=1e-3).fit(held)
+    held = cut(held.select("toxic", array_to_vector(F.array(*[f"v{k}" for k in range(WORST)], F.log1p("many"))).alias("value"), weights.alias("weight")).coalesce(1))
+    line = LogisticRegression(featuresCol="value", labelCol="toxic", weightCol="weight", regParam=3e-3).fit(held)
     alpha = root @ model.coefficients.toArray()
     forget(marked, texts, rows, held)
-    return Machine(landmarks, alpha, float(model.intercept), float(line.coefficients[0]), float(line.intercept))
+    return Machine(landmarks, alpha, float(model.intercept), line.coefficients.toArray(), float(line.intercept))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, docs_of_class: int = DOCS_OF_CLASS) -> DataFrame:
@@ -344,7 +362,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, docs_of_class: int = DOCS_OF_CL
     docs has doc_id (long) and text, labels doc_id and toxic (1 or 0). The kernel of two units (see units) counts their
     common subsequences of three letters, each weighed by the letters it leaves out on both sides, so an insult that is
     stretched, or has letters, marks or blanks put into it, stays like its plain form. A sentence's kernel adds up those of
-    its units; landmarks (Nyström) turn it into features of a linear machine, and a text counts as its worst sentence.
+    its units; landmarks (Nyström) turn it into features of a linear machine, and a text counts as its worst sentences.
 
     Fitting takes a bounded sample of labelled documents (see fit_toxicity), scoring one scan of whole texts without a
     shuffle. Null and empty texts are scored as texts without sentences; repeated rows and null ids count each, conflicting
