@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from precepta.llm.common import in_python
 
+#: Articles are teasers where the prose outside is more than so many times their text; then the whole page is judged.
+TEASER = 3
 #: A block of fewer characters is short; one is link text beyond this share, and prose from this share of stop words on.
 SHORT_CHARS, LONG_CHARS, LINK_DENSITY, STOP_DENSITY = 70, 200, 0.5, 0.1
 # Common function words of four languages, elements and names of what is not the article.
@@ -48,6 +50,14 @@ OTHERS = frozenset(
     login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promotion related
     search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget""".split()
 )
+#: Words that may stand beside those of OTHERS in a name that means the element itself (footer-links); inside an article a
+#: name with any other word (cookie-recipe, related-work) is one of its subject.
+PARTS = frozenset(
+    """area bar block bottom box button buttons col column container content cta desktop form global group icon icons inner inline item items left
+    link links list main media mobile module nav outer page panel post posts primary right row secondary section shell site slot stories
+    strip sub top unit wrap wrapper""".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 STATES, KINDS = frozenset("has is no not with without".split()), frozenset("closed disabled enabled layout open page template".split())
 ROLES = re.compile(r"(?i)role\s*=\s*[\"']?(?:alert|banner|complementary|contentinfo|dialog|form|menu|menubar|navigation|search)\b")
 NAMES = re.compile(r"(?i)(?<![\w-])(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
@@ -110,23 +120,27 @@ class _Open:
         return self.end(place) if place > keep else len(self.tags)
 
 
-def _named(name: str) -> int:
+def _named(name: str, article: bool) -> int:
     """What a class or id name says: 2 for reader comments, 1 for anything else that isn't the article, 0 for neither."""
     words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
     if not words or STATES.intersection(words) or words[-1] in KINDS:
         return 0
     if COMMENTS.intersection(words):
         return 2
-    return int(bool(OTHERS.intersection(words)) or any(w.endswith("sidebar") for w in words))
+    others = [w in OTHERS or w.endswith("sidebar") for w in words]
+    return int(any(others) and (not article or all(o or w in PARTS for o, w in zip(others, words, strict=True))))
 
 
 def _unwanted(tag: str, attributes: str, article: bool) -> int:
-    """0 for an element that may be main text, 1 for others, 2 for reader comments. The header of an article is part of it."""
+    """0 for an element that may be main text, 1 for others, 2 for reader comments.
+
+    The header of an article is part of it, and headings are what stands around them, whatever their names.
+    """
     if tag in DROPPED and not (tag == "header" and article):
         return 1
-    if not attributes or tag in ("html", "body"):
+    if not attributes or tag in ("html", "body") or tag in HEADINGS:
         return 0
-    names = [_named(name) for found in NAMES.findall(attributes) for name in found.strip("\"'").split()]
+    names = [_named(name, article) for found in NAMES.findall(attributes) for name in found.strip("\"'").split()]
     worst = max(names, default=0)
     if worst == 2 or tag in MAIN:
         return worst if worst == 2 else 0
@@ -233,7 +247,10 @@ def blocks(page: str) -> tuple[list[tuple[str, int, int, int]], list[_Region]]:
 
 
 def _is_prose(text: str, links: int) -> bool:
+    """Whether enough of text's words are stop words and not links; words of other scripts than theirs count as known."""
     words = WORD.findall(text.lower())
+    if sum(w[0] > "\u024f" for w in words) > len(words) / 2:
+        return links <= LINK_DENSITY * len(text)
     return bool(words) and links <= LINK_DENSITY * len(text) and sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * len(words)
 
 
@@ -272,7 +289,8 @@ def extract(page: str | None) -> tuple[str, int, int]:
     """(main text, blocks, kept blocks) of a page.
 
     Regions are left out, unless a form or an element unwanted by its class holds the page's prose: half of it where no
-    block of prose is left without, else three quarters, in two blocks or more. Reader comments always are.
+    block of prose is left without, else three quarters, in two blocks or more. Reader comments always are. Where articles
+    are mere teasers of the page's prose (see TEASER), they don't shut out what lies outside.
     """
     found, regions = blocks(page or "")
     prose = [0 if regions[r].kind == 2 else len(text) - links for text, links, _, r in found]
@@ -286,6 +304,10 @@ def extract(page: str | None) -> tuple[str, int, int]:
         if dense.count(wrappers[0]) >= 2 and (0 not in dense or 4 * own[wrappers[0]] > 3 * whole):
             taken.add(wrappers[0])
     held = [b[:3] for b in found if b[3] in taken]
+    dense = [(len(text), article) for text, links, article in held if len(text) >= SHORT_CHARS and _is_prose(text, links)]
+    outside = sum(n for n, article in dense if not article)
+    if outside >= LONG_CHARS and outside > TEASER * sum(len(text) for text, _, article in held if article):
+        held = [(text, links, 0) for text, links, _ in held]
     kept = [b[0] for b, label in zip(held, classify(held), strict=True) if label]
     return " ".join(kept), len(held), len(kept)
 
