@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precepta.operators import retrieval
+from precepta.operators import places, retrieval
 from precepta.queries import _FIELDS, _STATS, query, table
 
 #: Questions with their terms, tax, region and nature. Languages stand for taxes (es: general), most sources for regions.
@@ -80,3 +80,89 @@ SELECT question, node, CAST(rank AS INTEGER) AS rank, relative, round IS NOT NUL
 def material_selection(spark, sf):
     scored, candidates = _retrieved(spark, sf)
     return retrieval.select_material(candidates, scored, _nodes(spark, sf), _edges(spark, sf), _questions(spark))
+
+
+# --- references by place: a text of each order line or order, by its form; offsets and numbers follow from the columns
+
+_LINE = "l_orderkey * 10 + l_linenumber"
+
+
+def _lines(spark, sf, forms: list[str]) -> DataFrame:
+    """(doc_id, text, l_partkey): each order line in the form of its turn, with its order (%1$s), part (%2$s), supplier (%3$s) and quantity (%4$s)."""
+    values = [F.col(c).cast("long").cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")]
+    texts = F.get(F.array(*[F.format_string(f, *values) for f in forms]), (F.expr(_LINE) % len(forms)).cast("int"))
+    return table(spark, sf, "lineitem").select(F.expr(_LINE).alias("doc_id"), texts.alias("text"), "l_partkey")
+
+
+def _answers(forms: list[list[tuple]], columns: str) -> str:
+    """SQL of the expected rows of each form: a tuple of SQL expressions each, over o, p, s and q."""
+    rows = " UNION ALL ".join(f"SELECT doc_id, {', '.join(each)} FROM v WHERE form = {i}" for i, expected in enumerate(forms) for each in expected)
+    return f"""WITH v AS (SELECT {_LINE} AS doc_id, ({_LINE}) % {len(forms)} AS form, CAST(l_orderkey AS VARCHAR) AS o, CAST(l_partkey AS VARCHAR) AS p, CAST(l_suppkey AS VARCHAR) AS s,
+CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q FROM lineitem), x(doc_id, {columns}) AS ({rows}) SELECT * FROM x"""
+
+
+_CITING = [
+    "El artículo %2$s de la norma %3$s manda «plazo de %1$s “días” hábiles».",
+    "«texto %1$s» (nota [artículo %2$s] y artículo %3$s).",
+    "Lo del artículo %3$s reza «uno %1$s», y luego “dos %2$s” por el artículo %1$s.",
+    "\"cuota %1$s\" [https://example.org/a.b?n=%2$s; artículo %2$s bis] y más; artículo %3$s.",
+    "Queda «abierto %1$s y “cerrado %2$s” aquí; disposición adicional tercera.",
+    "Así «va %1$s \"con» y sin %2$s\" de la C%3$s.",
+    "«hecho %1$s» visto (en nota %3$s. También artículo %2$s). Fin.",
+    "«causa %1$s», disposición final quinta, artículo %2$s.",
+]
+_CITED = [
+    [("0", "len('El artículo ' || p || ' de la norma ' || s || ' manda ')", "'plazo de ' || o || ' “días” hábiles'", "'article'", "p", "NULL")],
+    [("0", "0", "'texto ' || o", "'article'", "p", "NULL")],
+    [("0", "len('Lo del artículo ' || s || ' reza ')", "'uno ' || o", "'article'", "s", "NULL"), ("1", "len('Lo del artículo ' || s || ' reza «uno ' || o || '», y luego ')", "'dos ' || p", "'article'", "o", "NULL")],
+    [("0", "0", "'cuota ' || o", "'article'", "p || ' bis'", "'https://example.org/a.b?n=' || p")],
+    [("0", "len('Queda «abierto ' || o || ' y ')", "'cerrado ' || p", "NULL", "NULL", "NULL")],
+    [("0", "len('Así ')", "'va ' || o || ' \"con'", "NULL", "NULL", "NULL")],
+    [("0", "0", "'hecho ' || o", "'article'", "p", "NULL")],
+    [("0", "0", "'causa ' || o", "'provision'", "'final quinta'", "NULL")],
+]
+
+
+@query(_answers(_CITED, "n, start, literal, kind, number, link"))
+def placed_citations(spark, sf):
+    return places.placed_citations(_lines(spark, sf, _CITING)).drop("end")
+
+
+_CLAIMING = [
+    "El tipo es del %4$s%% y no «del %2$s%%» (artículo %1$s).",
+    "El artículo %2$s impone «esperar %1$s días»; quedan %4$s días.",
+    "Mire https://example.org/%4$s%%20 y pague %2$s euros.",
+    "El artículo %2$s rige. Luego el artículo %3$s pide «valer %1$s».",
+]
+_CLAIMED = [
+    [("'percentage'", "q || '%'", "len('El tipo es del ')")],
+    [("'deadline'", "q || ' días'", "len('El artículo ' || p || ' impone «esperar ' || o || ' días»; quedan ')")],
+    [("'money'", "p || ' euros'", "len('Mire https://example.org/' || q || '%20 y pague ')")],
+    [("'article'", "'artículo ' || p", "3")],
+]
+
+
+@query(_answers(_CLAIMED, "kind, claim, start"))
+def placed_claims(spark, sf):
+    return places.placed_claims(_lines(spark, sf, _CLAIMING))
+
+
+_FAR = " y lo que sigue" * 40
+_SAME = "El artículo %1$s rige."
+_QUOTING = [
+    f"{_SAME} Cambia la Ley %3$s/1999, que dirá: «{_SAME}»",
+    f'{_SAME} Cambia la Ley %3$s/1999, que dirá: "{_SAME}"',
+    f"{_SAME} Cambia la Ley %2$s/2001, que dirá: “{_SAME}”",
+    f"{_SAME} Cambia la Ley %3$s/1999{_FAR}: “{_SAME}”",
+    f"{_SAME} Se lee: «{_SAME}»",
+    f"{_SAME} Existe la Ley %3$s/1999. Se lee: «{_SAME}»",
+]
+
+
+@query(f"""WITH v AS (SELECT {_LINE} AS origin, ({_LINE}) % 6 AS form, CAST(l_orderkey AS VARCHAR) AS o, CAST(l_partkey AS VARCHAR) AS p, CAST(l_suppkey AS VARCHAR) AS s FROM lineitem),
+gaps AS (SELECT *, len('El artículo ' || o || ' rige. ') + len(CASE WHEN form IN (0, 1) THEN 'Cambia la Ley ' || s || '/1999, que dirá: ' WHEN form = 2 THEN 'Cambia la Ley ' || p || '/2001, que dirá: '
+  WHEN form = 3 THEN 'Cambia la Ley ' || s || '/1999' || repeat(' y lo que sigue', 40) || ': ' WHEN form = 4 THEN 'Se lee: ' ELSE 'Existe la Ley ' || s || '/1999. Se lee: ' END) AS quote FROM v)
+SELECT origin, 3 AS start, o AS number, NULL AS norm FROM v UNION ALL SELECT origin, quote + 4, o, CASE WHEN form IN (0, 1, 3) THEN s || '/1999' END FROM gaps""")
+def placed_mentions(spark, sf):
+    own = F.concat(F.col("l_partkey").cast("string"), F.lit("/2001")).alias("own")
+    return places.placed_mentions(_lines(spark, sf, _QUOTING).select(F.col("doc_id").alias("origin"), own, "text"))
