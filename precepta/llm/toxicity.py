@@ -232,7 +232,7 @@ def _featurer(landmarks: list[str], root: np.ndarray):
                     sums = np.zeros((high - low, len(landmarks)))
                     np.add.at(sums, found.sentence[own] - low, like[which[own]])
                     of = pa.array(begin + found.text[low:high])
-                    flat = pa.array((sums @ root).ravel())
+                    flat = pa.array((sums @ root).ravel().astype(np.float32))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1) * root.shape[1], pa.int32()), flat)], ["doc", "toxic", "features"])
 
     return features
@@ -326,8 +326,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, docs_of_class: int = DOCS_O
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
     named = texts.select(F.struct(F.monotonically_increasing_id().alias("row"), "fold").alias("doc"), "toxic", "text")
-    rows = in_python(named.select(F.to_json("doc").alias("doc"), "toxic", "text"), _featurer(landmarks, root), "doc string, toxic double, features array<double>")
-    rows = cut(rows.select("doc", F.get_json_object("doc", "$.fold").cast("int").alias("fold"), "toxic", array_to_vector("features").alias("features")).repartition(FIT_PARTS))
+    # texts are dealt anew, as they are far smaller than the features of their sentences, which are written once and never shuffled
+    rows = in_python(named.select(F.to_json("doc").alias("doc"), "toxic", "text").repartition(FIT_PARTS), _featurer(landmarks, root), "doc string, toxic double, features array<float>")
+    featured = cut(rows.select("doc", F.get_json_object("doc", "$.fold").cast("int").alias("fold"), "toxic", "features"))
+    rows = featured.withColumn("features", array_to_vector(F.col("features").cast("array<double>")))
     train = rows.where("fold > 0")
     if train.select("toxic").distinct().count() < 2 or rows.where("fold = 0").select("toxic").distinct().count() < 2:
         train = rows
@@ -336,9 +338,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, docs_of_class: int = DOCS_O
         m = {r[0]: r[1] for r in kept.groupBy("toxic").count().collect()}
         weighed = kept.withColumn("weight", F.when(F.col("toxic") == 1, (m[0.0] + m[1.0]) / (2 * m[1.0])).otherwise((m[0.0] + m[1.0]) / (2 * m[0.0])))
         model = LinearSVC(featuresCol="features", labelCol="toxic", weightCol="weight", maxIter=40, regParam=1e-4).fit(weighed)
-        valued = model.transform(train).withColumn("value", vector_to_array("rawPrediction")[1])
-        worst = F.max("value").over(Window.partitionBy("doc"))
-        kept = valued.withColumn("worst", worst).where("toxic = 0 OR value > 0 OR value = worst").select(*train.columns)
+        valued = model.transform(train).withColumn("value", F.round(vector_to_array("rawPrediction")[1], 9))
+        worst = valued.groupBy("doc").agg(F.max("value").alias("worst"))  # a row for each document of the sample
+        kept = valued.join(checked_broadcast(worst), "doc").where("toxic = 0 OR value > 0 OR value = worst").select(*train.columns)
     scored = model.transform(rows).withColumn("value", vector_to_array("rawPrediction")[1])
     ranked = scored.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("value"))))
     placed = [F.max(F.when(F.col("place") == k + 1, F.col("value"))).alias(f"v{k}") for k in range(WORST)]
@@ -352,7 +354,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, docs_of_class: int = DOCS_O
     held = cut(held.select("toxic", array_to_vector(F.array(*[f"v{k}" for k in range(WORST)], F.log1p("many"))).alias("value"), weights.alias("weight")).coalesce(1))
     line = LogisticRegression(featuresCol="value", labelCol="toxic", weightCol="weight", regParam=3e-3).fit(held)
     alpha = root @ model.coefficients.toArray()
-    forget(marked, texts, rows, held)
+    forget(marked, texts, featured, held)
     return Machine(landmarks, alpha, float(model.intercept), line.coefficients.toArray(), float(line.intercept))
 
 
