@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
@@ -26,6 +28,8 @@ KINDS = {
 STOPS = re.compile(r"[()\[\]{}.;\n«“\"]")
 MENTIONED = r"(?i)\bart(?:[íi]culo|\.)\s+(\d+)"
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # its functions go to the tasks themselves, where this package may not be
+
 
 def _struct(**fields: type) -> ArrayType:
     """array<struct> with these fields; no DDL text, as tasks load this module without a session."""
