@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -13,8 +15,8 @@ from precepta.llm.common import ascii_lower, checked_broadcast, cut
 #: (host, path, verdict) of list rules: each fits its host and all subdomains, for paths that start with its path.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Least support of a token combination with its label among the labelled pages, least confidence of a rule (a lower
-#: bound of it, at Z standard deviations), most items of a rule, most labelled pages that are mined, and most items that
-#: a mined page keeps: those whose own share of blocked pages is furthest from that of all.
+#: bound of it, at Z standard deviations), most items of a rule, most labelled pages that are mined, and most items of a
+#: page that FP-growth takes: those of pages with more are counted combination by combination.
 SUPPORT, CONFIDENCE, Z, MOST_TOKENS, MINED_PAGES, MINED_ITEMS = 0.002, 0.5, 2.0, 4, 200_000, 16
 BLOCK, ALLOW = "=block", "=allow"
 
@@ -63,6 +65,65 @@ def _sure(rules: DataFrame, confidence: float) -> DataFrame:
     return rules.where(p - Z * F.sqrt(p * (1 - p) / F.col("n") + 0.25 / (F.col("n") * F.col("n"))) >= confidence)
 
 
+def _frequent(baskets: DataFrame, least: int, most: int) -> DataFrame:
+    """(items, n, n_blocked) of the combinations of 2 to most items of baskets (found, blocked), blocked in `least` of them or more, by FP-growth."""
+    n = baskets.count()
+    if not n:
+        return baskets.sparkSession.createDataFrame([], "items array<string>, n long, n_blocked long")
+    marked = baskets.select(F.array_append("found", F.when(F.col("blocked"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))).alias("items"))
+    growth = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n), numPartitions=baskets.sparkSession.sparkContext.defaultParallelism)
+    bad = F.array_contains("items", BLOCK)
+    sets = growth.fit(marked).freqItemsets.where(~F.array_contains("items", ALLOW) & (F.size("items") - bad.cast("int")).between(2, most))
+    sets = cut(sets.select(F.array_sort(F.array_remove("items", BLOCK)).alias("items"), "freq", bad.alias("bad")))
+    return sets.where("NOT bad").select("items", F.col("freq").alias("n")).join(sets.where("bad").select("items", F.col("freq").alias("n_blocked")), "items")
+
+
+def _frequent_wide(baskets: DataFrame, least: float, most: int) -> DataFrame:
+    """(items, n, n_blocked) of the combinations of 2 to most items of baskets (found, n, n_blocked) whose n_blocked is `least` or more.
+
+    Each is one with an item less, of the start of it, which is as frequent, and a later item of the same basket.
+    """
+    added = [F.sum(c).alias(c) for c in ("n", "n_blocked")]
+    level = baskets.select(F.array().cast("array<string>").alias("items"), F.col("found").alias("rest"), "n", "n_blocked")
+    out = []
+    for _ in range(most):
+        longer = level.select("items", "rest", "n", "n_blocked", F.posexplode("rest").alias("i", "item"))
+        longer = longer.select(F.array_append("items", F.col("item")).alias("items"), F.slice("rest", F.col("i") + 2, F.size("rest")).alias("rest"), "n", "n_blocked")
+        out.append(cut(longer.groupBy("items").agg(*added).where(F.col("n_blocked") >= F.lit(least))))
+        if len(out) < most:
+            level = longer.where(F.size("rest") > 0).join(checked_broadcast(out[-1].select("items")), "items", "left_semi")
+            level = cut(level.groupBy("items", "rest").agg(*added))
+    return reduce(DataFrame.union, out).where(F.size("items") > 1)
+
+
+def _counts(sets: DataFrame, baskets: DataFrame, items: DataFrame) -> DataFrame:
+    """(items, n, n_blocked) of sets (items) in baskets (found, n, n_blocked), which are met by each set's rarest item (see url_items)."""
+    rare = sets.select("items", F.explode("items").alias("item")).join(items.select("item", F.col("n").alias("pages")), "item")
+    keyed = rare.groupBy("items").agg(F.min(F.struct("pages", "item"))["item"].alias("key"))
+    each = baskets.select("*", F.explode("found").alias("key")).join(checked_broadcast(keyed), "key").where(F.forall("items", lambda i: F.array_contains("found", i)))
+    return each.groupBy("items").agg(F.sum("n").alias("n"), F.sum("n_blocked").alias("n_blocked"))
+
+
+def combinations(found: DataFrame, items: DataFrame, least: float, most: int, mined_items: int) -> DataFrame:
+    """(items, n, n_blocked) of the combinations of 2 to most items of found (found, blocked), blocked on `least` pages or more.
+
+    FP-growth takes the pages of up to mined_items items, as it forms all combinations of a page's items, of any length.
+    What is frequent on all pages is so on these or on the others, each with a part of `least`; combinations that are
+    frequent on either are counted on both, so the numbers are those of all pages and items.
+    """
+    wide = cut(found.where(F.size("found") > mined_items).groupBy("found").agg(F.count("*").alias("n"), F.count_if("blocked").alias("n_blocked")))
+    narrow = found.where(F.size("found") <= mined_items).select("found", "blocked")
+    n_wide, blocked_wide = (int(x or 0) for x in wide.agg(F.sum("n"), F.sum("n_blocked")).first())
+    part = max(least / 2, least - blocked_wide)
+    sets = cut(_frequent(narrow, math.ceil(part), most))
+    if n_wide:
+        further = cut(_frequent_wide(wide, least - part, most)) if blocked_wide > least - part else sets.limit(0)
+        here = _counts(sets.join(further, "items", "left_anti").select("items"), wide, items)
+        there = _counts(further.join(sets, "items", "left_anti").select("items"), narrow.groupBy("found").agg(F.count("*").alias("n"), F.count_if("blocked").alias("n_blocked")), items)
+        sets = sets.union(further).union(here).union(there).groupBy("items").agg(F.sum("n").alias("n"), F.sum("n_blocked").alias("n_blocked"))
+    return sets.where(F.col("n_blocked") >= F.lit(least))
+
+
 def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most_tokens: int = MOST_TOKENS, mined_items: int = MINED_ITEMS) -> DataFrame:
     """(rule_id, items, tokens, confidence, n, key) mined from labelled (tokens array<string>, blocked boolean).
 
@@ -70,9 +131,8 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     pages, and are blocked with a lower confidence bound of `confidence`. A rule goes if one with fewer of its items is
     as confident. tokens has the tokens of each item, any of which stands for it; key is the place of the rarest item.
 
-    Single items are counted. FP-growth mines those that are blocked on some of their pages only and on enough of them,
-    as no rule with any other is kept; a page gives it mined_items items at most, so that the combinations of a page of
-    many query keys stay bounded.
+    Single items are counted. Combined are those that are blocked on some of their pages only and on enough of them, as
+    no rule with any other is kept; see combinations for pages of many.
     """
     spark = labelled.sparkSession
     rows = cut(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "blocked"))
@@ -80,21 +140,13 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     total, blocked = rows.agg(F.count("*"), F.count_if("blocked")).first()
     if not blocked:
         return spark.createDataFrame([], schema)
-    least = max(support, 10 / total)
-    items = cut(url_items(rows).where(F.col("n_blocked") >= F.lit(least * total)).withColumn("confidence", F.col("n_blocked") / F.col("n")))
-    single = _sure(items.select(F.array("item").alias("items"), "confidence", "n"), confidence)
-    far = F.abs(F.col("confidence") - blocked / total)
-    mixed = items.where("n_blocked < n").select(F.element_at("tokens", 1).alias("token"), F.struct(far.alias("far"), "item").alias("item"))
-    found = rows.select("row", "blocked", F.explode("tokens").alias("token")).join(checked_broadcast(mixed), "token").groupBy("row", "blocked").agg(F.reverse(F.array_sort(F.collect_list("item"))).alias("found"))
-    baskets = found.select(F.array_append(F.slice("found", 1, mined_items)["item"], F.when(F.col("blocked"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))).alias("items"))
-    n_baskets = (baskets := cut(baskets)).count()
-    several = None
-    if n_baskets:
-        growth = FPGrowth(itemsCol="items", minSupport=min(1.0, least * total / n_baskets), minConfidence=confidence, numPartitions=spark.sparkContext.defaultParallelism)
-        rules = growth.fit(baskets).associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & F.size("antecedent").between(2, most_tokens))
-        n = F.round(F.col("support") * n_baskets / F.col("confidence")).cast("long")
-        several = _sure(rules.withColumn("n", n).where(~F.array_contains("antecedent", ALLOW)).select(F.array_sort("antecedent").alias("items"), "confidence", "n"), confidence)
-    rules = cut((single.union(several) if several is not None else single).select(F.monotonically_increasing_id().alias("rule_id"), "items", "confidence", "n"))
+    least = max(support * total, 10)
+    items = cut(url_items(rows).where(F.col("n_blocked") >= F.lit(least)).withColumn("confidence", F.col("n_blocked") / F.col("n")))
+    single = items.select(F.array("item").alias("items"), "confidence", "n")
+    mixed = items.where("n_blocked < n").select(F.element_at("tokens", 1).alias("token"), "item")
+    found = cut(rows.select("row", "blocked", F.explode("tokens").alias("token")).join(checked_broadcast(mixed), "token").groupBy("row", "blocked").agg(F.array_sort(F.collect_list("item")).alias("found")))
+    several = combinations(found, items, least, most_tokens, mined_items).select("items", F.col("n_blocked") / F.col("n"), "n")
+    rules = cut(_sure(single.union(several), confidence).select(F.monotonically_increasing_id().alias("rule_id"), "items", "confidence", "n"))
     # subsets of at most most_tokens items are few for each rule, so that redundant ones are found by an equi-join
     parts = rules.select("rule_id", "items", F.col("confidence").alias("own"), F.expr("explode(sequence(1, shiftleft(1, size(items)) - 2)) AS mask")).where("size(items) > 1")
     subset = F.expr("filter(items, (x, i) -> shiftright(mask, i) % 2 = 1)")
