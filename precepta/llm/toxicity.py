@@ -35,7 +35,9 @@ WORST = 3
 #: What stands before the letters of a unit, so that beginnings of words are alike.
 BEGIN = 32
 #: Units that are compared with landmarks at a time.
-CHUNK = 1 << 14
+CHUNK = 1 << 11
+#: Values of units that a scoring task keeps; more are computed anew.
+SEEN = 1 << 20
 TOXIC = 0.3
 _ENDS = [ord(c) for c in ".!?…。！？"]
 
@@ -119,18 +121,26 @@ def _windows(found: Units) -> Units:
     return Units(np.concatenate(parts), np.concatenate(owners), np.concatenate(sentence), found.text)
 
 
-def distinct_units(found: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(letters of the distinct units, their sizes, which of them each unit is)."""
-    n = len(found.sentence)
-    size = np.bincount(found.unit, minlength=n)
+def hashed_units(found: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct units, a unit of each, which of them each unit is); equal letters give equal hashes anywhere."""
+    size = np.bincount(found.unit, minlength=len(found.sentence))
     first = np.cumsum(size) - size
     up, down = tb.powers(len(found.letters) + 1)
     run = np.append(np.uint64(0), np.cumsum(tb.mix(found.letters.astype(np.uint64) + np.uint64(1)) * up[:-1]))
-    hashes = tb.mix((run[first + size] - run[first]) * down[first])
-    _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-    width = size[at]
-    letters = found.letters[np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first[at], width)]
-    return letters, width, which
+    return np.unique(tb.mix((run[first + size] - run[first]) * down[first]), return_index=True, return_inverse=True)
+
+
+def letters_at(found: Units, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(letters of the units at these places, their sizes)."""
+    size = np.bincount(found.unit, minlength=len(found.sentence))
+    width, first = size[at], (np.cumsum(size) - size)[at]
+    return found.letters[np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first, width)], width
+
+
+def distinct_units(found: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(letters of the distinct units, their sizes, which of them each unit is)."""
+    _, at, which = hashed_units(found)
+    return *letters_at(found, at), which
 
 
 class Kernel:
@@ -174,7 +184,7 @@ class Kernel:
             width = size[begin : begin + CHUNK]
             codes = self._codes(letters[edges[begin] : edges[min(begin + CHUNK, len(size))]])
             unit = np.repeat(np.arange(len(width)), width)
-            out = np.zeros(len(width) * m)
+            hits, rows, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
             for c in range(2, SPAN):
                 whole = np.flatnonzero(unit[c:] == unit[:-c]) if len(unit) > c else np.zeros(0, np.int64)
                 ends = codes[whole] * self.base * self.base + codes[whole + c]
@@ -184,9 +194,13 @@ class Kernel:
                     middle = codes[whole + b]
                     row = np.where(middle > 0, self.row[ends + middle * self.base], 0)
                     hit = np.flatnonzero(row)
-                    low, n = self.first[row[hit]], self.first[row[hit] + 1] - self.first[row[hit]]
-                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                    out += np.bincount(np.repeat(unit[whole[hit]], n) * m + self.landmark[at], self.weight[at] * DECAY ** (c - 2), len(out))
+                    hits.append(unit[whole[hit]])
+                    rows.append(row[hit])
+                    weights.append(np.full(len(hit), DECAY ** (c - 2)))
+            owner, row, weight = np.concatenate(hits), np.concatenate(rows), np.concatenate(weights)
+            low, n = self.first[row], self.first[row + 1] - self.first[row]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)
+            out = np.bincount(np.repeat(owner * m, n) + self.landmark[at], self.weight[at] * np.repeat(weight, n), len(width) * m)
             yield begin, out.reshape(len(width), m) ** POWER
 
 
@@ -238,6 +252,28 @@ def _featurer(landmarks: list[str], root: np.ndarray):
     return features
 
 
+class Seen:
+    """Values of the units that a task has met, by hash; beyond SEEN of them it begins anew."""
+
+    def __init__(self):
+        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros(0)
+
+    def values_of(self, hashes: np.ndarray, compute) -> np.ndarray:
+        """The values of ascending distinct hashes; compute gives those of the new ones, whose places it is given."""
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.append(self.hashes, np.uint64(0))[place] == hashes
+        known &= place < len(self.hashes)
+        value = np.append(self.values, 0.0)[place]
+        new = np.flatnonzero(~known)
+        if len(new):
+            value[new] = compute(new)
+            if len(self.hashes) + len(new) > SEEN:
+                self.hashes, self.values = hashes, value
+            else:
+                self.hashes, self.values = np.insert(self.hashes, place[new], hashes[new]), np.insert(self.values, place[new], value[new])
+        return value
+
+
 @dataclass
 class Machine:
     """A fitted machine: landmarks, what each adds to a sentence, the sentence's bias, and the weights and offset of the calibration."""
@@ -248,14 +284,18 @@ class Machine:
     weights: np.ndarray
     offset: float
 
-    def scores(self, batch: pa.RecordBatch, column: int, kernel: Kernel) -> np.ndarray:
-        """The score of each text, from its most toxic sentences and their number; of none, what the bias alone gives."""
+    def scores(self, batch: pa.RecordBatch, column: int, kernel: Kernel, seen: Seen | None = None) -> np.ndarray:
+        """The score of each text, from its most toxic sentences and their number; of none, what the bias alone gives.
+
+        A unit that was seen before keeps its value, and is not compared with the landmarks again.
+        """
+        seen = Seen() if seen is None else seen
         values, many = np.full((batch.num_rows, WORST), self.bias), np.zeros(batch.num_rows)
         for begin, n, found in _slices(batch, column):
             if not len(found.sentence):
                 continue
-            letters, size, which = distinct_units(found)
-            value = np.concatenate([k @ self.alpha for _, k in kernel(letters, size)])
+            hashes, at, which = hashed_units(found)
+            value = seen.values_of(hashes, lambda new: np.concatenate([k @ self.alpha for _, k in kernel(*letters_at(found, at[new]))]))
             sums = np.bincount(found.sentence, value[which], len(found.text)) + self.bias
             order = np.lexsort((-sums, found.text))
             count = np.bincount(found.text, minlength=n)
@@ -272,10 +312,10 @@ class Machine:
 
 def _scorer(machine: Machine):
     def score(batches):
-        kernel = Kernel(machine.landmarks)
+        kernel, seen = Kernel(machine.landmarks), Seen()
         for batch in batches:
             last = batch.num_columns - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(machine.scores(batch, last, kernel))], [*batch.schema.names[:last], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(machine.scores(batch, last, kernel, seen))], [*batch.schema.names[:last], "score"])
 
     return score
 

@@ -109,6 +109,27 @@ def test_whole_texts_count_and_batches_do_not_matter(machine):
     assert whole[-1] > scores_of(machine, ["rest tame. " * 30000])[0]
 
 
+def test_units_seen_before_are_not_compared_again(machine, monkeypatch):
+    rows, _ = corpus(60, 6)
+    batches = [pa.RecordBatch.from_arrays([pa.array([t for _, t in rows[i : i + 10]], pa.string())], ["text"]) for i in range(0, 60, 10)]
+    compared, plain = [], X.Kernel(machine.landmarks)
+
+    def kernel(letters, size):
+        compared.append(len(size))
+        return plain(letters, size)
+
+    whole = np.concatenate([machine.scores(b, 0, plain) for b in batches])
+    seen = X.Seen()
+    assert (np.concatenate([machine.scores(b, 0, kernel, seen) for b in batches]) == whole).all()
+    first = sum(compared)
+    assert first == len(seen.hashes) == len(np.unique(seen.hashes)) and (np.diff(seen.hashes.astype(float)) >= 0).all()
+    assert (np.concatenate([machine.scores(b, 0, kernel, seen) for b in batches]) == whole).all() and sum(compared) == first
+    monkeypatch.setattr(X, "SEEN", 50)
+    assert (np.concatenate([machine.scores(b, 0, kernel, X.Seen()) for b in batches]) == whole).all()
+    few = X.Seen()
+    assert (np.concatenate([machine.scores(b, 0, kernel, few) for b in batches]) == whole).all()
+
+
 def test_rows_of_all_kinds(spark):
     rows, labels = corpus(120, 4)
     docs = spark.createDataFrame([(i, t, "x", 0.5) for i, t in rows] + [(None, "you blorvak", None, None), (3, rows[3][1], "x", 0.5), (500, None, None, None), (501, "", None, None)], DOCS + ", toxic string, score double")
