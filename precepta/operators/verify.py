@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precepta.functions.text import fold, normal_literal
+from precepta.functions.text import fold, normal_literal, small_letters
 from precepta.operators.graph import SUFFIX
 from precepta.operators.rulings import label_check, resolution_key
 from precepta.sources.readers import cut
@@ -98,7 +98,7 @@ def verdicts(cited: DataFrame, articles: DataFrame) -> DataFrame:
         (inside & ~link_ok, "REJECTED", "wrong_link"),
         (inside & (F.length(literal) < SHORT_QUOTE), "VERIFIED", "short"),
         (inside, "VERIFIED", ""),
-        (F.contains(F.lower(text), F.lower(literal)), "REJECTED", "case_differs"),
+        (F.contains(small_letters(text), small_letters(literal)), "REJECTED", "case_differs"),
         (F.contains(fold(text), fold(literal)), "REJECTED", "accents_differ"),
     ]
     verdict, reason = F.lit("REJECTED"), F.lit("not_literal")
@@ -193,5 +193,5 @@ def failure_diagnosis(failed: DataFrame, sources: DataFrame) -> DataFrame:
     joined = failed.join(by_cite, "cite_id", "left").na.fill(False, list(flags))
     literal, text = normal_literal(F.col("literal")), normal_literal(F.coalesce("text", F.lit("")))
     note = F.col("own_note") | (~F.col("own_text") & ~F.col("other_text") & F.col("other_note"))
-    near = F.when(F.contains(F.lower(text), F.lower(literal)), "case_differs").when(F.contains(fold(text), fold(literal)), "accents_differ").otherwise("absent")
+    near = F.when(F.contains(small_letters(text), small_letters(literal)), "case_differs").when(F.contains(fold(text), fold(literal)), "accents_differ").otherwise("absent")
     return joined.select("cite_id", F.when(note, "not_enacted").when(F.col("own_text"), "other_version").when(F.col("other_text"), "other_article").otherwise(near).alias("diagnosis"))

@@ -37,3 +37,14 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["doc_id", "score", "n_terms", "rank"]
     assert set(QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_verdicts_on_letters_that_capitals_lengthen(spark, tmp_path):
+    texts = ["Enlich schß. Ö. Das. Ein schber engeöst geheit sich eriegelich", "ﬁn ŉ ΐ ᾳ ﬀ ǆ ŷ", "Istanbul İ ı ſ µ", "λόγος Σ ΣΑΣ. " + "σ" * 46 + "ος", "λόγοσ " * 12, "STRASSE straße", "", "ß" * 80]
+    items = [(4 * i + place, text) for i, text in enumerate(texts * 5) for place in range(4)]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = connect(SMALL)
+    con.execute(f"CREATE OR REPLACE VIEW benchmark AS SELECT * FROM read_parquet('{tmp_path}/benchmark.parquet/*.parquet')")
+    assert_same(QUERIES["citation_verdicts"](spark, str(tmp_path)), con, ORACLES["citation_verdicts"])
+    named = {r["cite_id"]: r["reason"] for r in QUERIES["citation_verdicts"](spark, str(tmp_path)).collect()}
+    assert named[1] == named[29] == "case_differs"
