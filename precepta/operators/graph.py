@@ -35,7 +35,7 @@ BEHIND = r"((?:(?!\bart[íi]culos?\b|\barts?\.|[.;]\s).)*)"
 KINDS = "adicional|transitoria|derogatoria|final"
 OWN_NORM = r"(?i)^[\s,;]*(?:de\s+)?(?:est[ae]|la\s+presente|el\s+presente)\s+(?:ley|reglamento|real\s+decreto)\b"
 ANAPHORA = r"(?i)\bde(?:l)?\s+(?:dich[oa]|citad[oa]|mencionad[oa]|referid[oa])\s+(?:ley|reglamento|real\s+decreto)\b"
-NORM_NUMBER = r"(?i)\b(?:ley(?:\s+org[áa]nica)?|real\s+decreto(?:-ley|\s+legislativo)?|directiva|orden|reglamento)\s+(?:\([A-Z]+\)\s+)?(\d{1,4}/\d{2,4}|[A-Z]{3}/\d+/\d{4})"
+NORM_NUMBER = r"(?i)\b(?:ley(?:\s+org[áa]nica)?|real\s+decreto(?:-ley|\s+legislativo)?|directiva|orden|reglamento)\s+(?:\([A-Z]+\)\s+)?(\d+/\d{2,4}|[A-Z]{3}/\d+/\d{4})"
 
 
 def list_numbers(listed: Column) -> Column:

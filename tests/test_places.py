@@ -74,3 +74,10 @@ def test_mentions_in_blocks(spark):
     found = sorted((str(r["origin"]), r["start"], r["number"], r["norm"] or "") for r in places.placed_mentions(docs).collect())
     assert found == [("None", 3, "8", ""), ("a", 26, "8", "1/2001"), ("a", 26, "8", "1/2001"), ("a", 47, "8", ""), ("a", 47, "8", ""), ("b", 26, "8", ""), ("c", 32, "8", "")]
     assert places.placed_mentions(docs.limit(0)).count() == places.placed_citations(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_mentions_in_blocks_of_norms_with_long_numbers(spark):
+    numbers = ["1/99", "9999/1999", "10000/1999", "1234567/2001"]
+    docs = spark.createDataFrame([(n, own, f"Cambia la Ley {n}: «El artículo 8 rige.»") for n in numbers for own in (None, "10000/1999")], "origin string, own string, text string")
+    found = {(r["origin"], r["norm"]) for r in places.placed_mentions(docs).collect()}
+    assert found == {(n, n) for n in numbers} | {("10000/1999", None)}
