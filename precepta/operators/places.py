@@ -6,8 +6,9 @@ import re
 import sys
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
@@ -15,7 +16,7 @@ from precepta.operators.graph import NORM_NUMBER, SUFFIX
 from precepta.operators.verify import ADDRESS, CLAIMS
 
 # Families of quotation marks, shortest quotation, what may stand between a quotation and its brackets, and what is masked, in turn.
-FAMILIES, SHORTEST = ("«[^»]*»", "“[^”]*”", '"[^"]*"'), 3
+FAMILIES, SHORTEST = ("«»", "“”", '""'), 3
 GLUED = r"[\s,;:.—-]{0,6}[(\[{]([^)\]}]+)[)\]}]"
 MASKED = ("[«\"“][^»\"”]*[»\"”]", r"\([^()]*\)", r"https?://[^\s)\]}>,;]+")
 # What a reference looks like, by kind; the first group is its number. The first two kinds go before the others.
@@ -26,7 +27,8 @@ KINDS = {
     "provision": r"(?i)\bdisposici[óo]n\s+((?:adicional|transitoria|final|derogatoria)\s+(?:\p{L}+|\d+))",
 }
 STOPS = re.compile(r"[()\[\]{}.;\n«“\"]")
-MENTIONED = r"(?i)\bart(?:[íi]culo|\.)\s+(\d+)"
+MENTIONED = re.compile(r"[aA][rR][tT](?<!\w...)(?i:[íi]culo|\.)\s+(\d+)")  # begins with its letters, as re skips to such fast
+NORM_NAMED, BLANKS = re.compile(NORM_NUMBER), " \t\n\v\f\r"
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # its functions go to the tasks themselves, where this package may not be
 
@@ -60,6 +62,31 @@ def _sentence_end(text: str, start: int) -> int:
     return len(text)
 
 
+def _quoted(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the quotations of a text in order, each with its marks: of those that overlap the one that begins first."""
+    pairs = []
+    for opens, closes in FAMILIES:
+        at = 0
+        while (start := text.find(opens, at)) >= 0 and (end := text.find(closes, start + 1)) >= 0:
+            at = end + 1
+            if len(text[start + 1 : end].strip()) >= SHORTEST:
+                pairs.append((start, at))
+    if len(pairs) < 2:
+        return pairs
+    kept, last = [], 0
+    for start, end in sorted(pairs):
+        if start >= last:
+            kept.append((start, end))
+            last = end
+    return kept
+
+
+def _since(text: str, start: int, last: int) -> int:
+    """Where what stands before a quotation at start begins: behind the last closing mark; the quotation before it ends at last."""
+    begin = max(last - 1, 0)
+    return max(text.rfind("»", begin, start), text.rfind("”", begin, start), text.rfind('"', begin, start)) + 1
+
+
 @F.pandas_udf(_QUOTATION)
 def quotations(texts: pd.Series) -> pd.Series:
     """The quotations of each text, with offsets in characters: of those that overlap the one that begins first.
@@ -68,14 +95,9 @@ def quotations(texts: pd.Series) -> pd.Series:
     """
 
     def read(text: str | None) -> list[dict]:
-        pairs = sorted(m.span() for family in FAMILIES for m in re.finditer(family, text or "") if len(m[0][1:-1].strip()) >= SHORTEST)
         found, last = [], 0
-        for start, end in pairs:
-            if start < last:
-                continue
-            between = text[max(last - 1, 0) : start]
-            since = start - len(between) + 1 + max(map(between.rfind, "»”\""))
-            glued = re.compile(GLUED).match(text, end)
+        for start, end in _quoted(text or ""):
+            since, glued = _since(text, start, last), re.compile(GLUED).match(text, end)
             found.append({
                 "start": start, "end": end, "literal": text[start + 1 : end - 1].strip(), "since": since, "before": text[since:start],
                 "glued_at": glued.start(1) if glued else None, "glued": glued[1] if glued else None, "after": text[end : _sentence_end(text, end)],
@@ -86,6 +108,40 @@ def quotations(texts: pd.Series) -> pd.Series:
     return texts.map(read)
 
 
+def _norm_before(text: str, since: int, start: int) -> str | None:
+    """The first norm named in the sentence that goes up to start and begins at since at the earliest; a line break right before start ends none."""
+    end = start - 1 if text.endswith("\n", since, start) else start
+    since = max(since, text.rfind(";", since, end) + 1, text.rfind("\n", since, end) + 1)
+    stop = end
+    while (stop := text.rfind(".", since, stop)) >= 0:
+        if stop + 1 < start and text[stop + 1] in BLANKS:
+            since = stop + 1
+            break
+    named = NORM_NAMED.search(text[since:end])
+    return named[1] if named else None
+
+
+@F.arrow_udf(_struct(start=IntegerType, number=StringType, norm=StringType))
+def _mentions(texts: pa.Array, owns: pa.Array) -> pa.Array:
+    """The mentions of articles in each text, with the norm that the quotation around them goes into, unless it is the text's own."""
+    ends, starts, numbers, norms = [0], [], [], []
+    for text, own in zip(texts.to_pylist(), owns.to_pylist()):
+        quoted, i, read, norm = None, 0, None, None
+        for found in MENTIONED.finditer(text or ""):
+            quoted, at = _quoted(text) if quoted is None else quoted, found.start()
+            while i < len(quoted) and quoted[i][1] <= at:
+                i += 1
+            inside = i < len(quoted) and quoted[i][0] < at
+            if inside and read != i:
+                norm, read = _norm_before(text, _since(text, quoted[i][0], quoted[i - 1][1] if i else 0), quoted[i][0]), i
+            starts.append(at)
+            numbers.append(found[1])
+            norms.append(norm if inside and norm != own else None)
+        ends.append(len(starts))
+    each = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(numbers, pa.string()), pa.array(norms, pa.string())], ["start", "number", "norm"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+
+
 def _matches(pattern: str):
     """A column function that gives all places where a pattern matches, as array of (start, end, found, number)."""
 
@@ -171,15 +227,6 @@ def placed_mentions(docs: DataFrame) -> DataFrame:
 
     A block is a quotation whose opening sentence, of any length, names a norm by number; its first norm, unless it is own,
     is that of the mentions between the marks. Elsewhere norm is null: the text's own. Blocks are told by their places, so
-    equal words outside them are kept apart; each mention meets the last block that begins before it, not all of them.
+    equal words outside them are kept apart. Each row is read by itself in one pass, without a shuffle; repeated rows stay.
     """
-    text = F.col("text")
-    opening = lambda q: F.regexp_extract(F.regexp_extract(q["before"], r"(?s)((?:(?!\.\s|;|\n).)*)$", 1), NORM_NUMBER, 1)
-    blocks = F.transform(quotations(text), lambda q: F.struct(q["start"].alias("start"), F.lit(0).alias("order"), q["end"].alias("end"), F.nullif(opening(q), F.lit("")).alias("norm"), F.lit(None).cast("string").alias("number")))
-    mentions = F.transform(_matches(MENTIONED)(text), lambda m: F.struct(m["start"].alias("start"), F.lit(1).alias("order"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("norm"), m["number"].alias("number")))
-    keyed = docs.select("origin", "own", F.monotonically_increasing_id().alias("row"), blocks.alias("blocks"), mentions.alias("mentions"))
-    events = keyed.select("origin", "own", "row", F.explode(F.concat("blocks", "mentions")).alias("e")).select("origin", "own", "row", "e.*")
-    before = F.last(F.when(F.col("order") == 0, F.struct("end", "norm")), ignorenulls=True).over(Window.partitionBy("row").orderBy("start", "order"))
-    placed = events.withColumn("block", before).where("order = 1")
-    inside = (F.col("start") < F.col("block.end")) & ~F.col("block.norm").eqNullSafe(F.col("own"))
-    return placed.select("origin", "start", "number", F.when(inside, F.col("block.norm")).alias("norm"))
+    return docs.select("origin", F.inline(_mentions(F.col("text"), F.col("own").cast("string"))))

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -81,3 +82,34 @@ def test_mentions_in_blocks_of_norms_with_long_numbers(spark):
     docs = spark.createDataFrame([(n, own, f"Cambia la Ley {n}: «El artículo 8 rige.»") for n in numbers for own in (None, "10000/1999")], "origin string, own string, text string")
     found = {(r["origin"], r["norm"]) for r in places.placed_mentions(docs).collect()}
     assert found == {(n, n) for n in numbers} | {("10000/1999", None)}
+
+
+def _mentions_by_letters(text, own):
+    """The mentions of a text, each held against all quotations; a quotation's sentence is sought by walking back letter by letter."""
+    found = []
+    for mention in re.finditer(r"(?i)\bart(?:[íi]culo|\.)\s+(\d+)", text):
+        norm = None
+        for start, end, _, before, _ in _by_letters(text):
+            if start < mention.start() < end:
+                opening, at = before.removesuffix("\n"), len(before.removesuffix("\n"))
+                while at > 0 and opening[at - 1] not in ";\n" and not (before[at - 1] == "." and before[at : at + 1] in (" ", "\n")):
+                    at -= 1
+                named = re.search(r"(?i)\b(?:ley|orden)\s+(\d+/\d{2,4})", opening[at:])
+                norm = named[1] if named and named[1] != own else None
+        found.append((mention.start(), mention[1], norm))
+    return found
+
+
+def test_mentions_by_brute_force_in_one_pass(spark):
+    draw = random.Random(11)
+    marks = ["«", "»", "“", "”", '"', ". ", ".", ";", "\n", " ", "ñ", "😀", "Art. 7", "xart. 8", "artículo  12", "art. ", "la Ley 1/2001", " orden 12345/99", "Ley 2/2002:"]
+    texts = ["".join(draw.choices(marks, k=draw.randrange(40))) for _ in range(1500)] + ["", "«" * 100_000 + " art. 5", "Ley 1/2001: «art. 5» " * 2000, "Ley 1/2001: «" + "art. 5; " * 3000 + "»"]
+    cases = [(i, own, text) for i, text in enumerate(texts) for own in (None, "1/2001")]
+    docs = spark.createDataFrame([*cases, (-1, None, None)], "origin long, own string, text string")
+    found = places.placed_mentions(docs)
+    by_row = sorted((r["origin"], r["start"], r["number"], r["norm"] or "") for r in found.collect())
+    few = [c for c in cases if len(c[2]) < 1000]
+    assert [r for r in by_row if r[0] <= few[-1][0]] == sorted((i, start, number, norm or "") for i, own, text in few for start, number, norm in _mentions_by_letters(text, own))
+    assert len([r for r in by_row if r[0] > few[-1][0]]) == 2 * (1 + 2000 + 3000) and sum(r[3] == "1/2001" for r in by_row if r[0] > few[-1][0]) == 5000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
